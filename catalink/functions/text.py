@@ -46,7 +46,12 @@ def tree_digest(
     def hashed(value: Column) -> Column:
         return F.md5(value.cast("binary")) if bits == 128 else F.sha2(value.cast("binary"), bits)
 
-    leaf = df.select(*keys, hashed(F.col(item)).alias("__h")).withColumn("__b", F.substring("__h", 1, 3))
-    buckets = leaf.groupBy(*keys, "__b").agg(hashed(F.array_join(F.array_sort(F.collect_list("__h")), ",")).alias("__d"))
+    leaf = df.select(*keys, hashed(F.col(item)).alias("__h"))
+    counted = leaf.groupBy(*keys, "__h").agg(F.concat_ws(":", "__h", F.count(F.lit(1)).cast("string")).alias("__i"))
+    buckets = (
+        counted.withColumn("__b", F.substring("__h", 1, 3))
+        .groupBy(*keys, "__b")
+        .agg(hashed(F.array_join(F.array_sort(F.collect_list("__i")), ",")).alias("__d"))
+    )
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__d"))), lambda s: s["__d"]), ",")
     return buckets.groupBy(*keys).agg(hashed(joined).alias(digest))
