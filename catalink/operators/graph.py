@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalink.functions.ranking import first_per, top_k
@@ -142,7 +142,10 @@ def traverse(
     def reduce_level(candidates: DataFrame) -> DataFrame:
         # One exchange on the question serves both the per-node minimum and the per-question cut.
         nearest = candidates.repartition("question_id").groupBy("question_id", "node_id").agg(F.min("b").alias("b"))
-        return top_k(nearest, ["question_id"], order, limit, "graph_rank")
+        kept = top_k(nearest, ["question_id"], order, limit, "graph_rank")
+        # A question that holds its limit is finished and is not expanded again.
+        size = F.count(F.lit(1)).over(Window.partitionBy("question_id"))
+        return kept.withColumn("unfinished", size < limit)
 
     start = seeds.select(
         "question_id", "node_id", "hybrid_rank", "hybrid_score", F.lit(0).alias("distance"), F.col("node_id").alias("seed_node_id")
@@ -157,7 +160,7 @@ def traverse(
             held.join(near.withColumnRenamed("src", "node_id"), "node_id", "left")
             .withColumn(
                 "reached",
-                F.when(F.col("b.distance") == level, F.coalesce("neighbours", F.array().cast("array<string>")))
+                F.when(F.col("unfinished") & (F.col("b.distance") == level), F.coalesce("neighbours", F.array().cast("array<string>")))
                 .otherwise(F.array().cast("array<string>")),
             )
             .select(
