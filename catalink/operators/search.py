@@ -93,7 +93,11 @@ def _block_hits(
         "n_u > 1 OR n_q > 1"
     )
     total = sizes.agg(F.sum("u").alias("u"), F.sum("q").alias("q")).first()
-    packs = max(1, math.ceil((total["u"] or 0) / unit_block), math.ceil((total["q"] or 0) / question_block))
+    packs = max(
+        2 * units.sparkSession.sparkContext.defaultParallelism,
+        math.ceil((total["u"] or 0) / unit_block),
+        math.ceil((total["q"] or 0) / question_block),
+    )
 
     def placed(df: DataFrame, own: str, own_id: str, other: str) -> DataFrame:
         one = F.lit(1)

@@ -96,35 +96,43 @@ INDEX_LINE = (
     "'- ' || index_name || ' (' || array_to_string(cols, ', ') || ')' || CASE WHEN is_unique AND is_primary THEN ' [UNIQUE, PRIMARY]'"
     " WHEN is_unique THEN ' [UNIQUE]' WHEN is_primary THEN ' [PRIMARY]' ELSE '' END"
 )
+WAREHOUSE_TARGET = "database_name || '.' || ref_table || '.' || ref_column"
 TARGET = "ref_schema || '.' || ref_table || '.' || ref_column"
 
 
+def _content(database: str, schema: str, fk_lines: str, source: str) -> str:
+    nl = "chr(10)"
+    return f"""
+        SELECT {database} AS database_name, dialect, {schema} AS schema_name, table_name, c,
+               'Database: ' || {database} || {nl} || {nl} || 'Schema: ' || {schema} || {nl} || {nl} || 'Table: ' || table_name
+               || {nl} || {nl} || 'Columns:' || {nl} || coalesce(c_lines, '') || {nl} || {nl} || 'Primary Keys:' || {nl} || coalesce(p_lines, 'None')
+               || {nl} || {nl} || 'Foreign Keys:' || {nl} || coalesce({fk_lines}, 'None') || {nl} || {nl} || 'Indexes:' || {nl}
+               || coalesce(i_lines, 'None') AS content
+        FROM {source}"""
+
+
 def _parts(s: str) -> dict[str, str]:
     nl = "chr(10)"
     return {
         f"doc_parts{s}": f"""
             SELECT b.database_name, b.dialect, b.schema_name, b.table_name, b.c, c.lines AS c_lines, p.lines AS p_lines,
-                   f.lines AS f_lines, f.ref_lines, i.lines AS i_lines
+                   f.lines AS f_lines, f.ref_lines, f.w_lines, i.lines AS i_lines
             FROM base_tables{s} b
             LEFT JOIN (SELECT {K}, string_agg({COLUMN_LINE}, {nl} ORDER BY ordinal) AS lines FROM cat_columns{s} GROUP BY ALL) c USING ({K})
             LEFT JOIN (SELECT {K}, string_agg('- ' || column_name, {nl} ORDER BY position) AS lines FROM m_key_columns{s}
                        WHERE constraint_type = 'PRIMARY KEY' GROUP BY ALL) p USING ({K})
             LEFT JOIN (SELECT {K}, string_agg('- ' || column_name || ' → ' || {TARGET}, {nl} ORDER BY position, constraint_name) AS lines,
-                       string_agg('- ' || column_name || ' references ' || {TARGET}, {nl} ORDER BY position, constraint_name) AS ref_lines
+                       string_agg('- ' || column_name || ' references ' || {TARGET}, {nl} ORDER BY position, constraint_name) AS ref_lines,
+                       string_agg('- ' || column_name || ' → ' || {WAREHOUSE_TARGET}, {nl} ORDER BY position, constraint_name) AS w_lines
                        FROM fks{s} GROUP BY ALL) f USING ({K})
             LEFT JOIN (SELECT {K}, string_agg({INDEX_LINE}, {nl} ORDER BY index_name) AS lines FROM idx_flagged{s} GROUP BY ALL) i USING ({K})""",
-        f"unit_text{s}": f"""
-            SELECT database_name, dialect, schema_name, table_name, c,
-                   'Database: ' || database_name || {nl} || {nl} || 'Schema: ' || schema_name || {nl} || {nl} || 'Table: ' || table_name
-                   || {nl} || {nl} || 'Columns:' || {nl} || coalesce(c_lines, '') || {nl} || {nl} || 'Primary Keys:' || {nl} || coalesce(p_lines, 'None')
-                   || {nl} || {nl} || 'Foreign Keys:' || {nl} || coalesce(f_lines, 'None') || {nl} || {nl} || 'Indexes:' || {nl}
-                   || coalesce(i_lines, 'None') AS content
-            FROM doc_parts{s}""",
+        f"unit_text{s}": _content("database_name", "schema_name", "f_lines", f"doc_parts{s}"),
     }
 
 
 CTES.update(_parts(""))
 CTES.update(_parts("_2"))
+CTES["w_unit_text"] = _content("'wh_' || c_nationkey", "database_name", "w_lines", "doc_parts JOIN customer ON c_custkey = c")
 CTES["doc_table"] = """
     SELECT 'table' AS doc_type, database_name, schema_name, table_name,
            'Database: ' || database_name || chr(10) || 'Schema: ' || schema_name || chr(10) || 'Table: ' || table_name || chr(10) || chr(10)

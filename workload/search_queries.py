@@ -1,4 +1,7 @@
-"""Search (R1-R12): over the document corpus, and over the fleet's catalog units."""
+"""Search (R1-R12): over the document corpus, and over the catalog units of one warehouse per nation.
+
+A warehouse is the database of all customers of a nation: each customer's copy of the template is one of its schemas.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +17,6 @@ from catalink.plans import ann
 from catalink.plans.retrieval import Retrieval, retrieve
 from catalink.session import cut
 from workload.document_queries import nested, words
-from workload.graph_queries import fleet_edges, fleet_nodes
 from workload.inputs import table
 from workload.sql_inputs import CTES, with_ctes
 
@@ -66,7 +68,7 @@ def search_rrf(spark, sf):
     return fused.withColumn("rrf", F.round("rrf", 9))
 
 
-# ---- fleet: catalog units, one question per order --------------------------------------------------------------
+# ---- warehouses: catalog units, one question per order ---------------------------------------------------------
 
 # What is asked about the order's own database, by o_orderkey % 6.
 ASKED = [
@@ -80,19 +82,37 @@ ASKED = [
 
 
 def fleet_questions(spark: SparkSession, sf: str) -> DataFrame:
-    """Every order asks about its customer's database; one in fifty questions is blank."""
+    """Every order asks about its customer's warehouse; one in fifty questions is blank."""
     key = F.col("o_orderkey")
     text = F.element_at(F.array(*(F.lit(a) for a in ASKED)), (key % 6 + 1).cast("int"))
     detail = F.concat(text, F.lit(" "), F.lower("o_orderstatus"), F.lit(" "), F.lower("o_orderpriority"))
     wanted = F.when(key % 4 == 1, 3).when(key % 4 == 2, 50).when(key % 4 == 3, -1)
-    return table(spark, sf, "orders").select(
+    nations = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    return table(spark, sf, "orders").join(nations, "o_custkey").select(
         key.alias("question_id"),
         F.when(key % 50 == 7, F.lit("  ")).otherwise(detail).alias("question"),
-        F.concat(F.lit("db_"), F.col("o_custkey").cast("string")).alias("database_name"),
+        F.concat(F.lit("wh_"), F.col("c_nationkey").cast("string")).alias("database_name"),
         wanted.alias("limit"),
     )
 
 
+@lru_cache(maxsize=4)
+def warehouses(spark: SparkSession, sf: str) -> DataFrame:
+    """The nested catalog of the warehouses."""
+    owners = table(spark, sf, "customer").select(
+        F.concat(F.lit("db_"), F.col("c_custkey").cast("string")).alias("database_name"),
+        F.concat(F.lit("wh_"), F.col("c_nationkey").cast("string")).alias("warehouse"),
+    )
+    same_schema = F.transform("foreign_keys", lambda f: f.withField("ref_schema", F.col("schema_name")))
+    moved = nested(spark, sf).join(owners, "database_name").withColumn("schema_name", F.col("database_name"))
+    moved = moved.withColumn("database_name", F.col("warehouse")).withColumn("foreign_keys", same_schema).drop("warehouse")
+    return cut(moved, "warehouses")
+
+
+def nodes_and_edges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return graph.nodes(warehouses(spark, sf)), graph.edges_from_nested(warehouses(spark, sf))
+
+
 def build_units(nested_df: DataFrame) -> DataFrame:
     content = docs.with_token_count(docs.unit_content(nested_df))
     units = content.select(
@@ -105,8 +125,8 @@ def build_units(nested_df: DataFrame) -> DataFrame:
 
 @lru_cache(maxsize=4)
 def fleet_units(spark: SparkSession, sf: str) -> DataFrame:
-    """The stored units of the fleet."""
-    return cut(build_units(nested(spark, sf)), "units")
+    """The stored units of the warehouses."""
+    return cut(build_units(warehouses(spark, sf)), "units")
 
 
 @lru_cache(maxsize=4)
@@ -117,7 +137,7 @@ def asked_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 @lru_cache(maxsize=4)
 def fleet_retrieval(spark: SparkSession, sf: str) -> Retrieval:
-    return retrieve(asked_questions(spark, sf), fleet_units(spark, sf), fleet_nodes(spark, sf), fleet_edges(spark, sf))
+    return retrieve(asked_questions(spark, sf), fleet_units(spark, sf), *nodes_and_edges(spark, sf))
 
 
 def search_limit(spark, sf):
@@ -152,17 +172,15 @@ def search_graph_only(spark, sf):
 
 def search_unit_fallback(spark, sf):
     """Every foreign-key target looked up as a node; targets whose schema was lost fall back on the table name."""
+    lost = graph.table_id("database_name", F.lit("public"), "table_name")
     targets = (
-        fleet_edges(spark, sf)
+        nodes_and_edges(spark, sf)[1]
         .select("database_name", F.element_at(F.split("dst", r"\."), -1).alias("table_name"), "dst")
         .distinct()
-        .withColumn(
-            "node_id",
-            F.when(F.length("database_name") % 2 == 0, graph.table_id("database_name", F.lit("public"), "table_name")).otherwise(F.col("dst")),
-        )
+        .withColumn("node_id", F.when(F.length("dst") % 2 == 0, lost).otherwise(F.col("dst")))
     )
     index = search.unit_index(fleet_units(spark, sf))
-    return search.with_fallback_unit(targets.select("database_name", "table_name", "node_id"), index)
+    return search.with_fallback_unit(targets.select("database_name", "table_name", "node_id", "dst"), index)
 
 
 def search_final(spark, sf):
@@ -171,7 +189,7 @@ def search_final(spark, sf):
 
 def search_retrieve(spark, sf):
     """The flagship: every question answered end to end, computed afresh."""
-    found = retrieve(asked_questions(spark, sf), fleet_units(spark, sf), fleet_nodes(spark, sf), fleet_edges(spark, sf)).final
+    found = retrieve(asked_questions(spark, sf), fleet_units(spark, sf), *nodes_and_edges(spark, sf)).final
     names = fleet_units(spark, sf).select("unit_id", "database_name", "schema_name", "table_name")
     return found.join(names, "unit_id").select(
         "question_id", "final_rank", "database_name", "schema_name", "table_name", "retrieval_source",
@@ -180,13 +198,19 @@ def search_retrieve(spark, sf):
 
 
 def unit_lookup(spark, sf):
-    customers = table(spark, sf, "customer")
-    database = F.concat(F.lit("db_"), F.col("c_custkey").cast("string")).alias("database_name")
-    wanted = customers.select(
-        database,
-        F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).alias("schema_name"),
+    key = F.col("c_custkey")
+    customers = table(spark, sf, "customer").withColumn(
+        "database_name", F.concat(F.lit("wh_"), F.col("c_nationkey").cast("string"))
+    )
+    exact = customers.filter(key % 2 == 0).select(
+        "database_name",
+        F.concat(F.lit("db_"), key.cast("string")).alias("schema_name"),
         F.explode(F.array(F.lit("orders"), F.lit("part"), F.lit("nowhere"))).alias("table_name"),
     )
+    anywhere = customers.filter(key % 7 == 0).select(
+        "database_name", F.lit(None).cast("string").alias("schema_name"), F.lit("order_returns").alias("table_name")
+    )
+    wanted = exact.unionByName(anywhere)
     found = search.find_units(fleet_units(spark, sf), wanted.unionByName(wanted))
     return found.select("unit_id", "database_name", "schema_name", "table_name")
 
@@ -258,17 +282,24 @@ CTES["c_vector"] = f"""
         SELECT q.question_id, e.vec_id AS unit_id, {COSINE.format('q.embedding', 'e.embedding')} AS score FROM c_question q CROSS JOIN embeddings e)"""
 CTES.update(bm25("c_question", "c_text", "text"))
 CTES["f_all_question"] = f"""
-    SELECT o_orderkey AS question_id, 'db_' || o_custkey AS database_name,
+    SELECT o_orderkey AS question_id, 'wh_' || c_nationkey AS database_name,
            CASE WHEN o_orderkey % 50 = 7 THEN '  ' ELSE
            CASE o_orderkey % 6 {' '.join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(ASKED))} END
            || ' ' || lower(o_orderstatus) || ' ' || lower(o_orderpriority) END AS question,
            CASE o_orderkey % 4 WHEN 1 THEN 3 WHEN 2 THEN 20 ELSE 5 END AS final_limit
-    FROM orders"""
+    FROM orders JOIN customer ON c_custkey = o_custkey"""
 CTES["f_question"] = "SELECT *, greatest(15, final_limit) AS candidate_limit FROM f_all_question WHERE trim(question) <> ''"
 CTES["f_unit"] = """
     SELECT sha256(database_name || '.' || schema_name || '.' || table_name) AS unit_id,
            sha256(database_name || ':' || dialect) AS source_id, database_name, dialect, schema_name, table_name, content,
-           database_name || '.' || schema_name || '.' || table_name AS node_id FROM unit_text"""
+           database_name || '.' || schema_name || '.' || table_name AS node_id FROM w_unit_text"""
+CTES["w_edges"] = """
+    SELECT 'wh_' || c_nationkey AS database_name, 'wh_' || c_nationkey || '.' || f.database_name || '.' || f.table_name AS src,
+           'wh_' || c_nationkey || '.' || f.database_name || '.' || f.ref_table AS dst
+    FROM fks f JOIN base_tables b USING (database_name, schema_name, table_name) JOIN customer ON c_custkey = f.c"""
+CTES["w_adj"] = """
+    SELECT src, dst FROM (SELECT src, dst FROM w_edges UNION SELECT dst, src FROM w_edges)
+    WHERE src IN (SELECT node_id FROM f_unit) AND dst IN (SELECT node_id FROM f_unit)"""
 CTES["f_unit_text"] = "SELECT unit_id, database_name, table_name || ' ' || schema_name || ' ' || content AS body FROM f_unit"
 CTES.update(bm25("f_question", "f_unit_text", "body"))
 CTES["f_unit_vec"] = vector_list("f_unit", "unit_id", "content")
@@ -300,9 +331,9 @@ CTES["f_hybrid"] = """
 CTES["f_seed"] = "SELECT * FROM f_hybrid QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY hybrid_rank) <= 3"
 CTES["f_walk"] = """
     SELECT question_id, node_id, node_id AS seed_node_id, 0 AS distance, hybrid_rank, rrf FROM f_seed
-    UNION ALL SELECT s.question_id, a.dst, s.node_id, 1, s.hybrid_rank, s.rrf FROM f_seed s JOIN g_adj a ON a.src = s.node_id
-    UNION ALL SELECT s.question_id, b.dst, s.node_id, 2, s.hybrid_rank, s.rrf FROM f_seed s JOIN g_adj a ON a.src = s.node_id
-        JOIN g_adj b ON b.src = a.dst"""
+    UNION ALL SELECT s.question_id, a.dst, s.node_id, 1, s.hybrid_rank, s.rrf FROM f_seed s JOIN w_adj a ON a.src = s.node_id
+    UNION ALL SELECT s.question_id, b.dst, s.node_id, 2, s.hybrid_rank, s.rrf FROM f_seed s JOIN w_adj a ON a.src = s.node_id
+        JOIN w_adj b ON b.src = a.dst"""
 CTES["f_ranked"] = """
     SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY distance, hybrid_rank, rrf DESC, node_id) AS INTEGER) AS graph_rank
     FROM (SELECT * FROM f_walk QUALIFY row_number() OVER (PARTITION BY question_id, node_id ORDER BY distance, hybrid_rank) = 1)"""
@@ -340,14 +371,18 @@ ORACLES = {
     "search_graph_only": with_ctes("SELECT question_id, node_id, graph_distance, round(final_score, 9) AS final_score FROM f_only"),
     "search_unit_fallback": with_ctes("""
         SELECT DISTINCT e.database_name, u.table_name,
-               CASE WHEN length(e.database_name) % 2 = 0 THEN e.database_name || '.public.' || u.table_name ELSE e.dst END AS node_id, u.unit_id
-        FROM g_edges e JOIN f_unit u ON u.node_id = e.dst"""),
+               CASE WHEN length(e.dst) % 2 = 0 THEN e.database_name || '.public.' || u.table_name ELSE e.dst END AS node_id,
+               CASE WHEN length(e.dst) % 2 = 0 THEN m.unit_id ELSE u.unit_id END AS unit_id, e.dst
+        FROM w_edges e JOIN f_unit u ON u.node_id = e.dst
+        JOIN (SELECT database_name, table_name, min_by(unit_id, node_id) AS unit_id FROM f_unit GROUP BY ALL) m
+             ON m.database_name = e.database_name AND m.table_name = u.table_name"""),
     "search_final": with_ctes("SELECT question_id, unit_id, retrieval_source, final_rank FROM f_answer"),
     "search_retrieve": with_ctes("""
         SELECT a.question_id, a.final_rank, u.database_name, u.schema_name, u.table_name, a.retrieval_source,
                round(a.final_score, 9) AS final_score, round(a.rrf, 9) AS rrf, a.graph_distance
         FROM f_answer a JOIN f_unit u USING (unit_id)"""),
     "unit_lookup": with_ctes("""
-        SELECT DISTINCT u.unit_id, u.database_name, u.schema_name, u.table_name FROM f_unit u JOIN customer c ON u.database_name = 'db_' || c.c_custkey
-        WHERE u.table_name IN ('orders', 'part', 'nowhere') AND (c.c_custkey % 2 = 1 OR u.schema_name = lower(c.c_mktsegment))"""),
+        SELECT DISTINCT u.unit_id, u.database_name, u.schema_name, u.table_name FROM f_unit u JOIN customer c ON u.database_name = 'wh_' || c.c_nationkey
+        WHERE (u.table_name IN ('orders', 'part', 'nowhere') AND c.c_custkey % 2 = 0 AND u.schema_name = 'db_' || c.c_custkey)
+           OR (u.table_name = 'order_returns' AND c.c_custkey % 7 = 0)"""),
 }
