@@ -65,7 +65,7 @@ def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_rows: f
         df.createOrReplaceTempView(names[name])
     try:
         shown = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in names.items())
-        rows = spark.sql(f"WITH {shown} SELECT * FROM ({clean_statement(sql)}) LIMIT {resolve_rows(max_rows)}")
+        rows = spark.sql(f"WITH {shown} SELECT * FROM (\n{clean_statement(sql)}\n) LIMIT {resolve_rows(max_rows)}")
     finally:
         for view in names.values():
             spark.catalog.dropTempView(view)
