@@ -19,12 +19,6 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.size(tokens(text)), F.lit(0))
 
 
-def token_bucket(token: Column, dim: int) -> Column:
-    """Deterministic bucket of a token: the first 32 bits of its MD5 modulo ``dim``."""
-    head = F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("long")
-    return F.pmod(head, F.lit(dim)).cast("int")
-
-
 def is_blank(text: Column) -> Column:
     return text.isNull() | (F.trim(text) == "")
 

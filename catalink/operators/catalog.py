@@ -79,32 +79,46 @@ def index_arrays(catalog: Catalog, rule: str = "dialect") -> DataFrame:
     return _folded(flagged_indexes(catalog, rule), ["index_name"], fields, "indexes")
 
 
-COLUMN_TYPE = "array<struct<name:string,data_type:string,nullable:boolean,default_value:string>>"
-FK_TYPE = "array<struct<column_name:string,ref_schema:string,ref_table:string,ref_column:string>>"
-INDEX_TYPE = "array<struct<name:string,columns:array<string>,is_unique:boolean,is_primary:boolean>>"
-
-
 def nested(catalog: Catalog, rule: str = "dialect") -> DataFrame:
-    """One row per base table. Every child is shuffled once, on the table key, and the joins reuse that partitioning."""
-    out = info.base_tables(catalog)
-    for child in (
-        column_arrays(catalog),
-        primary_key_arrays(catalog),
-        foreign_key_arrays(catalog),
-        index_arrays(catalog, rule),
-    ):
-        out = out.join(child, TABLE_KEY, "left")
-    empty = F.array()
-    return out.select(
+    """One row per base table, with empty arrays where it has no children; children of unknown tables drop out.
+
+    Tables and all their child rows are stacked and grouped once: one shuffle on the table key, no joins. What is
+    collected is one table's own definition.
+    """
+    kinds = {
+        "t": (info.base_tables(catalog), F.struct("dialect")),
+        "c": (catalog.columns, F.struct("ordinal", F.col("column_name").alias("name"), "data_type", "nullable", "default_value")),
+        "p": (info.primary_keys(catalog), F.struct("position", "column_name")),
+        "f": (
+            info.foreign_keys(catalog),
+            F.struct("position", "constraint_name", "column_name", "ref_schema", "ref_table", "ref_column"),
+        ),
+        "i": (info.indexes(catalog), F.struct(F.col("index_name").alias("name"), "columns", "is_unique")),
+    }
+    stacked = None
+    for kind, (rows, body) in kinds.items():
+        part = rows.select(*TABLE_KEY, body.alias(kind))
+        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+    grouped = (
+        stacked.repartition(*TABLE_KEY)
+        .groupBy(*TABLE_KEY)
+        .agg(F.max("t").alias("t"), *(F.array_sort(F.collect_list(k)).alias(k) for k in "cpfi"))
+        .filter(F.col("t").isNotNull())
+    )
+    without = lambda array, *names: F.transform(array, lambda s: s.dropFields(*names))
+    dialect, pk = F.col("t.dialect"), F.transform("p", lambda s: s["column_name"])
+    named = grouped.select(
         "database_name",
-        "dialect",
+        dialect.alias("dialect"),
         "schema_name",
         "table_name",
-        F.coalesce("columns", empty.cast(COLUMN_TYPE)).alias("columns"),
-        F.coalesce("primary_keys", empty.cast("array<string>")).alias("primary_keys"),
-        F.coalesce("foreign_keys", empty.cast(FK_TYPE)).alias("foreign_keys"),
-        F.coalesce("indexes", empty.cast(INDEX_TYPE)).alias("indexes"),
+        without("c", "ordinal").alias("columns"),
+        pk.alias("primary_keys"),
+        without("f", "position", "constraint_name").alias("foreign_keys"),
+        "i",
     )
+    flag = lambda i: primary_flag(F.col("dialect"), i["name"], i["columns"], F.col("primary_keys"), rule)
+    return named.withColumn("indexes", F.transform("i", lambda i: i.withField("is_primary", flag(i)))).drop("i")
 
 
 def counts(tables: DataFrame) -> DataFrame:

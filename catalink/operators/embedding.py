@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalink.functions.text import is_blank, token_bucket, tokens
+from catalink.functions.text import is_blank, tokens
 
 DIMENSION = 64
 BATCH_SIZE = 50
@@ -20,36 +21,38 @@ Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 VECTOR = T.ArrayType(T.FloatType())
 
 
-def _vectors(matrix: np.ndarray) -> pa.Array:
-    rows, dim = matrix.shape
-    offsets = pa.array(np.arange(0, rows * dim + 1, dim, dtype=np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(matrix.astype(np.float32).ravel()))
+def token_buckets(words: Sequence[str], dim: int) -> np.ndarray:
+    """Bucket of each token: the first 32 bits of its MD5 modulo ``dim``."""
+    heads = (int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:8], 16) % dim for w in words)
+    return np.fromiter(heads, dtype=np.int64, count=len(words))
 
 
 def hashed_embedding(df: DataFrame, text: str, out: str = "embedding", dim: int = DIMENSION) -> DataFrame:
     """The default embedder: L2-normalised term counts over ``dim`` hashed buckets.
 
-    Tokens are cut and hashed by Spark expressions; each Arrow batch is then counted with one bincount. Blank texts
-    get an empty vector, which the quality gate reports.
+    Spark cuts the tokens; within each Arrow batch every distinct token is hashed once and all rows are counted with
+    one bincount. Blank texts get an empty vector, which the quality gate reports.
     """
     keep = df.columns
-    hashed = df.withColumn("__buckets", F.transform(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")), lambda t: token_bucket(t, dim)))
+    cut_up = df.withColumn("__tokens", F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")))
     schema = T.StructType([*df.schema.fields, T.StructField(out, VECTOR)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buckets = batch.column(batch.schema.get_field_index("__buckets"))
-            lengths = np.diff(buckets.offsets.to_numpy())
+            cells = batch.column(batch.schema.get_field_index("__tokens"))
+            lengths = np.diff(cells.offsets.to_numpy())
+            encoded = cells.flatten().dictionary_encode()
+            buckets = token_buckets(encoded.dictionary.to_pylist(), dim)[encoded.indices.to_numpy(zero_copy_only=False)]
             rows = np.repeat(np.arange(len(lengths)), lengths)
-            cells = rows * dim + buckets.flatten().to_numpy(zero_copy_only=False)
-            matrix = np.bincount(cells, minlength=len(lengths) * dim).reshape(-1, dim).astype(np.float64)
-            norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-            vectors = _vectors(matrix / np.where(norms == 0, 1.0, norms)).to_pylist()
-            cleaned = [v if n else [] for v, n in zip(vectors, lengths)]
+            matrix = np.bincount(rows * dim + buckets, minlength=len(lengths) * dim).reshape(-1, dim).astype(np.float64)
+            filled = lengths > 0
+            matrix[filled] /= np.linalg.norm(matrix[filled], axis=1, keepdims=True)
+            offsets = np.concatenate([[0], np.cumsum(np.where(filled, dim, 0))]).astype(np.int32)
+            vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix[filled].astype(np.float32).ravel()))
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(cleaned, pa.list_(pa.float32()))], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*arrays, vectors], names=[*keep, out])
 
-    return hashed.mapInArrow(count, schema)
+    return cut_up.mapInArrow(count, schema)
 
 
 def embed(

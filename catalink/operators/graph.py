@@ -7,13 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalink.functions.ranking import first_per, top_k
+from catalink.functions.ranking import first_per, ranked, top_k
 from catalink.session import cut
 
 DEFAULT_DEPTH, MAX_DEPTH = 2, 5
 DEFAULT_LIMIT, MAX_LIMIT = 20, 50
 DEFAULT_SCHEMA = "public"
 TRAVERSED = ("references", "belongs_to")
+LEVEL = 2**32  # priority = distance * LEVEL + place of the seed
 
 
 def resolve_depth(depth: float | None = None) -> int:
@@ -119,7 +120,7 @@ def traverse(
 ) -> DataFrame:
     """Breadth-first search from several seeds per question, ranked and cut at ``limit`` nodes per question.
 
-    ``seeds``: question_id, node_id, hybrid_rank, hybrid_score. A node takes its nearest seed, ties going to the
+    ``seeds``: question_id, node_id, hybrid_rank (distinct per question), hybrid_score. A node takes its nearest seed, ties going to the
     better seed rank. Result: question_id, node_id, seed_node_id, distance, graph_score, seed_hybrid_rank,
     seed_hybrid_score, graph_rank.
 
@@ -131,71 +132,50 @@ def traverse(
     ``limit``) and by nodes that rank before it (fewer than ``limit``): the first ``2 * limit`` neighbours suffice.
     """
     depth, limit = resolve_depth(depth), resolve_limit(limit)
-    best = F.struct(
-        F.col("distance"),
-        F.col("hybrid_rank").alias("seed_hybrid_rank"),
-        (-F.col("hybrid_score")).alias("negated"),
-        F.col("seed_node_id"),
-    )
-    order = [F.col("b.distance"), F.col("b.seed_hybrid_rank"), F.col("b.negated"), F.col("node_id")]
 
     def reduce_level(candidates: DataFrame) -> DataFrame:
-        # One exchange on the question serves both the per-node minimum and the per-question cut.
-        nearest = candidates.repartition("question_id").groupBy("question_id", "node_id").agg(F.min("b").alias("b"))
-        kept = top_k(nearest, ["question_id"], order, limit, "graph_rank")
+        # One exchange on the question serves the per-node minimum, the per-question cut and the size.
+        nearest = candidates.repartition("question_id").groupBy("question_id", "node_id").agg(F.min("priority").alias("priority"))
+        kept = top_k(nearest, ["question_id"], [F.col("priority"), F.col("node_id")], limit, "graph_rank")
         # A question that holds its limit is finished and is not expanded again.
         size = F.count(F.lit(1)).over(Window.partitionBy("question_id"))
         return kept.withColumn("unfinished", size < limit)
 
-    start = seeds.select(
-        "question_id", "node_id", "hybrid_rank", "hybrid_score", F.lit(0).alias("distance"), F.col("node_id").alias("seed_node_id")
+    # A seed is known by its place among its question's seeds; distance and place make one sortable number.
+    distinct = first_per(seeds, ["question_id", "node_id"], [F.col("hybrid_rank"), F.col("hybrid_score").desc()])
+    numbered = ranked(distinct, ["question_id"], [F.col("hybrid_rank"), F.col("hybrid_score").desc(), F.col("node_id")], "seed_no")
+    numbered = cut(
+        numbered.select("question_id", "seed_no", F.col("node_id").alias("seed_node_id"), "hybrid_rank", "hybrid_score"), "seeds"
+    )
+    held = reduce_level(
+        numbered.select("question_id", F.col("seed_node_id").alias("node_id"), F.col("seed_no").cast("long").alias("priority"))
     )
-    held = reduce_level(start.select("question_id", "node_id", best.alias("b")))
     if depth > 0:
         near = nearest_neighbours(adjacency_df, limit)
         if depth > 1:
             near = cut(near, "neighbours")
+    nobody = F.array().cast("array<string>")
     for level in range(depth):
-        grown = (
-            held.join(near.withColumnRenamed("src", "node_id"), "node_id", "left")
-            .withColumn(
-                "reached",
-                F.when(F.col("unfinished") & (F.col("b.distance") == level), F.coalesce("neighbours", F.array().cast("array<string>")))
-                .otherwise(F.array().cast("array<string>")),
-            )
-            .select(
-                "question_id",
-                F.explode(
-                    F.concat(
-                        F.array(F.struct(F.col("node_id"), F.col("b"))),
-                        F.transform(
-                            "reached",
-                            lambda n: F.struct(
-                                n.alias("node_id"),
-                                F.struct(
-                                    F.lit(level + 1).alias("distance"),
-                                    F.col("b.seed_hybrid_rank").alias("seed_hybrid_rank"),
-                                    F.col("b.negated").alias("negated"),
-                                    F.col("b.seed_node_id").alias("seed_node_id"),
-                                ).alias("b"),
-                            ),
-                        ),
-                    )
-                ).alias("r"),
-            )
-            .select("question_id", "r.node_id", "r.b")
-        )
-        held = reduce_level(grown)
+        on_frontier = F.col("unfinished") & (F.floor(F.col("priority") / LEVEL) == level)
+        reached = F.when(on_frontier, F.coalesce("neighbours", nobody)).otherwise(nobody)
+        itself = F.array(F.struct(F.col("node_id"), F.col("priority")))
+        joined = held.join(near.withColumnRenamed("src", "node_id"), "node_id", "left")
+        onward = F.transform(reached, lambda n: F.struct(n.alias("node_id"), (F.col("priority") + LEVEL).alias("priority")))
+        held = reduce_level(joined.select("question_id", F.inline(F.concat(itself, onward))))
         if level + 1 < depth:
             held = cut(held, f"bfs-{level}")
-    return held.select(
+    distance = F.floor(F.col("priority") / LEVEL).cast("int")
+    found = held.select(
+        "question_id", "node_id", "graph_rank", distance.alias("distance"), (F.col("priority") % LEVEL).cast("int").alias("seed_no")
+    )
+    return found.join(numbered, ["question_id", "seed_no"]).select(
         "question_id",
         "node_id",
-        F.col("b.seed_node_id").alias("seed_node_id"),
-        F.col("b.distance").alias("distance"),
-        (1.0 / (1 + F.col("b.distance"))).alias("graph_score"),
-        F.col("b.seed_hybrid_rank").alias("seed_hybrid_rank"),
-        (-F.col("b.negated")).alias("seed_hybrid_score"),
+        "seed_node_id",
+        "distance",
+        (1.0 / (1 + F.col("distance"))).alias("graph_score"),
+        F.col("hybrid_rank").alias("seed_hybrid_rank"),
+        F.col("hybrid_score").alias("seed_hybrid_score"),
         "graph_rank",
     )
 

@@ -48,3 +48,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores when the input has fewer splits than that; else ``df`` as it is.
+
+    For work that is heavy per row over a small or unsplittable file. Large inputs have many splits and do not shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

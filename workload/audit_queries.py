@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalink.functions import sqltext
 from catalink.operators import audit
-from workload.inputs import table
+from workload.inputs import spread_table
 from workload.sql_inputs import CTES, literal, with_ctes
 
 # The logged statements, by o_orderkey % 24; {k} stands for the order key.
@@ -64,7 +64,7 @@ def _pick(values: list, key: Column) -> Column:
 @lru_cache(maxsize=4)
 def query_log(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("o_orderkey")
-    return table(spark, sf, "orders").select(
+    return spread_table(spark, sf, "orders", "o_orderkey", "o_custkey").select(
         key.alias("query_id"),
         F.replace(_pick(STATEMENTS, key), F.lit("{k}"), key.cast("string")).alias("sql"),
         _pick(DIALECTS, F.col("o_custkey")).alias("dialect"),

@@ -11,7 +11,7 @@ from catalink.operators import catalog as cat
 from catalink.operators import documents as docs
 from catalink.operators import embedding as emb
 from catalink.sources import information_schema as info
-from workload.inputs import catalog, table
+from workload.inputs import catalog, spread_table, table
 from workload.sql_inputs import CTES, with_ctes
 
 K = "database_name, schema_name, table_name"
@@ -43,12 +43,12 @@ def all_documents(spark, sf):
 
 
 def document_tokens(spark, sf):
-    counted = docs.with_token_count(table(spark, sf, "documents"), "text")
+    counted = docs.with_token_count(spread_table(spark, sf, "documents", "doc_id", "text"), "text")
     return counted.select("doc_id", F.col("token_count"))
 
 
 def token_totals(spark, sf):
-    return docs.token_totals(table(spark, sf, "documents"), ["source", "lang"])
+    return docs.token_totals(spread_table(spark, sf, "documents", "source", "lang", "text"), ["source", "lang"])
 
 
 def _rounded(df: DataFrame, *keys: str) -> DataFrame:
@@ -59,7 +59,7 @@ def _rounded(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def embed_documents(spark, sf):
-    vectors = emb.embed(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    vectors = emb.embed(spread_table(spark, sf, "documents", "doc_id", "text"), "text")
     return _rounded(vectors, "doc_id")
 
 

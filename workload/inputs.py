@@ -7,6 +7,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalink.session import spread
 from catalink.sources import information_schema as info
 from workload import template as tpl
 from workload.sql_inputs import literal
@@ -16,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The needed columns of a table, dealt out over the cores, for work that is heavy per row."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 # ---- fleet catalog: one drifting copy of the template per customer ---------------------------------------------
 
 
@@ -26,7 +32,7 @@ def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = (
         F.when(c % 3 == 0, F.lower("c_mktsegment")).when(c % 3 == 1, database).otherwise(F.upper("c_mktsegment"))
     )
-    return table(spark, sf_dir, "customer").select(
+    return spread_table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").select(
         c.alias("c"), database.alias("database_name"), dialect.alias("dialect"), schema.alias("schema_name")
     )
 

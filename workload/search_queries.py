@@ -17,7 +17,7 @@ from catalink.plans import ann
 from catalink.plans.retrieval import Retrieval, retrieve
 from catalink.session import cut
 from workload.document_queries import nested, words
-from workload.inputs import table
+from workload.inputs import spread_table, table
 from workload.sql_inputs import CTES, with_ctes
 
 CORPUS = "corpus"
@@ -34,7 +34,7 @@ def corpus_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), F.lit(CORPUS).alias("database_name"), "text")
+    return spread_table(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("unit_id"), F.lit(CORPUS).alias("database_name"), "text")
 
 
 def corpus_vectors(spark: SparkSession, sf: str) -> DataFrame:
