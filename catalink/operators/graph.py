@@ -78,7 +78,7 @@ def stats(nodes_df: DataFrame, edges_df: DataFrame) -> DataFrame:
 
 def adjacency(nodes_df: DataFrame, edges_df: DataFrame) -> DataFrame:
     """Undirected ``(src, dst)`` pairs between existing table nodes over the traversed edge types."""
-    known = nodes_df.filter(F.col("type") == "table").select("node_id").distinct()
+    known = nodes_df.filter(F.col("type") == "table").select("node_id")
     walked = edges_df.filter(F.col("type").isin(*TRAVERSED)).select("src", "dst")
     walked = walked.join(known.select(F.col("node_id").alias("src")), "src", "left_semi")
     walked = walked.join(known.select(F.col("node_id").alias("dst")), "dst", "left_semi")
