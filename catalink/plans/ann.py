@@ -27,10 +27,12 @@ def candidate_pool(limit: int) -> int:
     return max(limit * 10, 50)
 
 
-def train_cells(units: DataFrame, cells: int | None = None) -> np.ndarray:
+def cell_count(units: int) -> int:
+    return min(MAX_CELLS, math.isqrt(units))
+
+
+def train_cells(units: DataFrame, total: int, cells: int) -> np.ndarray:
     """Unit-length centroids. Training reads a bounded sample; every unit is assigned and searched all the same."""
-    total = units.count()
-    cells = min(MAX_CELLS, cells or max(1, math.isqrt(total)))
     sample = units if total <= TRAINING_ROWS else units.sample(TRAINING_ROWS / total, seed=SEED)
     points = sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=SEED, maxIter=10, distanceMeasure="cosine").fit(points)
@@ -62,7 +64,11 @@ def approximate_search(questions: DataFrame, units: DataFrame, k: int, cells: in
     has_vector = F.size("embedding") > 0
     offered = units.filter(has_vector).select("unit_id", "database_name", "embedding")
     asked = questions.filter(has_vector).select("question_id", "database_name", "embedding")
-    centroids = train_cells(offered, cells)
+    total = offered.count()
+    wanted = cell_count(total) if cells is None else min(cells, MAX_CELLS)
+    if wanted < 2:
+        return vector_search(questions, units, k)
+    centroids = train_cells(offered, total, wanted)
 
     def key(cell: str):
         return F.concat_ws("#", "database_name", F.col(cell).cast("string"))

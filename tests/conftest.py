@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from catalink.session import build_session  # noqa: E402
+from catalink.session import build_session, cut  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -27,4 +27,4 @@ def film(spark):
     """Nested catalog of a small film rental database."""
     from tests.film import nested_film
 
-    return nested_film(spark)
+    return cut(nested_film(spark), "film")
