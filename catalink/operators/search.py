@@ -25,6 +25,7 @@ GRAPH_BOOST = 0.005
 HOP_PENALTY = 0.0005
 
 BROADCAST_QUESTIONS = 2_000  # questions sent to every task; larger sets are shuffled in blocks instead
+BROADCAST_VALUES = 8_000_000  # vector cells or terms sent to every task
 UNIT_BLOCK = 8_192
 QUESTION_BLOCK = 4_096
 VOCABULARY_BROADCAST = 200_000
@@ -133,8 +134,11 @@ def block_top_k(
     question_block: int = QUESTION_BLOCK,
 ) -> DataFrame:
     """Exact ``k`` best units of the same ``key`` per question: question_id, unit_id, score, rank."""
-    few = questions.limit(broadcast_questions + 1).count() <= broadcast_questions
-    if few:
+    payload = "embedding" if kernel == "cosine" else "terms"
+    sent = questions.limit(broadcast_questions + 1).agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(payload)), F.lit(0)).alias("values")
+    ).first()
+    if sent["rows"] <= broadcast_questions and sent["values"] <= BROADCAST_VALUES:
         hits = _scan_hits(questions, units, kernel, k)
     else:
         hits = _block_hits(questions, units, kernel, k, unit_block, question_block)

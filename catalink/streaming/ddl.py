@@ -51,7 +51,13 @@ def collect_notifications(stream: DataFrame, out: str, checkpoint: str, interval
 
 
 def _last_state(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """The newest state written by an earlier batch."""
+    """The newest state written by an earlier batch; normally the one just before, else the folder is searched."""
+    if batch_id == 0:
+        return None
+    try:
+        return spark.read.parquet(f"{path}/batch={batch_id - 1}")
+    except AnalysisException:
+        pass
     try:
         states = spark.read.parquet(path).filter(F.col("batch") < batch_id)
     except AnalysisException:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalink.operators import catalog as ops
 from catalink.sources import information_schema as info
-from workload.inputs import catalog
+from workload.inputs import catalog, conformed
 from workload.sql_inputs import with_ctes
 
 KEY = ["database_name", "schema_name", "table_name"]
@@ -49,8 +49,8 @@ def index_defs(spark, sf):
     return info.index_defs_to_arrays(catalog(spark, sf)).select(*KEY, "index_name", _joined("columns").alias("index_columns"), "is_unique")
 
 
-def conformed(spark, sf):
-    return catalog(spark, sf).columns
+def conformed_columns(spark, sf):
+    return conformed(spark, sf).columns
 
 
 def column_arrays(spark, sf):
@@ -95,7 +95,7 @@ QUERIES = {
     "catalog_foreign_keys": foreign_keys,
     "catalog_indexes": indexes,
     "catalog_index_defs": index_defs,
-    "catalog_conform": conformed,
+    "catalog_conform": conformed_columns,
     "catalog_column_arrays": column_arrays,
     "catalog_primary_index": primary_index,
     "catalog_nested": nested,

@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalink.session import spread
+from catalink.session import cut, spread
 from catalink.sources import information_schema as info
 from workload import template as tpl
 from workload.sql_inputs import literal
@@ -204,5 +204,13 @@ def raw_fleet(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> dict[str,
 
 
 @lru_cache(maxsize=8)
-def catalog(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> info.Catalog:
+def conformed(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> info.Catalog:
+    """The raw layouts of all dialects read into one catalog."""
     return info.conform(raw_fleet(spark, sf_dir, snapshot))
+
+
+@lru_cache(maxsize=8)
+def catalog(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> info.Catalog:
+    """The conformed catalog as stored tables, written once per session."""
+    lazy = conformed(spark, sf_dir, snapshot)
+    return info.Catalog(*(cut(getattr(lazy, member), f"meta-{member}") for member in info.Catalog.MEMBERS))
