@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,18 +39,38 @@ def train_cells(units: DataFrame, total: int, cells: int) -> np.ndarray:
     return normalised(np.array(model.clusterCenters()))
 
 
-def _nearest_cells(df: DataFrame, centroids: np.ndarray, first: int) -> DataFrame:
-    """``cells``: the ``first`` nearest cells of each row's vector, nearest first."""
-    keep = [c for c in df.columns]
-    schema = T.StructType([*df.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
+def _with_cells(df: DataFrame, centroids: np.ndarray, pool: int | None = None) -> DataFrame:
+    """``cells``: the nearest cell of each row's vector, or, given a ``pool``, the nearest cells that hold it.
+
+    For the latter the rows carry ``filled``, the (cell, n) pairs of their database; empty cells are not visited.
+    """
+    keep = [c for c in df.columns if c != "filled"]
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("cells", T.ArrayType(T.IntegerType()))])
     sent = df.sparkSession.sparkContext.broadcast(centroids)
 
+    def visited(batch: pa.RecordBatch, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        filled = batch.column(batch.schema.get_field_index("filled"))
+        pairs, sizes = filled.flatten(), np.diff(filled.offsets.to_numpy())
+        held = np.zeros(order.shape, dtype=np.int64)
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        held[rows, pairs.field("cell").to_numpy()] = pairs.field("n").to_numpy()
+        held = np.take_along_axis(held, order, axis=1)
+        return np.nonzero((np.cumsum(held, axis=1) - held < pool) & (held > 0))
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            matrix = normalised(list_matrix(pa.chunked_array([batch.column(keep.index("embedding"))])))
-            order = np.argsort(-(matrix @ sent.value.T), axis=1, kind="stable")[:, :first] if batch.num_rows else []
-            cells = pa.array([row.tolist() for row in order], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=[*keep, "cells"])
+            if not batch.num_rows:
+                continue
+            matrix = normalised(list_matrix(pa.chunked_array([batch.column(batch.schema.get_field_index("embedding"))])))
+            order = np.argsort(-(matrix @ sent.value.T), axis=1, kind="stable")
+            if pool is None:
+                rows, places = np.arange(len(order)), np.zeros(len(order), dtype=np.int64)
+            else:
+                rows, places = visited(batch, order)
+            offsets = np.searchsorted(rows, np.arange(len(order) + 1)).astype(np.int32)
+            cells = pa.ListArray.from_arrays(pa.array(offsets), pa.array(order[rows, places].astype(np.int32)))
+            arrays = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*arrays, cells], names=[*keep, "cells"])
 
     return df.mapInArrow(assign, schema)
 
@@ -73,26 +93,19 @@ def approximate_search(questions: DataFrame, units: DataFrame, k: int, cells: in
     def key(cell: str):
         return F.concat_ws("#", "database_name", F.col(cell).cast("string"))
 
-    placed = cut(
-        _nearest_cells(offered, centroids, 1).withColumn("cell", F.col("cells")[0]).drop("cells"), "cells"
-    )
-    filled = placed.groupBy("database_name", "cell").agg(F.count(F.lit(1)).alias("n"))
-    ranked = _nearest_cells(asked, centroids, len(centroids)).select(
-        "question_id", "database_name", "embedding", F.posexplode("cells").alias("place", "cell")
-    )
-    before = Window.partitionBy("question_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    visited = (
-        ranked.drop("embedding")
-        .join(filled, ["database_name", "cell"])
-        .withColumn("held", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .filter(F.col("held") < candidate_pool(k))
-        .select("question_id", "cell")
+    placed = cut(_with_cells(offered, centroids).withColumn("cell", F.col("cells")[0]).drop("cells"), "cells")
+    # At most MAX_CELLS pairs per database.
+    filled = (
+        placed.groupBy("database_name", "cell")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("database_name")
+        .agg(F.collect_list(F.struct("cell", "n")).alias("filled"))
     )
     # One row per question and visited cell; its id names both, so that the block search ranks each cell on its own.
     probes = cut(
-        asked.join(visited, "question_id").select(
-            F.struct("question_id", "cell").alias("probe"), key("cell").alias("database_name"), "embedding"
-        ),
+        _with_cells(asked.join(filled, "database_name"), centroids, candidate_pool(k))
+        .select("question_id", "database_name", "embedding", F.explode("cells").alias("cell"))
+        .select(F.struct("question_id", "cell").alias("probe"), key("cell").alias("database_name"), "embedding"),
         "probes",
     )
     flat = probes.withColumn("question_id", F.to_json("probe"))
