@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalink.functions import scoring
 from catalink.functions.ranking import first_per, top_k
+from catalink.functions.scoring import local_hits, merge_hits
 from catalink.functions.text import tokens
 from catalink.operators.graph import DEFAULT_SCHEMA, table_id
 from catalink.session import cut
@@ -66,8 +66,8 @@ def _scan_hits(questions: DataFrame, units: DataFrame, kernel: str, k: int) -> D
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            hits = scoring.local_hits(kernel, sent.value, pa.Table.from_batches([batch]), k)
-            held = scoring.merge_hits(held, hits, k)
+            hits = local_hits(kernel, sent.value, pa.Table.from_batches([batch]), k)
+            held = merge_hits(held, hits, k)
         if held is not None:
             yield from held.combine_chunks().to_batches()
 
@@ -119,7 +119,7 @@ def _block_hits(
     right = placed(units, "n_u", "unit_id", "n_q").groupBy("grp", "ub", "qb")
 
     def score(asked: pa.Table, offered: pa.Table) -> pa.Table:
-        return scoring.local_hits(kernel, asked, offered, k)
+        return local_hits(kernel, asked, offered, k)
 
     return left.cogroup(right).applyInArrow(score, _hit_schema(questions, units))
 
