@@ -13,6 +13,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from catalink.llm.common import text_bytes
 SPACE = "▁"
 WHOLE = r"[\s\S]+"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model format
+SLICE = 256  # texts encoded at a time
 CACHE_ENTRIES = 200_000  # remembered words per Python worker; saves time only, results do not depend on it
 
 
@@ -106,6 +108,94 @@ def _character_length(text: bytes, at: int) -> int:
     return length if at + length <= len(text) else 0
 
 
+class Merges:
+    """The merges of many short words at once: symbols are numbers, a table has the rank and the result of each pair that merges."""
+
+    WIDTHS = (8, 14, 22, 32, 48)
+
+    def __init__(self, ids: dict[str, int], order: dict[str, int], none: int):
+        self.none, self.base = none, max(ids.values()) + 1
+        symbols = dict(ids)
+        for c in sorted({c for p in ids for c in p} - ids.keys()):  # in pieces, but no piece itself
+            symbols[c] = self.base + ord(c)
+        self.span = self.base + 0x110000
+        found = [
+            (symbols[p[:k]] * self.span + symbols[p[k:]], order[p], symbols[p])
+            for p in ids for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols
+        ]
+        table = np.array(sorted(found) or [(-1, none, 0)], np.int64)
+        self.keys, self.ranks, self.results = (np.ascontiguousarray(table[:, i]) for i in range(3))
+        self.symbol = np.arange(0x110000, dtype=np.int64) + self.base  # of a code point; one without a piece cannot merge further
+        for c, i in ids.items():
+            if len(c) == 1:
+                self.symbol[ord(c)] = i
+        self.widths = np.zeros(self.base, np.int32)  # bytes in the original text, where a mark is a space
+        for p, i in ids.items():
+            self.widths[i] = len(p.encode()) - 2 * p.count(SPACE)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = left * self.span + right
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[place] == key, self.ranks[place], self.none), self.results[place]
+
+    def encode(self, words: list[str]) -> list[bytes | None]:
+        """Packed pairs of id and width for each word; None for one that is too long or has a character without a piece."""
+        out: list[bytes | None] = [None] * len(words)
+        sizes = np.array(list(map(len, words)))
+        floor = 0
+        for width in self.WIDTHS:
+            chosen = np.flatnonzero((sizes > floor) & (sizes <= width))
+            floor = width
+            if len(chosen):
+                self._group([words[i] for i in chosen], sizes[chosen], width, chosen.tolist(), out)
+        return out
+
+    def _group(self, words: list[str], sizes: np.ndarray, width: int, places: list[int], out: list) -> None:
+        n = len(words)
+        column = np.arange(width)
+        inside = column < sizes[:, None]
+        grid = np.full((n, width + 1), -1, np.int64)
+        grid[:, :width][inside] = self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        after = np.broadcast_to(np.arange(1, width + 2), (n, width + 1)).copy()
+        before = np.broadcast_to(np.arange(-1, width), (n, width + 1)).copy()
+        ranks = np.full((n, width + 1), self.none, np.int64)
+        results = np.zeros((n, width + 1), np.int64)
+        paired = np.zeros((n, width + 1), bool)
+        paired[:, : width - 1] = column[1:] < sizes[:, None]
+        r, c = np.nonzero(paired)
+        ranks[r, c], results[r, c] = self._pairs(grid[r, c], grid[r, c + 1])
+        rows = np.arange(n)
+        while len(rows):
+            best = ranks[rows].argmin(1)  # the first of equals is the leftmost
+            going = ranks[rows, best] < self.none
+            rows, left = rows[going], best[going]
+            if not len(rows):
+                break
+            right = after[rows, left]
+            following = after[rows, right]
+            grid[rows, left] = results[rows, left]
+            grid[rows, right] = -1
+            ranks[rows, right] = self.none
+            after[rows, left] = following
+            ranks[rows, left] = self.none
+            more = following < sizes[rows]
+            r, a, b = rows[more], left[more], following[more]
+            before[r, b] = a
+            ranks[r, a], results[r, a] = self._pairs(grid[r, a], grid[r, b])
+            more = before[rows, left] >= 0
+            r, b = rows[more], left[more]
+            a = before[r, b]
+            ranks[r, a], results[r, a] = self._pairs(grid[r, a], grid[r, b])
+        known = (grid < self.base).all(1).tolist()
+        alive = grid >= 0
+        flat = grid[alive]
+        pairs = np.stack([flat, self.widths[np.minimum(flat, self.base - 1)]], 1).astype("<i4").tobytes()
+        ends = (8 * np.concatenate([[0], np.cumsum(alive.sum(1))])).tolist()
+        for place, ok, start, end in zip(places, known, ends, ends[1:]):
+            if ok:
+                out[place] = pairs[start:end]
+
+
 class Codec:
     def __init__(self, model: Model):
         self.model = model
@@ -132,11 +222,13 @@ class Codec:
             self.chunks = re.compile(f"{SPACE}+{letters}*|{letters}+|[\\s\\S]")
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        # Without a character map, and if no piece crosses words, a word has the same pieces wherever it stands.
+        # Without a character map, and if no piece crosses words or lines, a word has the same pieces wherever it stands.
         self.plain = (
-            self.map is None and not self.own and self.chunks.pattern != WHOLE and model.byte_fallback
-            and model.add_dummy_prefix and model.escape_whitespaces and not model.remove_extra_whitespaces
+            self.map is None and not self.own and not self.unused and self.chunks.pattern != WHOLE and "\n" not in bridging
+            and model.byte_fallback and model.add_dummy_prefix and model.escape_whitespaces and not model.remove_extra_whitespaces
         )
+        if self.plain:
+            self.merges = Merges(self.ids, self.order, self.none)
         surfaces = []
         for piece, kind in zip(model.pieces, model.types):
             if kind == BYTE:
@@ -286,9 +378,9 @@ class Codec:
         return done
 
     def _word(self, word: str, marked: bool) -> bytes:
-        """Pairs of id and width, packed: of a whole word in original bytes, the space before it included, or of a normalised part."""
+        """Pairs of id and width, packed: of a token of a plain text in original bytes, or of a normalised part."""
         out = []
-        for chunk in self.chunks.findall(SPACE + word) if marked else [word]:
+        for chunk in self.chunks.findall(word) if marked else [word]:
             short = len(chunk) <= 48 and not self.own and not self.unused
             for part in self._merge_short(chunk) if short else self._merge(chunk):
                 found = self.ids.get(part)
@@ -303,47 +395,64 @@ class Codec:
                     out += self.unknown, width
         return struct.pack(f"<{len(out)}i", *out)
 
-    def _look_up(self, words: list[str], marked: bool) -> tuple[np.ndarray, np.ndarray]:
-        cache = self.words if marked else self.parts
-        found = list(map(cache.get, words))
-        try:
-            packed = b"".join(found)
-        except TypeError:  # some are not known yet
-            for i, hit in enumerate(found):
-                if hit is None:
-                    word = words[i]
-                    hit = found[i] = cache.get(word) or self._word(word, marked)
-                    if len(word) <= 64:
-                        if len(cache) >= CACHE_ENTRIES:
-                            cache.clear()
-                        cache[word] = hit
-            packed = b"".join(found)
-        pairs = np.frombuffer(packed, "<i4").reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1]
+    def _learn(self, tokens: set[str]) -> None:
+        """Look up tokens of plain texts that are not known yet; a line break's token has no space before it."""
+        new = [t for t in tokens if t not in self.words]
+        if len(self.words) + len(new) > CACHE_ENTRIES:
+            self.words.clear()
+            new = list(tokens)
+        shown = [t if t[:1] == "\n" else SPACE + t for t in new]
+        for token, word, packed in zip(new, shown, self.merges.encode(shown)):
+            self.words[token] = self._word(word, True) if packed is None else packed
+
+    def encode_all(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``encode`` of each text; the new words of all are looked up together."""
+        split = [self._plain_tokens(t) for t in texts]
+        tokens: set[str] = set()
+        for found in split:
+            if found is not None:
+                tokens.update(found)
+        if tokens:
+            self._learn(tokens)
+        return [self._encode_tokens(found) if found is not None else self._encode_any(t) for t, found in zip(texts, split)]
 
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and the borders of their spans: piece i covers the original bytes borders[i] to borders[i + 1]."""
-        words = self._plain_words(text)
-        if words is not None:
-            ids, widths = self._look_up(words, True)
-            borders = np.zeros(len(ids) + 1, np.int64)
-            np.cumsum(widths, out=borders[1:])
-            borders[1:] -= 1  # the mark before the first word has no space in the text
-            return ids, borders
+        return self.encode_all([text])[0]
+
+    def _encode_tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pairs = np.frombuffer(b"".join(map(self.words.__getitem__, tokens)), "<i4").reshape(-1, 2)
+        borders = np.zeros(len(pairs) + 1, np.int64)
+        np.cumsum(pairs[:, 1], out=borders[1:])
+        borders[1:] -= 1  # the mark before the first word has no space in the text
+        return pairs[:, 0], borders
+
+    def _encode_any(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         normal, origin = self.normalize(text)
-        ids, widths = self._look_up(self.chunks.findall(normal.decode()), False)
+        found = []
+        for part in self.chunks.findall(normal.decode()):
+            hit = self.parts.get(part)
+            if hit is None:
+                hit = self._word(part, False)
+                if len(part) <= 64:
+                    if len(self.parts) >= CACHE_ENTRIES // 4:
+                        self.parts.clear()
+                    self.parts[part] = hit
+            found.append(hit)
+        pairs = np.frombuffer(b"".join(found), "<i4").reshape(-1, 2)
+        ids, widths = pairs[:, 0], pairs[:, 1]
         if not self.model.byte_fallback and len(ids):
             first = np.ones(len(ids), bool)  # neighbouring unknown pieces are one
             first[1:] = (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)
             ids, widths = ids[first], np.add.reduceat(widths, np.flatnonzero(first))
         return ids, origin[np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])]
 
-    def _plain_words(self, text: bytes) -> list[str] | None:
-        """The words of a text in which normalisation only puts a mark for each single space; None for any other text."""
+    def _plain_tokens(self, text: bytes) -> list[str] | None:
+        """Words of a text in which normalisation only puts a mark for each single space, split before line breaks; None for others."""
         if not self.plain or not text or text[:1] == b" " or text[-1:] == b" " or b"  " in text or self.mark in text:
             return None
         try:
-            return text.decode().split(" ")
+            return text.decode().replace("\n", " \n").split(" ")
         except UnicodeDecodeError:
             return None
 
@@ -367,7 +476,8 @@ class Codec:
 def encode_texts(
     df: DataFrame, model_path: str, text: str = "text", to: str = "encoding", parts: tuple[str, ...] = ("ids", "borders")
 ) -> DataFrame:
-    """``df`` with a struct column of the asked parts: ``ids`` array<int>, ``borders`` array<long>, ``n_bytes`` long.
+    """``df`` with a struct column of the asked parts: ``ids`` array<int>, ``borders`` array<long>, ``n_ids`` long, ``n_bytes`` long,
+    ``ids_sha256`` (of the decimal ids joined by commas), ``decoded`` (the text decoded from the ids) and ``decoded_sha256``.
 
     Piece i covers the original UTF-8 bytes from borders[i] up to borders[i + 1] (0-based, one border more than ids); ``n_bytes`` is the
     last border. A null or empty text has no ids and the single border 0. Whole texts are encoded, of any length; equal texts give equal
@@ -379,23 +489,30 @@ def encode_texts(
 
 def encode_column(spark: SparkSession, model_path: str, text: Column, parts: tuple[str, ...] = ("ids", "borders")) -> Column:
     model = spark.sparkContext.broadcast(Model.load(model_path))
-    kinds = {"ids": "array<int>", "borders": "array<bigint>", "n_bytes": "bigint"}
+    kinds = {"ids": "array<int>", "borders": "array<bigint>", "n_ids": "bigint", "n_bytes": "bigint"}
 
     def lists(arrays: list[np.ndarray], kind) -> pa.Array:
         ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0)]).astype(kind)))
 
-    @F.arrow_udf(f"struct<{', '.join(f'{p}: {kinds[p]}' for p in parts)}>")
+    @F.arrow_udf(f"struct<{', '.join(f'{p}: {kinds.get(p, "string")}' for p in parts)}>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(model.value)
+        decimals = [str(i).encode() for i in range(len(model.value.pieces))]
         for batch in batches:
-            results = [codec.encode(t) for t in text_bytes(batch)]
-            made = {
-                "ids": lambda: lists([r[0] for r in results], np.int32),
-                "borders": lambda: lists([r[1] for r in results], np.int64),
-                "n_bytes": lambda: pa.array([int(r[1][-1]) for r in results], pa.int64()),
-            }
-            yield pa.StructArray.from_arrays([made[p]() for p in parts], list(parts))
+            for start in range(0, len(batch), SLICE):
+                results = codec.encode_all(text_bytes(batch.slice(start, SLICE)))
+                numbers = [r[0].tolist() for r in results] if any(p not in kinds for p in parts) else []
+                made = {
+                    "ids": lambda: lists([r[0] for r in results], np.int32),
+                    "borders": lambda: lists([r[1] for r in results], np.int64),
+                    "n_ids": lambda: pa.array([len(r[0]) for r in results], pa.int64()),
+                    "n_bytes": lambda: pa.array([int(r[1][-1]) for r in results], pa.int64()),
+                    "ids_sha256": lambda: pa.array([sha256(b",".join(map(decimals.__getitem__, x))).hexdigest() for x in numbers]),
+                    "decoded": lambda: pa.array([codec.decode(x) for x in numbers], pa.string()),
+                    "decoded_sha256": lambda: pa.array([sha256(codec.decode(x).encode()).hexdigest() for x in numbers]),
+                }
+                yield pa.StructArray.from_arrays([made[p]() for p in parts], list(parts))
 
     return encode(text)
 
