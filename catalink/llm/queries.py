@@ -6,23 +6,55 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalink.llm import sentencepiece_codec
-from catalink.llm.common import read
+from catalink.llm import fingerprints, language, near_duplicates, quality, sentencepiece_codec
+from catalink.llm.common import fold, read
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("fold", fold(F.col("doc_id"), 3))
+    model = language.fit(docs.filter("fold != 1"))  # a null id is in no fold and is not learned from
+    found = language.predict(docs.select("doc_id", "fold", "text"), model)
+    return found.select(
+        "doc_id",
+        F.coalesce(F.col("fold") == 1, F.lit(False)).alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+    )
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = public_tokenizers.path("piece_bpe_32k.model")) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    encoded = sentencepiece_codec.encode_texts(docs, model, parts=("ids", "n_bytes"))
-    found = encoded.select("doc_id", F.col("encoding.ids").alias("ids"), F.col("encoding.n_bytes").alias("n_bytes"))
-    decoded = sentencepiece_codec.decode_column(spark, model, F.col("ids"))
-    return found.select(
+    parts = ("n_ids", "ids_sha256", "decoded_sha256", "n_bytes")
+    encoded = sentencepiece_codec.encode_texts(docs, model, parts=parts)
+    return encoded.select("doc_id", F.col("encoding.n_ids").alias("n_tokens"), *[f"encoding.{p}" for p in parts[1:]])
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return near_duplicates.near_duplicates(docs, shingle_words=3, percent=85)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    labels = read(spark, sf_dir, "labels", "doc_id", "quality")
+    model = quality.fit(docs, labels.filter(fold(F.col("doc_id"), 4) != 2))
+    return quality.score(docs, model).select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(decoded, 256).alias("decoded_sha256"),
-        "n_bytes",
+        F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.PASS_MARK).cast("int").alias("predicted"),
     )
 
 
-QUERIES = {"op3_sentencepiece": op3_sentencepiece}
+QUERIES = {
+    "op2_language": op2_language,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_fingerprints": op4_fingerprints,
+    "op6_near_duplicates": op6_near_duplicates,
+    "op8_quality": op8_quality,
+}
 ORACLES: dict[str, str] = {}
