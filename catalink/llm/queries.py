@@ -6,10 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalink.llm import fingerprints, language, near_duplicates, quality, sentencepiece_codec
+from catalink.llm import fingerprints, language, licences, mixing, near_duplicates, neighbours, quality, repeats, sentencepiece_codec, url_filters
 from catalink.llm.common import fold, read
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "source", "text").withColumn("size", mixing.word_count(F.col("text")))
+    mixed = mixing.mix(docs.select("doc_id", "source", "size"))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken, "source", "copies")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("fold", fold(F.col("doc_id"), 3))
     model = language.fit(docs.filter("fold != 1"))  # a null id is in no fold and is not learned from
@@ -33,11 +40,26 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.col("repeats.n_bytes").alias("n_bytes"),
+        F.col("repeats.removed").alias("n_removed"),
+        F.size("repeats.spans").cast("long").alias("n_spans"),
+        F.sha2("repeats.kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return near_duplicates.near_duplicates(docs, shingle_words=3, percent=85)
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     labels = read(spark, sf_dir, "labels", "doc_id", "quality")
@@ -50,11 +72,28 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0").select("vec_id"))
+
+
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(read(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_language": op2_language,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_fingerprints": op4_fingerprints,
+    "op5_repeats": op5_repeats,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_licences": op7_licences,
     "op8_quality": op8_quality,
+    "op9_neighbours": op9_neighbours,
+    "op10_url_filters": op10_url_filters,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_licences": licences.oracle()}
