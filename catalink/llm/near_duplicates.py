@@ -15,13 +15,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalink.llm.common import text_bytes
+from catalink.llm.common import Scratch, text_bytes
 from catalink.llm.graphs import components
-from catalink.session import cut
 
 SKETCH = 32
 MISS = 1e-9  # chance at which the estimate may lose a pair just at the threshold
 CACHE_ENTRIES = 200_000
+PART = 2_000_000  # values of full sets that one task counts
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -96,41 +96,58 @@ def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The linked pairs: sketches estimate, full sets decide."""
     limit = least_overlap(percent)
-    pairs = pairs.filter("100 * least(a_n, b_n) >= {0} * greatest(a_n, b_n)".format(percent))
+    pairs = pairs.filter(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
     seen = _both(pairs.select("a", "b", "a_n", "b_n"), nodes, "sketch")
     union = F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, SKETCH)
     shared = F.size(F.array_intersect(F.array_intersect("a_sketch", "b_sketch"), union))
     # A sketch that is a whole set is not an estimate: the limit for it is exact.
     whole = F.greatest("a_n", "b_n") <= SKETCH
     likely = F.when(whole, 100 * shared >= percent * F.size(F.array_union("a_sketch", "b_sketch"))).otherwise(shared >= limit)
-    likely = cut(seen.filter(likely).select("a", "b", "a_n", "b_n"), "likely")
+    likely = scratch.write(seen.filter(likely).select("a", "b", "a_n", "b_n"), "likely")
     full = _both(likely, sets, "values")
     common = F.size(F.array_intersect("a_values", "b_values"))
-    return cut(full.filter(100 * common >= percent * (F.col("a_n") + F.col("b_n") - common)).select("a", "b"), "links")
+    links = scratch.write(full.filter(100 * common >= percent * (F.col("a_n") + F.col("b_n") - common)).select("a", "b"), "links")
+    scratch.drop(likely)
+    return links
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for each row: its class among rows linked by a Jaccard similarity of ``percent`` or more.
+def _shared_counts(sets: DataFrame) -> DataFrame:
+    """(set_id, shared): how many values of each full set any other set of the table has.
 
-    A-Z are lower-cased, words lie between ASCII spaces, a set holds the distinct runs of ``shingle_words`` words, or the whole sequence
-    of fewer words. Null or blank texts have an empty set and are linked with nothing, their component being their own key. component_id
-    is the smallest key reachable, kept whether it is the row's own. Rows of equal sets are linked, so repeated rows share a component and
-    all rows of the smallest key are kept. Null keys take part but are no component id unless all of a component's are null (then kept).
-    An empty table gives an empty result; extra columns are ignored.
-
-    Rows with equal sets count as one node. Retained values that several nodes share are ordered from rare to frequent over the whole
-    corpus; two linked sets share one of the first few, as they have ``least_overlap`` retained values in common, but with a chance of
-    MISS. In each list of nodes with a value all are compared with one leader, the node whose values are most common; then those pairs
-    are compared which are not yet in one component. No pair is left out for the length of a list.
+    The range of hash values is cut into as many equal parts as bound a part's values to about PART; a task counts one part.
     """
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
-    rows = cut(rows.select("key", _sets(F.col("text"), shingle_words, SKETCH).alias("s")).select("key", "s.*"), "sketches")
-    # Only lists of hashes are compared below; equal sets have equal sketches.
-    nodes = rows.filter("n > 0").groupBy("set_id", "n").agg(F.min("key").alias("low"), F.max("values").alias("sketch"))
-    nodes = cut(nodes, "nodes")
+    total = sets.agg(F.sum(F.size("values"))).first()[0] or 0
+    parts = max(1, math.ceil(total / PART))
+    borders = np.array([-(1 << 63) + (1 << 64) * i // parts for i in range(1, parts)], np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for set_id, values in zip(batch.column(0).to_pylist(), batch.column(1)):
+                values = np.asarray(values.values)
+                ends = [0, *np.searchsorted(values, borders).tolist(), len(values)]
+                out += [(part, set_id, values[a:b]) for part, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
+            columns = list(zip(*out)) or [[]] * 3
+            kinds = (pa.int32(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["part", "set_id", "values"])
+
+    def count(table: pa.Table) -> pa.Table:
+        lists = table.column("values").combine_chunks()
+        flat, ends = np.asarray(lists.flatten()), np.cumsum([0, *(len(x) for x in lists)])
+        _, place, uses = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = np.add.reduceat((uses[place] > 1).astype(np.int64), ends[:-1])
+        return pa.table({"set_id": table.column("set_id"), "shared": pa.array(shared)})
+
+    dealt = sets.select("set_id", "values").mapInArrow(deal, "part int, set_id binary, values array<bigint>")
+    counted = dealt.groupBy("part").applyInArrow(count, "set_id binary, shared bigint")
+    return counted.groupBy("set_id").agg(F.sum("shared").alias("shared"))
+
+
+def _inverted_lists(nodes: DataFrame, percent: int) -> DataFrame:
+    """(value, set_id, n, weight): the nodes with each of the first few retained values, rare ones first, that several nodes have."""
     limit = least_overlap(percent)
     exact = F.ceil(F.col("n") * percent / 100.0).cast("int")
     # Sets whose partners all have whole sketches as well must share as many values as their similarity says.
@@ -143,42 +160,98 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     # Values of this node alone take the first slots.
     slots = F.col("slots") - (F.col("kept") - F.size("shared"))
     listed = ranked.filter(slots > 0).select("set_id", "n", "weight", F.explode(F.slice("shared", 1, slots)).alias("v"))
-    lists = cut(listed.select(F.col("v.value").alias("value"), "set_id", "n", "weight"), "lists")
-
-    leaders = lists.groupBy("value").agg(F.max(F.struct("weight", "set_id", "n")).alias("top"), F.count("*").alias("members"))
-    leaders = leaders.filter("members > 1")
-    ordered = lists.join(leaders.select("value", "top"), "value").filter("set_id <> top.set_id")
-    first = ordered.select(F.col("top.set_id").alias("a"), F.col("set_id").alias("b"), F.col("top.n").alias("a_n"), F.col("n").alias("b_n"))
-    first = cut(first.distinct(), "pairs")
-
-    members = lists.select("set_id").distinct()
-    lows = nodes.join(members, "set_id", "left_semi").select("low")
-    texts = df.select(F.col(key).cast("long").alias("low"), F.col(text).cast("binary").alias("text"))
-    texts = texts.join(lows.distinct(), lows["low"].eqNullSafe(texts["low"]), "left_semi")
+    return listed.select(F.col("v.value").alias("value"), "set_id", "n", "weight")
+
+
+def _open_pairs(lists: DataFrame, roots: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b, a_n, b_n) of a list that are in different components and whose sizes still admit the threshold.
+
+    Of n values a node shares ``shared`` with any other node, so a partner has at most shared * (100 + percent) / percent - n values.
+    Nodes outside a list's largest component look for partners by size class, so no pair of other sizes is met.
+    """
+    rows = lists.join(roots, lists["set_id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "set_id")).drop("node")
+    per_root = rows.groupBy("value", "root").agg(F.count("*").alias("members"))
+    main = per_root.groupBy("value").agg(F.max(F.struct("members", "root")).alias("m"), F.count("*").alias("roots"))
+    rows = rows.join(main.filter("roots > 1").select("value", F.col("m.root").alias("main")), "value")
+    highest = F.floor(F.least(F.col("n") * 100 / percent, F.col("shared") * (100 + percent) / percent - F.col("n"))).cast("long")
+    rows = rows.withColumn("low", F.ceil(F.col("n") * percent / 100).cast("long")).withColumn("high", highest).filter("low <= high")
+
+    def size_class(n):
+        return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) * 50).cast("int")
+
+    rows = scratch.write(rows.select("value", "set_id", "n", "root", "main", "low", "high"), "open")
+    seeking = rows.filter("root <> main").withColumn("class", F.explode(F.sequence(size_class(F.col("low")), size_class(F.col("high")))))
+    offered = rows.withColumn("class", size_class(F.col("n")))
+    met = seeking.alias("x").join(offered.alias("y"), F.expr(
+        "x.value = y.value AND x.class = y.class AND x.root <> y.root AND y.n BETWEEN x.low AND x.high AND x.n BETWEEN y.low AND y.high "
+        "AND (y.root = y.main OR x.set_id < y.set_id)"
+    ))
+    ends = "least(x.set_id, y.set_id) AS a", "greatest(x.set_id, y.set_id) AS b"
+    sizes = "IF(x.set_id < y.set_id, x.n, y.n) AS a_n", "IF(x.set_id < y.set_id, y.n, x.n) AS b_n"
+    out = scratch.write(met.selectExpr(*ends, *sizes).distinct(), "pairs")
+    scratch.drop(rows)
+    return out
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """(key, n_shingles, component_id, kept) for each row: its class among rows linked by a Jaccard similarity of ``percent`` or more.
+
+    A-Z are lower-cased, words lie between ASCII spaces, a set holds the distinct runs of ``shingle_words`` words, or the whole sequence
+    of fewer words. Null or blank texts have an empty set and are linked with nothing, their component being their own key. component_id
+    is the smallest key reachable, kept whether it is the row's own. Rows of equal sets are linked, so repeated rows share a component and
+    all rows of the smallest key are kept. Null keys take part but are no component id unless all of a component's are null (then kept).
+    An empty table gives an empty result; extra columns are ignored.
+
+    Rows with equal sets count as one node. Retained values that several nodes share are ordered from rare to frequent over the whole
+    corpus; two linked sets share one of the first few, as they have ``least_overlap`` retained values in common, but with a chance of
+    MISS. Nodes of such lists whose full sets share too few values with all others together are linked with none. In each list all are
+    compared with one leader, the node whose values are most common; then those pairs are compared which are not yet in one component.
+    No pair is left out for the length of a list.
+    """
+    scratch = Scratch(df.sparkSession)
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
+    rows = scratch.write(rows.select("key", _sets(F.col("text"), shingle_words, SKETCH).alias("s")).select("key", "s.*"), "sketches")
+    # Equal sets have equal sketches.
+    nodes = rows.filter("n > 0").groupBy("set_id", "n").agg(F.min("key").alias("low"), F.max("values").alias("sketch"))
+    nodes = scratch.write(nodes, "nodes")
+    rows_again = scratch.write(rows.select("key", "n", "set_id"), "rows")
+    scratch.drop(rows)
+    lists = scratch.write(_inverted_lists(nodes, percent), "lists")
+
+    members = scratch.write(lists.select("set_id").distinct(), "members")
+    lows = nodes.join(members, "set_id", "left_semi").select(F.col("low").alias("listed")).distinct()
+    texts = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
+    texts = texts.join(lows, F.col("listed").eqNullSafe(F.col("key")), "left_semi")
     sets = texts.select(_sets(F.col("text"), shingle_words, None).alias("s")).select("s.set_id", "s.values")
-    sets = cut(sets.join(members, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
+    all_sets = scratch.write(sets.join(members, "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
+    scratch.drop(members)
+    # A node can be linked only if others have as many of its values as the threshold asks for.
+    able = scratch.write(_shared_counts(all_sets), "shared")
+    kept = lists.join(able, "set_id").filter(f"100 * shared >= {percent} * n")
+    kept = scratch.write(kept, "able")
+    sets = scratch.write(all_sets.join(kept.select("set_id").distinct(), "set_id", "left_semi"), "able_sets")
+    scratch.drop(lists, able, all_sets)
+
+    leaders = kept.groupBy("value").agg(F.max(F.struct("weight", "set_id", "n")).alias("top"), F.count("*").alias("members"))
+    leaders = leaders.filter("members > 1").select("value", "top")
+    first = kept.join(leaders, "value").filter("set_id <> top.set_id")
+    first = first.select(F.col("top.set_id").alias("a"), F.col("set_id").alias("b"), F.col("top.n").alias("a_n"), F.col("n").alias("b_n"))
+    first = scratch.write(first.distinct(), "pairs")
+    links = _confirmed(first, nodes, sets, percent, scratch)
+    scratch.drop(first)
+    roots = scratch.write(components(links, scratch), "roots")
+    rest = _open_pairs(kept, roots, percent, scratch)
+    more = _confirmed(rest, nodes, sets, percent, scratch)
+    roots = scratch.write(components(links.unionByName(more), scratch), "roots")
 
-    links = _confirmed(first, nodes, sets, percent)
-    roots = cut(components(links), "roots")
-    open_lists = lists.join(roots, lists["set_id"] == roots["node"], "left").select(
-        "value", "set_id", "n", F.coalesce("root", "set_id").alias("root")
-    )
-    several = open_lists.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("value")
-    open_lists = cut(open_lists.join(several, "value", "left_semi"), "open")
-    one, other = open_lists.alias("x"), open_lists.alias("y")
-    rest = one.join(other, F.expr(
-        f"x.value = y.value AND x.set_id < y.set_id AND x.root <> y.root AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    )).selectExpr("x.set_id AS a", "y.set_id AS b", "x.n AS a_n", "y.n AS b_n").distinct()
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(rest.join(done, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_confirmed(rest, nodes, sets, percent))
-
-    roots = components(links)
     grouped = nodes.join(roots, nodes["set_id"] == roots["node"], "left").select("set_id", "low", F.coalesce("root", "set_id").alias("root"))
     least = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
     labels = grouped.join(least, "root").select("set_id", "component_id")
-    out = rows.select("key", "n", "set_id").join(labels, "set_id", "left")
+    out = rows_again.join(labels, "set_id", "left")
     component = F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id"))
-    return out.select(
+    out = out.select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("key")).alias("kept")
     )
+    out = scratch.write(out, "classes")
+    scratch.drop(*[t for _, t in list(scratch.paths.values()) if t is not out])
+    return out

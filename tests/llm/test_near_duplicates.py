@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from catalink.llm.common import Scratch
 from catalink.llm.graphs import components
 from catalink.llm.near_duplicates import least_overlap, near_duplicates
 from tests.conftest import SMALL
@@ -100,7 +101,7 @@ def test_the_estimate_loses_hardly_any_pair():
 
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200), (200, 201)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark)).collect()}
     want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
     assert got == want
-    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    assert components(spark.createDataFrame([], "a bigint, b bigint"), Scratch(spark)).count() == 0
