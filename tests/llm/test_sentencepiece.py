@@ -84,7 +84,8 @@ def charmap(entries):
             put(node[x], base ^ x)
 
     put(trie, 0)
-    blob = b"".join(struct.pack("<I", units.get(i, 0)) for i in range(max(units) + 1))
+    size = (max(units) // 256 + 1) * 256  # the library wants whole blocks
+    blob = b"".join(struct.pack("<I", units.get(i, 0)) for i in range(size))
     return struct.pack("<I", len(blob)) + blob + texts
 
 
