@@ -64,6 +64,14 @@ def cosine_kernel(questions: pa.Table, units: pa.Table) -> Callable:
     return blocks
 
 
+def _slices(starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the entries of ``rows`` in a list that holds row r from starts[r] on, and which of ``rows`` each belongs to."""
+    sizes = starts[rows + 1] - starts[rows]
+    ends = np.cumsum(sizes)
+    within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+    return within + np.repeat(starts[rows], sizes), np.repeat(np.arange(len(rows)), sizes)
+
+
 def bm25_kernel(questions: pa.Table, units: pa.Table) -> Callable:
     """Questions carry ``terms`` with their ``idf`` and the ``avgdl`` of their database; units carry ``tokens``."""
     q_lists, u_lists = questions["terms"].combine_chunks(), units["tokens"].combine_chunks()
@@ -72,20 +80,20 @@ def bm25_kernel(questions: pa.Table, units: pa.Table) -> Callable:
     vocabulary = encoded.dictionary
     q_codes = encoded.indices.to_numpy(zero_copy_only=False)
     q_idf = questions["idf"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    q_rows = np.repeat(np.arange(len(q_len)), q_len)
     avgdl = questions["avgdl"].to_numpy()
     # Term frequencies of the asked terms only.
     found = pc.index_in(u_lists.flatten(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
     rows = np.repeat(np.arange(len(u_len), dtype=np.int64), u_len)[found >= 0]
     width = max(1, len(vocabulary))
     cells, tf = np.unique(rows * width + found[found >= 0], return_counts=True)
-    u_rows, u_codes = cells // width, cells % width
+    u_codes = cells % width
+    # Postings lie in row order, so those of some rows are slices: a key costs what its own rows hold.
+    u_starts = np.searchsorted(cells, np.arange(len(u_len) + 1) * width)
+    q_starts = np.concatenate([[0], np.cumsum(q_len)])
 
     def blocks(qi: np.ndarray, ui: np.ndarray):
-        place = np.full(len(u_len), -1)
-        place[ui] = np.arange(len(ui))
-        mine = place[u_rows] >= 0
-        cols, codes, counts = place[u_rows[mine]], u_codes[mine], tf[mine]
+        mine, cols = _slices(u_starts, ui)
+        codes, counts = u_codes[mine], tf[mine]
         length = 1 - B + B * u_len[ui] / (avgdl[qi[0]] or 1.0)
         gain = counts * (K1 + 1) / (counts + K1 * length[cols])
         order = np.argsort(codes, kind="stable")
@@ -93,10 +101,8 @@ def bm25_kernel(questions: pa.Table, units: pa.Table) -> Callable:
         step = max(1, CELLS // max(1, len(ui)))
         for start in range(0, len(qi), step):
             part = qi[start:start + step]
-            slot = np.full(len(q_len), -1)
-            slot[part] = np.arange(len(part))
-            asked = slot[q_rows] >= 0
-            a_rows, a_codes, a_idf = slot[q_rows[asked]], q_codes[asked], q_idf[asked]
+            asked, a_rows = _slices(q_starts, part)
+            a_codes, a_idf = q_codes[asked], q_idf[asked]
             by_term = np.argsort(a_codes, kind="stable")
             a_rows, a_codes, a_idf = a_rows[by_term], a_codes[by_term], a_idf[by_term]
             scores = np.zeros((len(part), len(ui)))

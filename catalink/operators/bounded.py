@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -41,6 +42,30 @@ def clean_statement(sql: str) -> str:
     return stripped[:-1].rstrip() if stripped.endswith(";") else stripped
 
 
+# Generators over the statement's own values; any other table function is a source of its own.
+GENERATORS = {"explode", "explode_outer", "inline", "inline_outer", "posexplode", "posexplode_outer", "stack", "range"}
+
+
+def sources(spark: SparkSession, sql: str) -> tuple[set[str], set[str], set[str]]:
+    """Relations, common table expressions and table functions of a statement, as Spark's own parser reads them.
+
+    The printed tree shows every relation before it is resolved, those of sub-queries and nested statements included.
+    """
+    tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()
+    relations = {", ".join(p.strip() for p in m.split(",")) for m in re.findall(r"'UnresolvedRelation \[(.*?)\](?:, \[|$)", tree, re.M)}
+    defined = {name.strip() for m in re.findall(r"(?:^|[\s:+|-])CTE \[(.*?)\]$", tree, re.M) for name in m.split(",")}
+    functions = {m.strip() for m in re.findall(r"'UnresolvedTableValuedFunction \[(.*?)\]", tree)}
+    return {r.lower() for r in relations}, {d.lower() for d in defined}, {f.lower() for f in functions}
+
+
+def foreign_sources(spark: SparkSession, sql: str, tables: list[str]) -> list[str]:
+    """What the statement reads beside ``tables``; a qualified name, a file path too, is never one of them."""
+    relations, defined, functions = sources(spark, sql)
+    known = {t.lower() for t in tables}
+    other = {r for r in relations - known if r not in defined or spark.catalog.tableExists(r)}
+    return sorted(other | (functions - GENERATORS))
+
+
 def findings(spark: SparkSession, sql: str, tables: list[str]) -> list[str]:
     """Why the statement may not run; the same expressions audit whole logs."""
     context = "\n".join(f"Table: {t}" for t in tables)
@@ -59,6 +84,8 @@ def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_rows: f
     The statement sees exactly ``tables``, as common table expressions over uniquely named views.
     """
     problems = findings(spark, sql, list(tables))
+    if not problems:
+        problems = [f"Unknown source: {name}" for name in foreign_sources(spark, clean_statement(sql), list(tables))]
     if problems:
         raise RejectedQuery("; ".join(problems))
     prefix = uuid.uuid4().hex

@@ -82,40 +82,57 @@ def index_arrays(catalog: Catalog, rule: str = "dialect") -> DataFrame:
 def nested(catalog: Catalog, rule: str = "dialect") -> DataFrame:
     """One row per base table, with empty arrays where it has no children; children of unknown tables drop out.
 
-    Tables and all their child rows are stacked and grouped once: one shuffle on the table key, no joins. What is
-    collected is one table's own definition.
+    Tables, columns, constraints, key columns and index columns are stacked and grouped once on the table key: keys are told apart and
+    index columns are folded inside the group. Only foreign keys that name a constraint instead of a column are joined beforehand, with
+    the columns of that constraint. What is collected is one table's own definition.
     """
-    kinds = {
-        "t": (info.base_tables(catalog), F.struct("dialect")),
-        "c": (catalog.columns, F.struct("ordinal", F.col("column_name").alias("name"), "data_type", "nullable", "default_value")),
-        "p": (info.primary_keys(catalog), F.struct("position", "column_name")),
-        "f": (
-            info.foreign_keys(catalog),
-            F.struct("position", "constraint_name", "column_name", "ref_schema", "ref_table", "ref_column"),
-        ),
-        "i": (info.indexes(catalog), F.struct(F.col("index_name").alias("name"), "columns", "is_unique")),
-    }
+    usage, fk_type = catalog.key_usage, "FOREIGN KEY"
+    by_name = info.resolved(usage.filter("ref_table IS NULL AND ref_position IS NOT NULL"), catalog)
+    by_column = usage.filter("ref_table IS NOT NULL").withColumn("ref_schema", F.coalesce("ref_schema", "database_name"))
+    refers = F.struct("constraint_name", "position", "column_name", "ref_schema", "ref_table", "ref_column")
+    kinds = [
+        ("t", info.base_tables(catalog), F.lit(True)),
+        ("c", catalog.columns, F.struct("ordinal", F.col("column_name").alias("name"), "data_type", "nullable", "default_value")),
+        ("n", catalog.constraints, F.struct("constraint_name", "constraint_type")),
+        ("k", usage, F.struct("constraint_name", "position", "column_name")),
+        ("f", by_name, refers),
+        ("f", by_column, refers),
+        ("x", catalog.index_columns, F.struct("index_name", "seq", "column_name", "is_unique")),
+        ("d", info.index_defs_to_arrays(catalog), F.struct(F.col("index_name").alias("name"), "columns", "is_unique")),
+    ]
     stacked = None
-    for kind, (rows, body) in kinds.items():
+    for kind, rows, body in kinds:
         part = rows.select(*TABLE_KEY, body.alias(kind))
         stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
     grouped = (
         stacked.repartition(*TABLE_KEY)
         .groupBy(*TABLE_KEY)
-        .agg(F.max("t").alias("t"), *(F.array_sort(F.collect_list(k)).alias(k) for k in "cpfi"))
-        .filter(F.col("t").isNotNull())
+        .agg(F.max("t").alias("t"), *(F.array_sort(F.collect_list(k)).alias(k) for k in "cnkfxd"))
+        .filter("t")
     )
-    without = lambda array, *names: F.transform(array, lambda s: s.dropFields(*names))
-    dialect, pk = F.col("t.dialect"), F.transform("p", lambda s: s["column_name"])
+
+    def of_type(name: str) -> Column:
+        kept = F.filter("n", lambda n: n["constraint_type"] == name)
+        return F.transform(kept, lambda n: n["constraint_name"])
+
+    primary = F.filter("k", lambda k: F.array_contains(of_type("PRIMARY KEY"), k["constraint_name"]))
+    ordered = F.array_sort(F.transform(primary, lambda k: F.struct(k["position"], k["column_name"])))
+    foreign = F.filter("f", lambda f: F.array_contains(of_type(fk_type), f["constraint_name"]))
+    body = ("position", "constraint_name", "column_name", "ref_schema", "ref_table", "ref_column")
+    foreign = F.array_sort(F.transform(foreign, lambda f: F.struct(*(f[b].alias(b) for b in body))))
+
+    def folded(name: Column) -> Column:
+        own = F.filter("x", lambda x: x["index_name"] == name)  # sorted by name and place
+        unique = F.exists(own, lambda x: x["is_unique"])
+        return F.struct(name.alias("name"), F.transform(own, lambda x: x["column_name"]).alias("columns"), unique.alias("is_unique"))
+
+    indexes = F.transform(F.array_distinct(F.transform("x", lambda x: x["index_name"])), folded)
     named = grouped.select(
-        "database_name",
-        dialect.alias("dialect"),
-        "schema_name",
-        "table_name",
-        without("c", "ordinal").alias("columns"),
-        pk.alias("primary_keys"),
-        without("f", "position", "constraint_name").alias("foreign_keys"),
-        "i",
+        *TABLE_KEY,
+        F.transform("c", lambda c: c.dropFields("ordinal")).alias("columns"),
+        F.transform(ordered, lambda k: k["column_name"]).alias("primary_keys"),
+        F.transform(foreign, lambda f: f.dropFields("position", "constraint_name")).alias("foreign_keys"),
+        F.array_sort(F.concat(indexes, "d")).alias("i"),
     )
     flag = lambda i: primary_flag(F.col("dialect"), i["name"], i["columns"], F.col("primary_keys"), rule)
     return named.withColumn("indexes", F.transform("i", lambda i: i.withField("is_primary", flag(i)))).drop("i")

@@ -119,7 +119,7 @@ def relationship_documents(nested: DataFrame) -> DataFrame:
 def summary_documents(tables: DataFrame) -> DataFrame:
     """One document per schema that lists its tables; the list is the document, so its size is the schema's size."""
     listed = F.transform(F.array_sort(F.collect_list("table_name")), lambda t: F.concat(F.lit("- "), t))
-    by_schema = tables.groupBy("database_name", "schema_name").agg(listed.alias("listed"))
+    by_schema = tables.groupBy("database_name", "dialect", "schema_name").agg(listed.alias("listed"))
     content = F.concat(
         F.lit("Database: "), "database_name", F.lit("\nSchema: "), "schema_name", F.lit("\n\nTables:\n"), _lines(F.col("listed"))
     )

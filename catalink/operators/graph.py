@@ -69,23 +69,28 @@ def edges_from_nested(nested: DataFrame) -> DataFrame:
 
 
 def stats(nodes_df: DataFrame, edges_df: DataFrame) -> DataFrame:
-    """Node and edge counts per database from one grouped pass over both."""
-    tagged = nodes_df.select("database_name", F.lit(1).alias("n"), F.lit(0).alias("e")).unionByName(
-        edges_df.select("database_name", F.lit(0).alias("n"), F.lit(1).alias("e"))
+    """Node and edge counts per source from one grouped pass over both."""
+    tagged = nodes_df.select("source_id", "database_name", F.lit(1).alias("n"), F.lit(0).alias("e")).unionByName(
+        edges_df.select("source_id", "database_name", F.lit(0).alias("n"), F.lit(1).alias("e"))
     )
-    return tagged.groupBy("database_name").agg(F.sum("n").alias("nodes"), F.sum("e").alias("edges"))
+    return tagged.groupBy("source_id", "database_name").agg(F.sum("n").alias("nodes"), F.sum("e").alias("edges"))
 
 
 def adjacency(nodes_df: DataFrame, edges_df: DataFrame) -> DataFrame:
-    """Undirected ``(src, dst)`` pairs between existing table nodes over the traversed edge types."""
-    known = nodes_df.filter(F.col("type") == "table").select("node_id")
-    walked = edges_df.filter(F.col("type").isin(*TRAVERSED)).select("src", "dst")
-    walked = walked.join(known.select(F.col("node_id").alias("src")), "src", "left_semi")
-    walked = walked.join(known.select(F.col("node_id").alias("dst")), "dst", "left_semi")
+    """Undirected ``(src, dst)`` pairs between existing table nodes of a source over the traversed edge types."""
+    known = nodes_df.filter(F.col("type") == "table").select("source_id", "node_id")
+    walked = edges_df.filter(F.col("type").isin(*TRAVERSED)).select("source_id", "src", "dst")
+    walked = walked.join(known.withColumnRenamed("node_id", "src"), ["source_id", "src"], "left_semi")
+    walked = walked.join(known.withColumnRenamed("node_id", "dst"), ["source_id", "dst"], "left_semi")
     both = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     return walked.select(both.alias("p")).select("p.src", "p.dst").distinct()
 
 
+def of_source(df: DataFrame, *ids: str) -> DataFrame:
+    """Node ids preceded by their source, as sources of one name in two dialects share plain ids."""
+    return df.withColumns({i: F.concat_ws("|", "source_id", i) for i in ids})
+
+
 def resolve_seeds(seeds: DataFrame, nodes_df: DataFrame) -> DataFrame:
     """Seeds with their node; seeds of another database than the question's, or without a node, drop out.
 
@@ -188,8 +193,10 @@ def expand_from_seeds(
     limit: float | None = None,
 ) -> DataFrame:
     """Seed resolution, traversal and the node's names in one step."""
-    found = traverse(resolve_seeds(seeds, nodes_df), adjacency(nodes_df, edges_df), depth, limit)
-    names = first_per(nodes_df, ["node_id"], [F.col("source_id")]).select(
+    own_nodes, own_edges = of_source(nodes_df, "node_id"), of_source(edges_df, "src", "dst")
+    found = traverse(resolve_seeds(seeds, own_nodes), adjacency(own_nodes, own_edges), depth, limit)
+    names = first_per(own_nodes, ["node_id"], [F.col("table_name")]).select(
         "node_id", "source_id", "database_name", "schema_name", "table_name"
     )
-    return found.join(names, "node_id")
+    plain = {i: F.expr(f"substring({i}, length(source_id) + 2)") for i in ("node_id", "seed_node_id")}
+    return found.join(names, "node_id").withColumns(plain)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from catalink.functions.ranking import first_per, top_k
 from catalink.functions.scoring import local_hits, merge_hits
@@ -80,7 +80,7 @@ def _block_hits(
     """Many questions: units and questions of a key meet in blocks of bounded size.
 
     A key with many units or questions is split into several unit and question blocks, and every pair of blocks is one
-    task-sized group; keys that fit one block are packed together. No group grows with the data.
+    task-sized group; keys that fit one block are packed together by size. No group grows with the data.
     """
     sizes = (
         units.select("key", F.lit(1).alias("u"), F.lit(0).alias("q"))
@@ -88,31 +88,27 @@ def _block_hits(
         .groupBy("key")
         .agg(F.sum("u").alias("u"), F.sum("q").alias("q"))
     )
-    sizes = cut(sizes, "sizes")
     parts = lambda c, size: F.ceil(F.col(c) / size).cast("int")
-    split = sizes.select("key", parts("u", unit_block).alias("n_u"), parts("q", question_block).alias("n_q")).filter(
-        "n_u > 1 OR n_q > 1"
-    )
-    total = sizes.agg(F.sum("u").alias("u"), F.sum("q").alias("q")).first()
-    packs = max(
-        2 * units.sparkSession.sparkContext.defaultParallelism,
-        math.ceil((total["u"] or 0) / unit_block),
-        math.ceil((total["q"] or 0) / question_block),
-    )
+    sizes = cut(sizes.select("key", "u", "q", parts("u", unit_block).alias("n_u"), parts("q", question_block).alias("n_q")), "sizes")
+    # Small keys are packed by their running size within one of a number of lanes, so a pack holds at most two blocks.
+    lanes = 2 * units.sparkSession.sparkContext.defaultParallelism
+    small = ~((F.col("n_u") > 1) | (F.col("n_q") > 1))
+    share = F.greatest(F.col("u") / unit_block, F.col("q") / question_block)
+    running = Window.partitionBy("lane", "small").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    packed = sizes.withColumn("small", small).withColumn("lane", F.pmod(F.xxhash64("key"), F.lit(lanes)))
+    pack = F.concat_ws(":", F.lit("p"), F.col("lane").cast("string"), F.floor(F.sum(share).over(running)).cast("string"))
+    group = F.when(F.col("small"), pack).otherwise(F.concat(F.lit("k:"), "key"))
+    places = cut(packed.select("key", "n_u", "n_q", group.alias("grp")), "places")
 
     def placed(df: DataFrame, own: str, own_id: str, other: str) -> DataFrame:
         one = F.lit(1)
-        joined = df.join(split, "key", "left")
-        n_own, n_other = F.greatest(F.coalesce(own, one), one), F.greatest(F.coalesce(other, one), one).cast("int")
-        group = F.when(F.col("n_u").isNotNull(), F.concat(F.lit("k:"), "key")).otherwise(
-            F.concat(F.lit("p:"), F.pmod(F.xxhash64("key"), F.lit(packs)).cast("string"))
-        )
+        joined = df.join(places, "key")
+        n_own, n_other = F.greatest(own, one), F.greatest(other, one).cast("int")
         own_block, other_block = ("ub", "qb") if own == "n_u" else ("qb", "ub")
         return (
-            joined.withColumn("grp", group)
-            .withColumn(own_block, F.pmod(F.xxhash64(own_id), n_own).cast("int"))
+            joined.withColumn(own_block, F.pmod(F.xxhash64(own_id), n_own).cast("int"))
             .withColumn(other_block, F.explode(F.sequence(F.lit(0), n_other - 1)))
-            .select("grp", "ub", "qb", *df.columns)
+            .select(F.concat("grp").alias("grp"), "ub", "qb", *df.columns)  # both sides come from ``places``
         )
 
     left = placed(questions, "n_q", "question_id", "n_u").groupBy("grp", "ub", "qb")

@@ -1,8 +1,7 @@
-"""Approximate vector search: k-means cells, the nearest cells that hold enough candidates, then exact scoring."""
+"""Approximate vector search: k-means cells, as many of the nearest ones as a recall target asks for, then exact scoring."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,29 +17,21 @@ from catalink.functions.scoring import list_matrix, normalised
 from catalink.operators.search import vector_search
 from catalink.session import cut
 
-MAX_CELLS = 1_024  # centroids are sent to every task; this bounds them whatever the data
-TRAINING_ROWS = 200_000
+CELLS = 128
+RECALL = 0.95
+CALIBRATION_QUESTIONS = 400
 SEED = 42
 
 
-def candidate_pool(limit: int) -> int:
-    return max(limit * 10, 50)
-
-
-def cell_count(units: int) -> int:
-    return min(MAX_CELLS, math.isqrt(units))
-
-
-def train_cells(units: DataFrame, total: int, cells: int) -> np.ndarray:
-    """Unit-length centroids. Training reads a bounded sample; every unit is assigned and searched all the same."""
-    sample = units if total <= TRAINING_ROWS else units.sample(TRAINING_ROWS / total, seed=SEED)
-    points = sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+def train_cells(units: DataFrame, cells: int) -> np.ndarray:
+    """Unit-length centroids, trained on all units."""
+    points = units.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=SEED, maxIter=10, distanceMeasure="cosine").fit(points)
     return normalised(np.array(model.clusterCenters()))
 
 
-def _with_cells(df: DataFrame, centroids: np.ndarray, pool: int | None = None) -> DataFrame:
-    """``cells``: the nearest cell of each row's vector, or, given a ``pool``, the nearest cells that hold it.
+def _with_cells(df: DataFrame, centroids: np.ndarray, visits: int | None = None, k: int = 0) -> DataFrame:
+    """``cells``: the nearest cell of each row's vector, or, given ``visits``, that many of the nearest, and more until they hold ``k``.
 
     For the latter the rows carry ``filled``, the (cell, n) pairs of their database; empty cells are not visited.
     """
@@ -55,7 +46,8 @@ def _with_cells(df: DataFrame, centroids: np.ndarray, pool: int | None = None) -
         rows = np.repeat(np.arange(len(sizes)), sizes)
         held[rows, pairs.field("cell").to_numpy()] = pairs.field("n").to_numpy()
         held = np.take_along_axis(held, order, axis=1)
-        return np.nonzero((np.cumsum(held, axis=1) - held < pool) & (held > 0))
+        seen, found = np.cumsum(held > 0, axis=1), np.cumsum(held, axis=1)
+        return np.nonzero((held > 0) & ((seen <= visits) | (found - held < k)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +55,7 @@ def _with_cells(df: DataFrame, centroids: np.ndarray, pool: int | None = None) -
                 continue
             matrix = normalised(list_matrix(pa.chunked_array([batch.column(batch.schema.get_field_index("embedding"))])))
             order = np.argsort(-(matrix @ sent.value.T), axis=1, kind="stable")
-            if pool is None:
+            if visits is None:
                 rows, places = np.arange(len(order)), np.zeros(len(order), dtype=np.int64)
             else:
                 rows, places = visited(batch, order)
@@ -75,35 +67,58 @@ def _with_cells(df: DataFrame, centroids: np.ndarray, pool: int | None = None) -
     return df.mapInArrow(assign, schema)
 
 
-def approximate_search(questions: DataFrame, units: DataFrame, k: int, cells: int | None = None) -> DataFrame:
-    """Cosine top-k among a pool of at least ``candidate_pool(k)`` units of the question's database.
+def needed_visits(asked: DataFrame, offered: DataFrame, placed: DataFrame, filled: DataFrame, centroids: np.ndarray, k: int, recall: float, sample: int) -> int:
+    """The least number of nearest cells that hold the share ``recall`` of the exact hits of ``sample`` questions.
 
-    Each question visits its nearest cells until they hold the pool; the units of the visited cells are scored exactly
-    with the same block kernel as the full search, keyed by database and cell.
+    The questions are those with the least hash of their id, so that all others are held out. What comes to the driver is one count per
+    cell.
+    """
+    tried = cut(asked.orderBy(F.xxhash64("question_id"), "question_id").limit(sample), "calibration")
+    hits = vector_search(tried, offered, k).join(placed.select("unit_id", "cell"), "unit_id").select("question_id", "cell")
+    order = _with_cells(tried.join(filled, "database_name"), centroids, len(centroids)).select("question_id", "cells")
+    places = hits.join(order, "question_id").groupBy(F.array_position("cells", F.col("cell")).alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    counted = sorted((r["place"], r["n"]) for r in places.collect())
+    total, held = sum(n for _, n in counted), 0
+    for place, n in counted:
+        held += n
+        if held >= recall * total:
+            return int(place)
+    return 1
+
+
+def approximate_search(
+    questions: DataFrame, units: DataFrame, k: int, cells: int = CELLS, recall: float = RECALL, calibration: int = CALIBRATION_QUESTIONS
+) -> DataFrame:
+    """Cosine top-k of each question among the units of its nearest ``cells``; one cell is the exact search.
+
+    The units are divided into ``cells`` cells by k-means over all of them; the centroids, ``cells`` vectors, go to every task, so choose
+    about the root of the number of units as long as these fit. How many cells are visited follows from the ``recall`` wanted, measured
+    against exact search on ``calibration`` questions. Empty cells do not count, and cells are visited until they hold ``k`` units. The
+    units of the visited cells are scored with the same block kernel as the full search, keyed by database and cell.
     """
     has_vector = F.size("embedding") > 0
     offered = units.filter(has_vector).select("unit_id", "database_name", "embedding")
     asked = questions.filter(has_vector).select("question_id", "database_name", "embedding")
-    total = offered.count()
-    wanted = cell_count(total) if cells is None else min(cells, MAX_CELLS)
-    if wanted < 2:
-        return vector_search(questions, units, k)
-    centroids = train_cells(offered, total, wanted)
+    if offered.isEmpty():
+        return vector_search(questions, units, k)  # no unit, no cell and no hit
+    centroids = train_cells(offered, cells)
 
     def key(cell: str):
         return F.concat_ws("#", "database_name", F.col(cell).cast("string"))
 
     placed = cut(_with_cells(offered, centroids).withColumn("cell", F.col("cells")[0]).drop("cells"), "cells")
-    # At most MAX_CELLS pairs per database.
+    # At most ``cells`` pairs per database.
     filled = (
         placed.groupBy("database_name", "cell")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("database_name")
         .agg(F.collect_list(F.struct("cell", "n")).alias("filled"))
     )
+    filled = cut(filled, "filled")
+    visits = needed_visits(asked, offered, placed, filled, centroids, k, recall, calibration)
     # One row per question and visited cell; its id names both, so that the block search ranks each cell on its own.
     probes = cut(
-        _with_cells(asked.join(filled, "database_name"), centroids, candidate_pool(k))
+        _with_cells(asked.join(filled, "database_name"), centroids, visits, k)
         .select("question_id", "database_name", "embedding", F.explode("cells").alias("cell"))
         .select(F.struct("question_id", "cell").alias("probe"), key("cell").alias("database_name"), "embedding"),
         "probes",

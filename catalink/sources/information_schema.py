@@ -28,8 +28,9 @@ class Catalog:
     tables            database_name, dialect, schema_name, table_name, table_type
     columns           ..., table_name, column_name, data_type, nullable, default_value, ordinal
     constraints       ..., table_name, constraint_name, constraint_type, ref_schema, ref_constraint
-    key_usage         ..., table_name, constraint_name, column_name, position, ref_schema, ref_table, ref_column
+    key_usage         ..., table_name, constraint_name, column_name, position, ref_schema, ref_table, ref_column, ref_position
     constraint_usage  database_name, dialect, schema_name, constraint_name, ref_schema, ref_table, ref_column, position
+                      (the referenced key's columns; ``key_usage.ref_position`` is the ``position`` a column references)
     index_columns     ..., table_name, index_name, column_name, seq, is_unique
     index_defs        ..., table_name, index_name, definition
     """
@@ -69,12 +70,31 @@ EMPTY_CONSTRAINT_USAGE = (
 )
 
 
+def _lower(df: DataFrame) -> DataFrame:
+    return df.toDF(*(c.lower() for c in df.columns))
+
+
 def conform_postgresql(raw: dict[str, DataFrame]) -> Catalog:
-    """``raw``: tables, columns, table_constraints, key_column_usage, constraint_column_usage, pg_indexes."""
+    """``raw``: tables, columns, table_constraints, key_column_usage, referential_constraints, pg_indexes, as the views are.
+
+    A foreign key's referenced columns are those of the unique constraint that ``referential_constraints`` names; column i of the key
+    references the one at its ``position_in_unique_constraint``. These views know a foreign key by schema and name only: where tables of
+    one schema have foreign keys of one name to different tables, each gets the targets of all of them.
+    """
     dialect = F.lit("postgresql").alias("dialect")
     place = ["database_name", dialect, F.col("table_schema").alias("schema_name"), "table_name"]
     spark = raw["tables"].sparkSession
-    visible = {name: df.filter(~F.col("table_schema").isin(*SYSTEM_SCHEMAS)) for name, df in raw.items()}
+    raw = {name: _lower(df) for name, df in raw.items()}
+    raw["pg_indexes"] = raw["pg_indexes"].withColumnsRenamed({"schemaname": "table_schema", "tablename": "table_name"})
+    visible = {
+        name: df.filter(~F.col("table_schema").isin(*SYSTEM_SCHEMAS)) for name, df in raw.items() if name != "referential_constraints"
+    }
+    referenced = raw["referential_constraints"].alias("fk").join(
+        raw["key_column_usage"].alias("rc"),
+        (F.col("fk.database_name") == F.col("rc.database_name"))
+        & (F.col("fk.unique_constraint_schema") == F.col("rc.constraint_schema"))
+        & (F.col("fk.unique_constraint_name") == F.col("rc.constraint_name")),
+    )
     return Catalog(
         tables=visible["tables"].select(*place, "table_type"),
         columns=visible["columns"].select(
@@ -96,20 +116,21 @@ def conform_postgresql(raw: dict[str, DataFrame]) -> Catalog:
             _null().alias("ref_schema"),
             _null().alias("ref_table"),
             _null().alias("ref_column"),
+            _int("position_in_unique_constraint").alias("ref_position"),
         ),
-        constraint_usage=visible["constraint_column_usage"].select(
-            "database_name",
+        constraint_usage=referenced.select(
+            F.col("fk.database_name").alias("database_name"),
             dialect,
-            F.col("constraint_schema").alias("schema_name"),
-            "constraint_name",
-            F.col("table_schema").alias("ref_schema"),
-            F.col("table_name").alias("ref_table"),
-            F.col("column_name").alias("ref_column"),
-            _int("position").alias("position"),
-        ),
+            F.col("fk.constraint_schema").alias("schema_name"),
+            F.col("fk.constraint_name").alias("constraint_name"),
+            F.col("rc.table_schema").alias("ref_schema"),
+            F.col("rc.table_name").alias("ref_table"),
+            F.col("rc.column_name").alias("ref_column"),
+            F.col("rc.ordinal_position").cast("int").alias("position"),
+        ).distinct(),
         index_columns=spark.createDataFrame([], EMPTY_INDEX_COLUMNS),
         index_defs=visible["pg_indexes"].select(
-            *place, "index_name", F.col("index_definition").alias("definition")
+            *place, F.col("indexname").alias("index_name"), F.col("indexdef").alias("definition")
         ),
     )
 
@@ -150,6 +171,7 @@ def conform_mysql(raw: dict[str, DataFrame]) -> Catalog:
             F.col("REFERENCED_TABLE_SCHEMA").alias("ref_schema"),
             F.col("REFERENCED_TABLE_NAME").alias("ref_table"),
             F.col("REFERENCED_COLUMN_NAME").alias("ref_column"),
+            _int("ORDINAL_POSITION").alias("ref_position"),
         ),
         constraint_usage=spark.createDataFrame([], EMPTY_CONSTRAINT_USAGE),
         index_columns=raw["statistics"].select(
@@ -217,6 +239,7 @@ def conform_oracle(raw: dict[str, DataFrame]) -> Catalog:
             _null().alias("ref_schema"),
             _null().alias("ref_table"),
             _null().alias("ref_column"),
+            _int("POSITION").alias("ref_position"),
         ),
         constraint_usage=referenced.select(
             F.col("fk.database_name").alias("database_name"),
@@ -260,7 +283,7 @@ SYSTEM_RELATIONS = {
         "columns": "information_schema.columns",
         "table_constraints": "information_schema.table_constraints",
         "key_column_usage": "information_schema.key_column_usage",
-        "constraint_column_usage": "information_schema.constraint_column_usage",
+        "referential_constraints": "information_schema.referential_constraints",
         "pg_indexes": "pg_indexes",
     },
     "mysql": {
@@ -292,26 +315,6 @@ def _one_owner(dialect: str, relation: str, df: DataFrame, database_name: str, o
     return df
 
 
-def _lower(df: DataFrame) -> DataFrame:
-    return df.toDF(*(c.lower() for c in df.columns))
-
-
-def _conformable(dialect: str, relation: str, df: DataFrame) -> DataFrame:
-    if dialect != "postgresql":
-        return df
-    if relation == "pg_indexes":
-        return df.select(
-            F.col("schemaname").alias("table_schema"),
-            F.col("tablename").alias("table_name"),
-            F.col("indexname").alias("index_name"),
-            F.col("indexdef").alias("index_definition"),
-        )
-    df = _lower(df)
-    if relation == "constraint_column_usage" and "position" not in df.columns:
-        return df.withColumn("position", F.lit(None).cast("int"))
-    return df
-
-
 def read_jdbc(
     spark: SparkSession,
     dialect: str,
@@ -326,28 +329,50 @@ def read_jdbc(
     for name, relation in SYSTEM_RELATIONS[dialect].items():
         df = spark.read.format("jdbc").options(**options).option("dbtable", relation).load()
         df = _one_owner(dialect, name, df, database_name, owner)
-        raw[name] = _conformable(dialect, name, df).withColumn("database_name", F.lit(database_name))
+        raw[name] = df.withColumn("database_name", F.lit(database_name))
     return raw
 
 
+# Columns of these relations that may be null in every row, which a json or csv export then leaves out.
+OPTIONAL_COLUMNS = {
+    "columns": ["column_default"],
+    "key_column_usage": [
+        "position_in_unique_constraint", "referenced_table_schema", "referenced_table_name", "referenced_column_name",
+    ],
+    "referential_constraints": ["unique_constraint_schema", "unique_constraint_name"],
+    "all_tab_columns": ["data_default"],
+    "all_constraints": ["r_owner", "r_constraint_name"],
+    "all_cons_columns": ["position"],
+}
+
+
 def read_files(spark: SparkSession, dialect: str, root: str, fmt: str = "parquet", **options: str) -> dict[str, DataFrame]:
-    """Raw metadata exported to ``root/<relation>`` as parquet, csv or json; rows carry ``database_name``."""
+    """Raw metadata exported to ``root/<relation>`` as parquet, csv or json, with the columns of the system views.
+
+    Rows carry ``database_name`` besides; csv files need a header.
+    """
     if dialect not in SYSTEM_RELATIONS:
         raise ValueError(f"no metadata reader for dialect: {dialect}")
-    return {
-        name: spark.read.format(fmt).options(**options).load(f"{root}/{name}") for name in SYSTEM_RELATIONS[dialect]
-    }
+    if fmt == "csv":
+        options = {"header": "true", **options}
+    raw = {}
+    for name in SYSTEM_RELATIONS[dialect]:
+        df = spark.read.format(fmt).options(**options).load(f"{root}/{name}")
+        there = {c.lower() for c in df.columns}
+        absent = [c for c in OPTIONAL_COLUMNS.get(name, ()) if c not in there]
+        raw[name] = df.withColumns({c: _null() for c in absent})
+    return raw
 
 
 # ---- scans over the conformed catalog -------------------------------------------------------------------------
 
-TABLE_KEY = ["database_name", "schema_name", "table_name"]
+TABLE_KEY = ["database_name", "dialect", "schema_name", "table_name"]
 
 
 def base_tables(catalog: Catalog) -> DataFrame:
     return catalog.tables.filter(
         (F.col("table_type") == "BASE TABLE") & ~F.col("schema_name").isin(*SYSTEM_SCHEMAS)
-    ).select("database_name", "dialect", "schema_name", "table_name")
+    ).select(*TABLE_KEY)
 
 
 def columns(catalog: Catalog) -> DataFrame:
@@ -365,14 +390,15 @@ def primary_keys(catalog: Catalog) -> DataFrame:
     return _constraint_keys(catalog, "PRIMARY KEY").select(*TABLE_KEY, "column_name", "position")
 
 
+CONSTRAINT_KEY = ["database_name", "dialect", "schema_name", "constraint_name"]
 FK_COLUMNS = [*TABLE_KEY, "constraint_name", "column_name", "ref_schema", "ref_table", "ref_column", "position"]
 
 
 def foreign_keys_fanout(catalog: Catalog) -> DataFrame:
     """Joined on the constraint only: an n-column key gives n x n rows, as the plain usage views do."""
     keys = _constraint_keys(catalog, "FOREIGN KEY").drop("ref_schema", "ref_table", "ref_column")
-    usage = catalog.constraint_usage.drop("dialect", "position")
-    return keys.join(usage, ["database_name", "schema_name", "constraint_name"]).select(*FK_COLUMNS)
+    usage = catalog.constraint_usage.drop("position")
+    return keys.join(usage, CONSTRAINT_KEY).select(*FK_COLUMNS)
 
 
 def foreign_keys_direct(catalog: Catalog) -> DataFrame:
@@ -381,15 +407,17 @@ def foreign_keys_direct(catalog: Catalog) -> DataFrame:
     return keys.withColumn("ref_schema", F.coalesce("ref_schema", "database_name")).select(*FK_COLUMNS)
 
 
+def resolved(keys: DataFrame, catalog: Catalog) -> DataFrame:
+    """Key columns without a referenced column of their own, joined with the column they reference."""
+    usage = catalog.constraint_usage.withColumnRenamed("position", "ref_position")
+    return keys.drop("ref_schema", "ref_table", "ref_column").join(usage, [*CONSTRAINT_KEY, "ref_position"])
+
+
 def foreign_keys(catalog: Catalog) -> DataFrame:
-    """Default semantics: column i of the key references column i of the referenced key."""
-    direct = foreign_keys_direct(catalog).filter(F.col("ref_table").isNotNull())
-    keys = _constraint_keys(catalog, "FOREIGN KEY").filter(F.col("ref_table").isNull())
-    usage = catalog.constraint_usage.drop("dialect")
-    matched = keys.drop("ref_schema", "ref_table", "ref_column").join(
-        usage, ["database_name", "schema_name", "constraint_name", "position"]
-    )
-    return direct.unionByName(matched.select(*FK_COLUMNS))
+    """Default semantics: each column of a key with the one column it references."""
+    keys = _constraint_keys(catalog, "FOREIGN KEY")
+    direct = keys.filter(F.col("ref_table").isNotNull()).withColumn("ref_schema", F.coalesce("ref_schema", "database_name"))
+    return direct.select(*FK_COLUMNS).unionByName(resolved(keys.filter(F.col("ref_table").isNull()), catalog).select(*FK_COLUMNS))
 
 
 def index_rows_to_arrays(catalog: Catalog) -> DataFrame:

@@ -20,7 +20,6 @@ from catalink.session import cut
 log = logging.getLogger(__name__)
 
 PAYLOAD = "command string, timestamp string"
-WATERMARK = "10 minutes"
 
 
 def read_notifications(spark: SparkSession, fmt: str, schema: str | None = None, path: str | None = None, **options: str) -> DataFrame:
@@ -79,7 +78,7 @@ def change_step(root: str, key: str = "source_id", ts: str = "ts", value: str =
         spark = batch.sparkSession
         seen = cut(drift.with_previous(batch, key, ts, value, tie), f"batch-{batch_id}")
         state = _last_state(spark, f"{root}/state", batch_id)
-        latest = seen.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias("last_value"))
+        latest = seen.filter(F.col(value).isNotNull()).groupBy(key).agg(F.max_by(value, F.struct(*order)).alias("last_value"))
         if state is not None:
             first = seen.filter(F.col("previous").isNull()).join(state, key, "left")
             first = first.withColumn("previous", F.col("last_value")).drop("last_value")
@@ -112,23 +111,49 @@ def read_changes(spark: SparkSession, root: str) -> DataFrame:
 
 
 Handler = Callable[[DataFrame, int], None]
+REQUEST = "source_id string, last_ts timestamp, notifications long, command string"
 
 
-def refresh_step(handler: Handler, raise_errors: bool = False) -> Handler:
+def _pending(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """Requests that the last earlier batch left undone; each batch's folder is its own, so a replayed batch reads the same."""
+    try:
+        left = spark.read.schema(REQUEST + ", batch int").parquet(path).filter(F.col("batch") < batch_id)
+        newest = left.agg(F.max("batch")).first()[0]
+    except AnalysisException:
+        return None
+    return None if newest is None else left.filter((F.col("batch") == newest) & F.col("source_id").isNotNull()).drop("batch")
+
+
+def refresh_step(handler: Handler, raise_errors: bool = False, pending: str | None = None) -> Handler:
     """Collapse a batch of notifications to one request per source and hand it on.
 
-    Batches run one after the other, so refreshes never overlap. A failing refresh is logged and the stream goes on, as
-    the next notification will try again; ``raise_errors`` stops the stream instead.
+    Batches run one after the other, so refreshes never overlap. A failing refresh is logged and the stream goes on;
+    ``raise_errors`` stops the stream instead. With a ``pending`` folder its requests are offered again with the next batch.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         requests = drift.latest_notifications(batch)
+        before = _pending(spark, pending, batch_id) if pending else None
+        if before is not None:
+            both = requests.unionByName(before)
+            requests = both.groupBy("source_id").agg(
+                F.max("last_ts").alias("last_ts"), F.sum("notifications").alias("notifications"),
+                F.max_by("command", F.struct("last_ts", "command")).alias("command"),
+            )
+        requests = cut(requests, f"requests-{batch_id}")
+        failed = False
         try:
             handler(requests, batch_id)
         except Exception:
             if raise_errors:
                 raise
+            failed = True
             log.exception("refresh failed for batch %s", batch_id)
+        if pending and (failed or before is not None):
+            # A batch with nothing left still says so, by a row without a source.
+            nothing = spark.range(1).select(*(F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in REQUEST.split(", "))))
+            (requests if failed else nothing).write.mode("overwrite").parquet(f"{pending}/batch={batch_id}")
 
     return step
 
@@ -136,6 +161,6 @@ def refresh_step(handler: Handler, raise_errors: bool = False) -> Handler:
 def refresh_on_notification(
     notifications: DataFrame, handler: Handler, checkpoint: str, interval: str | None = None, raise_errors: bool = False
 ) -> StreamingQuery:
-    """Drive ``handler`` from a notification stream; repeated deliveries within the watermark count once."""
-    distinct = notifications.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["source_id", "ts", "command"])
-    return _start(distinct, refresh_step(handler, raise_errors), checkpoint, interval)
+    """Drive ``handler`` from a notification stream. Every notification counts, however late; a batch makes one request per source."""
+    step = refresh_step(handler, raise_errors, f"{checkpoint}-pending")
+    return _start(notifications, step, checkpoint, interval)

@@ -40,18 +40,18 @@ def raw_film(spark, db="rentals", columns=None, fks=None, pks=None, indexes=None
 
     keys = [(db, "public", t, f"{t}_pkey", "PRIMARY KEY") for t in pks]
     keys += [(db, "public", t, f"{t}_{c}_fkey", "FOREIGN KEY") for t, c, _, _ in fks]
-    usage = [(db, "public", t, f"{t}_pkey", c, i + 1) for t, cols in pks.items() for i, c in enumerate(cols)]
-    usage += [(db, "public", t, f"{t}_{c}_fkey", c, 1) for t, c, _, _ in fks]
+    usage = [(db, "public", t, "public", f"{t}_pkey", c, i + 1, None) for t, cols in pks.items() for i, c in enumerate(cols)]
+    usage += [(db, "public", t, "public", f"{t}_{c}_fkey", c, 1, PKS[rt].index(rc) + 1) for t, c, rt, rc in fks]
     return {
         "tables": frame([(db, "public", t, "BASE TABLE") for t in columns] + [(db, "public", "report", "VIEW"), (db, "pg_catalog", "pg_class", "BASE TABLE")],
                         "database_name string, table_schema string, table_name string, table_type string"),
         "columns": frame([(db, "public", t, *c, i + 1) for t, cols in columns.items() for i, c in enumerate(cols)] + [(db, "public", "report", "x", "int", "YES", None, 1)],
                          "database_name string, table_schema string, table_name string, column_name string, data_type string, is_nullable string, column_default string, ordinal_position int"),
         "table_constraints": frame(keys, "database_name string, table_schema string, table_name string, constraint_name string, constraint_type string"),
-        "key_column_usage": frame(usage, "database_name string, table_schema string, table_name string, constraint_name string, column_name string, ordinal_position int"),
-        "constraint_column_usage": frame([(db, "public", f"{t}_{c}_fkey", "public", rt, rc, 1) for t, c, rt, rc in fks],
-                                         "database_name string, constraint_schema string, constraint_name string, table_schema string, table_name string, column_name string, position int"),
-        "pg_indexes": frame([(db, "public", *i) for i in indexes], "database_name string, table_schema string, table_name string, index_name string, index_definition string"),
+        "key_column_usage": frame(usage, "database_name string, table_schema string, table_name string, constraint_schema string, constraint_name string, column_name string, ordinal_position int, position_in_unique_constraint int"),
+        "referential_constraints": frame([(db, "public", f"{t}_{c}_fkey", "public", f"{rt}_pkey") for t, c, rt, _ in fks],
+                                         "database_name string, constraint_schema string, constraint_name string, unique_constraint_schema string, unique_constraint_name string"),
+        "pg_indexes": frame([(db, "public", *i) for i in indexes], "database_name string, schemaname string, tablename string, indexname string, indexdef string"),
     }
 
 

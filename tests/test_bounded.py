@@ -42,6 +42,39 @@ def test_rejected_statements_never_run(spark, tables, sql, why):
         bounded.run(spark, sql, tables)
 
 
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT * FROM (secret)",
+        "SELECT * FROM (TABLE secret)",
+        "SELECT * FROM (SELECT 1 AS a) x, secret",
+        "SELECT * FROM orders AS `o`, secret",
+        "SELECT * FROM orders TABLESAMPLE (10 PERCENT), secret",
+        "SELECT 1 FROM orders CROSS JOIN (secret)",
+        "SELECT a, rank() OVER w FROM secret WINDOW w AS (ORDER BY a), secret AS (ORDER BY b)",
+        "SELECT (SELECT max(x) FROM (secret)) AS m FROM orders",
+        "SELECT * FROM (parquet.`/root/testdata/sf0.001/part.parquet`)",
+        "WITH secret AS (SELECT * FROM (secret)) SELECT * FROM secret",
+    ],
+)
+def test_sources_in_any_place_are_seen(spark, tables, sql):
+    spark.range(1).createOrReplaceTempView("secret")
+    try:
+        assert bounded.foreign_sources(spark, sql, list(tables))
+        with pytest.raises(bounded.RejectedQuery):
+            bounded.run(spark, sql, tables)
+    finally:
+        spark.catalog.dropTempView("secret")
+
+
+def test_given_tables_are_no_foreign_source(spark, tables):
+    for sql in (
+        "SELECT * FROM (orders)", "SELECT * FROM ORDERS o, (SELECT * FROM customer) c", "WITH a AS (TABLE orders) SELECT * FROM a CROSS JOIN range(3)",
+        "SELECT x FROM orders LATERAL VIEW explode(array(1, 2)) t AS x", "SELECT 'FROM secret' AS a FROM orders -- FROM secret",
+    ):
+        assert bounded.foreign_sources(spark, sql, list(tables)) == []
+
+
 def test_trailing_comment_and_cte(spark, tables):
     rows = bounded.run(spark, "WITH big AS (SELECT * FROM orders) SELECT count(*) AS n FROM big -- all", tables).rows.collect()
     assert rows[0].n == tables["orders"].count()

@@ -2,6 +2,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from catalink.operators import graph
 
@@ -22,10 +23,11 @@ def test_film_expansion(spark, film):
 
 
 def test_adjacency_is_undirected_and_ignores_other_edges(spark):
-    nodes = spark.createDataFrame([("a", "table"), ("b", "table"), ("c", "column")], "node_id string, type string")
+    nodes = spark.createDataFrame([("s", "a", "table"), ("s", "b", "table"), ("s", "c", "column"), ("t", "d", "table")], "source_id string, node_id string, type string")
     edges = spark.createDataFrame(
         [("a", "b", "references"), ("a", "b", "belongs_to"), ("a", "c", "references"), ("b", "a", "contains"), ("a", "z", "references")],
-        "src string, dst string, type string")
+        "src string, dst string, type string").withColumn("source_id", F.lit("s"))
+    edges = edges.unionByName(edges.filter("src = 'a' AND dst = 'b'").withColumn("source_id", F.lit("t")))  # not among that source's nodes
     assert sorted((r.src, r.dst) for r in graph.adjacency(nodes, edges).collect()) == [("a", "b"), ("b", "a")]
 
 

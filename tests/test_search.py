@@ -119,12 +119,13 @@ def test_rows_without_vectors_and_other_unit_types_take_no_part(spark, frames):
     assert by_rank(search.vector_search(questions, mixed, 5)) == by_rank(search.vector_search(questions, units, 5))
 
 
-def test_ann_recall(spark):
-    questions, vectors = corpus_questions(spark, SMALL), corpus_vectors(spark, SMALL)
+@pytest.mark.parametrize("sf", [SMALL, "/root/testdata/sf0.01"])
+def test_ann_recall(spark, sf):
+    questions, vectors = corpus_questions(spark, sf), corpus_vectors(spark, sf)
     exact, near = by_rank(search.vector_search(questions, vectors, 10)), by_rank(ann.approximate_search(questions, vectors, 10))
     assert all(len(near[q]) == 10 for q in exact)
     recall = sum(len(set(exact[q]) & set(near[q])) for q in exact) / sum(map(len, exact.values()))
-    assert recall >= 0.5
+    assert recall >= 0.9
 
 
 def test_ann_with_one_cell_is_exact(spark):

@@ -53,16 +53,18 @@ def test_a_replayed_batch_counts_once(spark, tmp_path):
 
 def test_notifications_collapse_and_errors_do_not_stop_the_stream(spark, split_events, tmp_path):
     path, events = split_events
-    calls = []
+    calls, done = [], []
 
     def handler(requests, batch_id):
-        calls.append((batch_id, sum(r.notifications for r in requests.collect())))
-        if len(calls) == 2:
+        calls.append(batch_id)
+        if len(calls) in (2, 3):
             raise RuntimeError("refresh failed")
+        done.append(sum(r.notifications for r in requests.collect()))
 
     stream = ddl.parse_notifications(notification_rows(event_stream(spark, path, maxFilesPerTrigger="1")))
     ddl.refresh_on_notification(stream, handler, f"{tmp_path}/c").awaitTermination()
-    assert sum(n for _, n in calls) == events.count() and len(calls) >= 5
+    # What failed twice was offered again; no notification, however late, is left out.
+    assert sum(done) == events.count() and len(calls) >= 5 and len(done) == len(calls) - 2
     with pytest.raises(RuntimeError):
         ddl.refresh_step(handler_raises, raise_errors=True)(spark.createDataFrame([("a", 1, "x")], "source_id string, ts int, command string"), 0)
 
@@ -71,6 +73,29 @@ def handler_raises(requests, batch_id):
     raise RuntimeError("no")
 
 
+def test_a_failed_look_is_no_change_and_hides_none(spark, tmp_path):
+    looks = [(1, "a", 1, "x"), (2, "a", 2, None), (3, "a", 3, "y"), (4, "a", 4, None), (5, "a", 40_000, None), (6, "a", 80_000, "y"), (7, "a", 90_000, "z"), (8, "b", 1, None), (9, "b", 2, "q")]
+    want = [(3, "a", "y", "x"), (7, "a", "z", "y")]
+
+    def batch(rows):
+        return spark.createDataFrame(rows, "event_id long, source_id string, s int, fingerprint string").withColumn("ts", F.timestamp_seconds("s"))
+
+    assert key(drift.changes(batch(looks), tie="event_id")) == want
+    step = ddl.change_step(str(tmp_path), tie="event_id")
+    for i in range(0, len(looks), 2):
+        step(batch(looks[i : i + 2]), i // 2)
+    assert key(ddl.read_changes(spark, str(tmp_path))) == want
+
+
+def test_late_notifications_make_requests(spark, tmp_path):
+    asked = []
+    step = ddl.refresh_step(lambda requests, batch_id: asked.extend(r.source_id for r in requests.collect()), pending=f"{tmp_path}/p")
+    for number, second in enumerate((1_000_000, 5, 5)):  # the second is days late, the third a repetition
+        rows = spark.createDataFrame([("a", "ALTER TABLE")], "source_id string, command string").withColumn("ts", F.timestamp_seconds(F.lit(second)))
+        step(rows, number)
+    assert asked == ["a", "a", "a"]
+
+
 def test_payload_parsing(spark):
     raw = spark.createDataFrame([("a", '{"command": "ALTER TABLE", "timestamp": "t"}'), ("b", "garbage"), ("c", None)], "source_id string, payload string")
     assert {r.source_id: r.command for r in ddl.parse_notifications(raw).collect()} == {"a": "ALTER TABLE", "b": None, "c": None}

@@ -9,7 +9,7 @@ from catalink.sources import information_schema as info
 from workload.inputs import catalog, conformed
 from workload.sql_inputs import with_ctes
 
-KEY = ["database_name", "schema_name", "table_name"]
+KEY = ["database_name", "dialect", "schema_name", "table_name"]
 
 
 def _joined(column: str):
@@ -72,7 +72,6 @@ def nested(spark, sf):
     ix = F.transform("indexes", lambda i: F.concat(i["name"], F.lit("("), F.array_join(i["columns"], ","), F.lit(")")))
     return ops.nested(catalog(spark, sf)).select(
         *KEY,
-        "dialect",
         F.array_join(F.transform("columns", lambda c: c["name"]), ",").alias("column_names"),
         _joined("primary_keys").alias("pk"),
         F.array_join(fk, ",").alias("fks"),
@@ -84,7 +83,7 @@ def counts(spark, sf):
     return ops.counts(info.base_tables(catalog(spark, sf)))
 
 
-K = "database_name, schema_name, table_name"
+K = "database_name, dialect, schema_name, table_name"
 
 QUERIES = {
     "catalog_base_tables": base_tables,
@@ -111,9 +110,9 @@ ORACLES = {
         f"SELECT {K}, column_name, position FROM m_key_columns WHERE constraint_type = 'PRIMARY KEY'"
     ),
     "catalog_fk_fanout": with_ctes(f"""
-        SELECT a.database_name, a.schema_name, a.table_name, a.constraint_name, a.column_name, b.ref_schema, b.ref_table,
+        SELECT a.database_name, a.dialect, a.schema_name, a.table_name, a.constraint_name, a.column_name, b.ref_schema, b.ref_table,
                b.ref_column, a.position
-        FROM fks a JOIN fks b USING (database_name, schema_name, constraint_name) WHERE a.dialect <> 'mysql'"""),
+        FROM fks a JOIN fks b USING (database_name, dialect, schema_name, constraint_name) WHERE a.dialect <> 'mysql'"""),
     "catalog_fk_direct": with_ctes(f"SELECT {FK_OUT} FROM fks WHERE dialect = 'mysql'"),
     "catalog_foreign_keys": with_ctes(f"SELECT {FK_OUT} FROM fks"),
     "catalog_indexes": with_ctes(
@@ -133,9 +132,9 @@ ORACLES = {
         FROM cat_columns GROUP BY ALL"""),
     "catalog_primary_index": with_ctes(f"SELECT {K}, index_name, is_primary FROM idx_flagged"),
     "catalog_nested": with_ctes(f"""
-        SELECT {K}, b.dialect,
+        SELECT {K},
                coalesce((SELECT string_agg(column_name, ',' ORDER BY ordinal) FROM cat_columns x
-                WHERE (x.database_name, x.schema_name, x.table_name) = (b.database_name, b.schema_name, b.table_name)), '') AS column_names,
+                WHERE (x.database_name, x.dialect, x.schema_name, x.table_name) = (b.database_name, b.dialect, b.schema_name, b.table_name)), '') AS column_names,
                coalesce(array_to_string(p.pk, ','), '') AS pk, coalesce(f.s, '') AS fks, coalesce(i.s, '') AS idxs
         FROM base_tables b LEFT JOIN pk_arrays p USING ({K})
         LEFT JOIN (SELECT {K}, string_agg(concat_ws('.', column_name, ref_schema, ref_table, ref_column), ','

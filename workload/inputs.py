@@ -133,7 +133,6 @@ def raw_fleet(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> dict[str,
     yes_no = F.when(F.col("nullable"), "YES").otherwise("NO")
     user_tables = tables.filter(~F.col("sys"))
     pg_tables = tables.withColumn("schema_name", F.when(F.col("sys"), "pg_catalog").otherwise(F.col("schema_name")))
-    fk_columns = key_columns.filter("ctype = 'FOREIGN KEY'")
     my_key = F.when(F.col("ctype") == "PRIMARY KEY", "PRIMARY").otherwise(F.col("cname")).alias("CONSTRAINT_NAME")
     my_index = F.when(F.col("index_name").endswith("_pkey"), "PRIMARY").otherwise(F.col("index_name")).alias("INDEX_NAME")
     definition = F.concat(
@@ -150,13 +149,18 @@ def raw_fleet(spark: SparkSession, sf_dir: str, snapshot: int = 1) -> dict[str,
             ),
             "table_constraints": pg(keys, as_("cname", "constraint_name"), as_("ctype", "constraint_type")),
             "key_column_usage": pg(
-                key_columns, as_("cname", "constraint_name"), "column_name", as_("position", "ordinal_position")
+                key_columns, as_("schema_name", "constraint_schema"), as_("cname", "constraint_name"), "column_name",
+                as_("position", "ordinal_position"),
+                F.when(F.col("ctype") == "FOREIGN KEY", F.col("position")).alias("position_in_unique_constraint"),
             ),
-            "constraint_column_usage": of(fk_columns, "postgresql").select(
+            "referential_constraints": of(keys.filter("ctype = 'FOREIGN KEY'"), "postgresql").select(
                 "database_name", as_("schema_name", "constraint_schema"), as_("cname", "constraint_name"),
-                as_("schema_name", "table_schema"), as_("rtable", "table_name"), as_("rcolumn", "column_name"), "position",
+                as_("schema_name", "unique_constraint_schema"), as_("rname", "unique_constraint_name"),
+            ),
+            "pg_indexes": of(index_defs, "postgresql").select(
+                "database_name", as_("schema_name", "schemaname"), as_("table_name", "tablename"),
+                as_("index_name", "indexname"), definition.alias("indexdef"),
             ),
-            "pg_indexes": pg(index_defs, "index_name", definition.alias("index_definition")),
         },
         "mysql": {
             "tables": my(user_tables, as_("table_type", "TABLE_TYPE")),

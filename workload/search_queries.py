@@ -59,6 +59,14 @@ def search_vector_ann(spark, sf):
     return ann.approximate_search(corpus_questions(spark, sf), corpus_vectors(spark, sf), search.CANDIDATE_LIMIT)
 
 
+def search_ann_recall(spark, sf):
+    """Hits per question, and whether the approximate search finds nine tenths of the exact hits."""
+    near = search_vector_ann(spark, sf).select("question_id", "unit_id")
+    both = vector_hits(spark, sf).select("question_id", "unit_id").join(near.withColumn("found", F.lit(1)), ["question_id", "unit_id"], "left")
+    reached = both.agg((F.sum("found") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))  # one row
+    return near.groupBy("question_id").agg(F.count(F.lit(1)).alias("hits")).join(F.broadcast(reached))
+
+
 def search_keyword(spark, sf):
     return keyword_hits(spark, sf).withColumn("score", F.round("score", 6))
 
@@ -218,6 +226,7 @@ def unit_lookup(spark, sf):
 QUERIES = {
     "search_vector": search_vector,
     "search_vector_ann": search_vector_ann,
+    "search_ann_recall": search_ann_recall,
     "search_keyword": search_keyword,
     "search_rrf": search_rrf,
     "search_limit": search_limit,
@@ -352,6 +361,10 @@ CTES["f_final"] = """
 CTES["f_answer"] = "SELECT f.* FROM f_final f JOIN f_question q USING (question_id) WHERE final_rank <= final_limit"
 
 ORACLES = {
+    "search_ann_recall": with_ctes(f"""
+        SELECT question_id, CAST(least({search.CANDIDATE_LIMIT}, (SELECT count(*) FROM embeddings WHERE len(embedding) > 0)) AS BIGINT) AS hits,
+               TRUE AS recall_reached
+        FROM c_question WHERE len(embedding) > 0"""),
     "search_vector": with_ctes("SELECT question_id, unit_id, round(round(score, 9), 6) AS score, rank FROM c_vector WHERE rank <= 15"),
     "search_keyword": with_ctes("SELECT question_id, unit_id, round(round(score, 9), 6) AS score, rank FROM c_question_keyword WHERE rank <= 15"),
     "search_rrf": with_ctes(

@@ -63,9 +63,9 @@ def _fleet(snapshot: int, s: str) -> dict[str, str]:
             SELECT c, database_name, dialect, schema_name, table_name FROM m_tables{s}
             WHERE table_type = 'BASE TABLE' AND schema_name NOT IN ('pg_catalog', 'information_schema')""",
         f"cat_columns{s}": f"""
-            SELECT m.* FROM m_columns{s} m JOIN base_tables{s} b USING (database_name, schema_name, table_name)""",
+            SELECT m.* FROM m_columns{s} m JOIN base_tables{s} b USING (database_name, dialect, schema_name, table_name)""",
         f"pk_arrays{s}": f"""
-            SELECT database_name, schema_name, table_name, list(column_name ORDER BY position) AS pk
+            SELECT database_name, dialect, schema_name, table_name, list(column_name ORDER BY position) AS pk
             FROM m_key_columns{s} WHERE constraint_type = 'PRIMARY KEY' GROUP BY ALL""",
         f"idx{s}": f"""
             SELECT database_name, dialect, schema_name, table_name, index_name, list(column_name ORDER BY seq) AS cols,
@@ -76,8 +76,8 @@ def _fleet(snapshot: int, s: str) -> dict[str, str]:
                    WHEN 'oracle' THEN list_contains(coalesce(p.pk, []), i.cols[1])
                    ELSE list_sort(list_distinct(i.cols)) = list_sort(list_distinct(coalesce(p.pk, []))) AND len(coalesce(p.pk, [])) > 0
                    END AS is_primary
-            FROM idx{s} i JOIN base_tables{s} b USING (database_name, schema_name, table_name)
-            LEFT JOIN pk_arrays{s} p USING (database_name, schema_name, table_name)""",
+            FROM idx{s} i JOIN base_tables{s} b USING (database_name, dialect, schema_name, table_name)
+            LEFT JOIN pk_arrays{s} p USING (database_name, dialect, schema_name, table_name)""",
         f"fks{s}": f"""
             SELECT c, database_name, dialect, schema_name, table_name, constraint_name, column_name, ref_schema, ref_table,
                    ref_column, position
