@@ -22,6 +22,7 @@ SKETCH = 32
 MISS = 1e-9  # chance at which the estimate may lose a pair just at the threshold
 CACHE_ENTRIES = 200_000
 PART = 2_000_000  # values of full sets that one task counts
+BLOCK = 20_000  # values of full sets in a block of nodes compared at once
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -163,34 +164,69 @@ def _inverted_lists(nodes: DataFrame, percent: int) -> DataFrame:
     return listed.select(F.col("v.value").alias("value"), "set_id", "n", "weight")
 
 
-def _open_pairs(lists: DataFrame, roots: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b, a_n, b_n) of a list that are in different components and whose sizes still admit the threshold.
+def _block_links(percent: int):
+    """From rows of (probe, offered) lists of struct<set_id, root, values>: for each probe one link to each other component it touches."""
 
-    Of n values a node shares ``shared`` with any other node, so a partner has at most shared * (100 + percent) / percent - n values.
-    Nodes outside a list's largest component look for partners by size class, so no pair of other sizes is met.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[bytes, bytes]] = []
+            for row in range(batch.num_rows):
+                sides = []
+                for column in batch.columns:
+                    nodes = column[row].values
+                    lists = nodes.field("values").slice(0)
+                    flat, ends = np.asarray(lists.flatten()), np.cumsum([0, *(len(x) for x in lists)])
+                    sides.append((nodes.field("set_id").to_pylist(), nodes.field("root").to_pylist(), flat, ends))
+                (ids, roots, x, x_ends), (other_ids, other_roots, y, y_ends) = sides
+                both = np.intersect1d(x, y)
+
+                def table(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+                    owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+                    place = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
+                    hit = both[place] == flat if len(both) else np.zeros(len(flat), bool)
+                    made = np.zeros((len(ends) - 1, len(both)), np.float32)
+                    made[owner[hit], place[hit]] = 1
+                    return made
+
+                common = table(x, x_ends) @ table(y, y_ends).T  # exact: counts are far below 2 ** 24
+                sizes = np.diff(x_ends)[:, None] + np.diff(y_ends)[None, :]
+                names = {r: i for i, r in enumerate(dict.fromkeys(roots + other_roots))}
+                mine, theirs = np.array([names[r] for r in roots]), np.array([names[r] for r in other_roots])
+                i, j = np.nonzero((100 * common >= percent * (sizes - common)) & (mine[:, None] != theirs[None, :]))
+                _, one = np.unique(i * len(names) + theirs[j], return_index=True)
+                out += [(ids[a], other_ids[b]) for a, b in zip(i[one].tolist(), j[one].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _open_links(kept: DataFrame, leaders: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between nodes of different components that have a list in common.
+
+    Nodes with a list in common have met its leader. Around each leader, the nodes outside its largest component are compared with all
+    others of a fitting size, in blocks of nodes with about BLOCK values together: exactly, on full sets. Of a node's links one for each
+    component it touches is enough, so no more rows are made than nodes and components call for.
     """
-    rows = lists.join(roots, lists["set_id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "set_id")).drop("node")
-    per_root = rows.groupBy("value", "root").agg(F.count("*").alias("members"))
-    main = per_root.groupBy("value").agg(F.max(F.struct("members", "root")).alias("m"), F.count("*").alias("roots"))
-    rows = rows.join(main.filter("roots > 1").select("value", F.col("m.root").alias("main")), "value")
-    highest = F.floor(F.least(F.col("n") * 100 / percent, F.col("shared") * (100 + percent) / percent - F.col("n"))).cast("long")
-    rows = rows.withColumn("low", F.ceil(F.col("n") * percent / 100).cast("long")).withColumn("high", highest).filter("low <= high")
-
-    def size_class(n):
-        return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) * 50).cast("int")
-
-    rows = scratch.write(rows.select("value", "set_id", "n", "root", "main", "low", "high"), "open")
-    seeking = rows.filter("root <> main").withColumn("class", F.explode(F.sequence(size_class(F.col("low")), size_class(F.col("high")))))
-    offered = rows.withColumn("class", size_class(F.col("n")))
-    met = seeking.alias("x").join(offered.alias("y"), F.expr(
-        "x.value = y.value AND x.class = y.class AND x.root <> y.root AND y.n BETWEEN x.low AND x.high AND x.n BETWEEN y.low AND y.high "
-        "AND (y.root = y.main OR x.set_id < y.set_id)"
-    ))
-    ends = "least(x.set_id, y.set_id) AS a", "greatest(x.set_id, y.set_id) AS b"
-    sizes = "IF(x.set_id < y.set_id, x.n, y.n) AS a_n", "IF(x.set_id < y.set_id, y.n, x.n) AS b_n"
-    out = scratch.write(met.selectExpr(*ends, *sizes).distinct(), "pairs")
+    met = kept.join(leaders, "value").select(F.col("top.set_id").alias("leader"), "set_id", "n").distinct()
+    met = met.join(roots, met["set_id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "set_id")).drop("node")
+    per_root = met.groupBy("leader", "root").agg(F.count("*").alias("members"))
+    main = per_root.groupBy("leader").agg(F.max(F.struct("members", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1")
+    rows = met.join(main.select("leader", F.col("m.root").alias("main")), "leader")
+    rows = scratch.write(rows.withColumn("class", F.floor(F.log(F.col("n").cast("double")) * 50).cast("int")), "open")
+    spread = math.ceil(math.log(100 / percent) * 50) + 1
+
+    def blocks(nodes: DataFrame, name: str) -> DataFrame:
+        counts = nodes.groupBy("leader", "class").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+        dealt = nodes.join(counts, ["leader", "class"]).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")))
+        packed = dealt.join(sets, "set_id").groupBy("leader", "class", "part")
+        return packed.agg(F.collect_list(F.struct("set_id", "root", "values")).alias(name))
+
+    seeking = blocks(rows.filter("root <> main"), "probe").withColumn("near", F.explode(F.sequence(F.col("class") - spread, F.col("class") + spread)))
+    offered = blocks(rows, "offered").select("leader", F.col("class").alias("near"), "offered")
+    pairs = seeking.join(offered, ["leader", "near"]).select("probe", "offered")
+    links = scratch.write(pairs.mapInArrow(_block_links(percent), "a binary, b binary").distinct(), "links")
     scratch.drop(rows)
-    return out
+    return links
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -205,8 +241,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     Rows with equal sets count as one node. Retained values that several nodes share are ordered from rare to frequent over the whole
     corpus; two linked sets share one of the first few, as they have ``least_overlap`` retained values in common, but with a chance of
     MISS. Nodes of such lists whose full sets share too few values with all others together are linked with none. In each list all are
-    compared with one leader, the node whose values are most common; then those pairs are compared which are not yet in one component.
-    No pair is left out for the length of a list.
+    compared with one leader, the node whose values are most common; then those are compared which are not yet in one component, see
+    ``_open_links``. No pair is left out for the length of a list.
     """
     scratch = Scratch(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
@@ -227,21 +263,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     scratch.drop(members)
     # A node can be linked only if others have as many of its values as the threshold asks for.
     able = scratch.write(_shared_counts(all_sets), "shared")
-    kept = lists.join(able, "set_id").filter(f"100 * shared >= {percent} * n")
+    kept = lists.join(able, "set_id").filter(f"100 * shared >= {percent} * n").drop("shared")
     kept = scratch.write(kept, "able")
     sets = scratch.write(all_sets.join(kept.select("set_id").distinct(), "set_id", "left_semi"), "able_sets")
     scratch.drop(lists, able, all_sets)
 
     leaders = kept.groupBy("value").agg(F.max(F.struct("weight", "set_id", "n")).alias("top"), F.count("*").alias("members"))
-    leaders = leaders.filter("members > 1").select("value", "top")
+    leaders = scratch.write(leaders.filter("members > 1").select("value", "top"), "leaders")
     first = kept.join(leaders, "value").filter("set_id <> top.set_id")
     first = first.select(F.col("top.set_id").alias("a"), F.col("set_id").alias("b"), F.col("top.n").alias("a_n"), F.col("n").alias("b_n"))
     first = scratch.write(first.distinct(), "pairs")
     links = _confirmed(first, nodes, sets, percent, scratch)
     scratch.drop(first)
     roots = scratch.write(components(links, scratch), "roots")
-    rest = _open_pairs(kept, roots, percent, scratch)
-    more = _confirmed(rest, nodes, sets, percent, scratch)
+    more = _open_links(kept, leaders, roots, sets, percent, scratch)
     roots = scratch.write(components(links.unionByName(more), scratch), "roots")
 
     grouped = nodes.join(roots, nodes["set_id"] == roots["node"], "left").select("set_id", "low", F.coalesce("root", "set_id").alias("root"))
