@@ -24,7 +24,9 @@ SEED = 42
 
 
 def train_cells(units: DataFrame, cells: int) -> np.ndarray:
-    """Unit-length centroids, trained on all units."""
+    """Unit-length centroids, trained on all units; a single cell holds every unit and needs no training."""
+    if cells == 1:
+        return normalised(np.ones((1, len(units.first()["embedding"]))))
     points = units.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=SEED, maxIter=10, distanceMeasure="cosine").fit(points)
     return normalised(np.array(model.clusterCenters()))
