@@ -75,7 +75,7 @@ def _round_group(level: int) -> Column:
         f"'done', concat(m.done, IF({whole.format('pa')}, array({item('m.a', 'm.pa')}), array()), "
         f"IF({whole.format('pb')}, array({item('m.b', 'm.pb')}), array())))"
     )
-    step = f"transform(transform(transform(transform(array({odds}), o -> {drawn}), t -> {moved}), m -> {settled}), z -> z)[0]"
+    step = f"transform(transform(transform(array({odds}), o -> {drawn}), t -> {moved}), m -> {settled})[0]"
     start = f"named_struct('rest', CAST(NULL AS {ITEM}), 'done', CAST(array() AS array<{ITEM}>))"
     return F.expr(f"aggregate(items, {start}, (acc, x) -> IF(acc.rest IS NULL, named_struct('rest', x, 'done', acc.done), {step}))")
 
@@ -112,7 +112,7 @@ def mix(
     most_rows = per_source.agg(F.max("n")).first()[0] or 0
     level, width = 0, GROUP
     while True:
-        last = width >= most_rows * GROUP  # every source is a single group
+        last = width >= most_rows  # every source is a single group
         groups = F.lit(1) if last else F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(width)))
         chosen = open_items.withColumn("g", F.pmod(F.xxhash64(F.lit("group"), F.lit(level), "item.key", "item.size"), groups))
         order = F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(level), "item.key", "item.size").alias("o"), "item")))
