@@ -107,7 +107,7 @@ class Cover:
 
 
 ANCHORS = "name bigint, extension bigint, text_id binary, first bigint, windows bigint"
-WINDOWS = "name bigint, window bigint, text_id binary, first bigint"
+WINDOWS = "name bigint, window bigint, range bigint, place int"
 
 
 def _repeat(ids: list[bytes], counts: list[int]) -> pa.Array:
@@ -162,34 +162,40 @@ def find_repeats(df: DataFrame, length: int) -> DataFrame:
     scratch.drop(anchors)
 
     # Where a name has several extensions, the remaining suffixes decide, one for each window.
-    several = repeated.filter("extensions > 1").select("name", "one.*")
-    several = several.groupBy("text_id").agg(F.collect_list(F.struct("name", "first", "windows")).alias("ranges"))
-    lowest = df.groupBy("text_id").agg(F.min("key").alias("low"))
-    wanted = scratch.write(several.join(lowest, "text_id"), "wanted")
+    ranges = repeated.filter("extensions > 1").select(F.monotonically_increasing_id().alias("range"), "name", "one.*")
+    ranges = scratch.write(ranges, "ranges")
     scratch.drop(repeated)
+    asked = ranges.groupBy("text_id").agg(F.collect_list(F.struct("range", "name", "first", "windows")).alias("ranges"))
+    lowest = df.groupBy("text_id").agg(F.min("key").alias("low"))
+    wanted = scratch.write(asked.join(lowest, "text_id"), "wanted")
     rows = df.alias("d").join(wanted.alias("w"), F.expr("d.key <=> w.low AND d.text_id = w.text_id"))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cover = Cover(length)
         for batch in _slices(batches, 32):
-            ids, parts = [], []
-            for name, text, ranges in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                for r in ranges:
+            parts = []
+            for text, asked_ranges in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist()):
+                for r in asked_ranges:
                     hashes = cover.windows(text, r["first"], r["windows"])
-                    ids.append(name)
-                    parts.append((np.full(len(hashes), r["name"]), hashes, np.arange(r["first"], r["first"] + len(hashes))))
-            if parts:
-                yield _batch(ids, parts, ["name", "window", "text_id", "first"])
+                    parts.append((np.full(len(hashes), r["name"]), hashes, np.full(len(hashes), r["range"]), np.arange(len(hashes))))
+            columns = [np.concatenate([p[i] for p in parts] or [np.zeros(0)]) for i in range(4)]
+            kinds = (np.int64, np.int64, np.int64, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds)], ["name", "window", "range", "place"])
 
-    windows = scratch.write(rows.select("d.text_id", "d.text", "w.ranges").mapInArrow(expand, WINDOWS), "windows")
+    windows = scratch.write(rows.select("d.text", "w.ranges").mapInArrow(expand, WINDOWS), "windows")
     scratch.drop(wanted)
     # A row that is there several times has its windows several times; they do recur.
     again = windows.groupBy("name", "window").agg(F.count("*").alias("copies")).filter("copies > 1").select("name", "window")
-    found = windows.join(again, ["name", "window"], "left_semi")
-    single = found.select("text_id", F.col("first").alias("start"), (F.col("first") + length).alias("end")).distinct()
+    again = scratch.write(again, "again")
+    found = windows.join(again, ["name", "window"], "left_semi").groupBy("range").agg(F.collect_set("place").alias("places"))
+    found = scratch.write(found, "found")
+    scratch.drop(windows, again)
+    single = found.join(ranges, "range").select("text_id", "first", F.explode("places").alias("place"))
+    start = F.col("first") + F.col("place")
+    single = single.select("text_id", start.alias("start"), (start + length).alias("end")).distinct()
     spans = covered.unionByName(single).groupBy("text_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     out = scratch.write(spans, "spans")
-    scratch.drop(covered, windows)
+    scratch.drop(covered, ranges, found)
     return out
 
 
