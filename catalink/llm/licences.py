@@ -121,7 +121,7 @@ units AS (
 words AS (SELECT doc_id, unit, place, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM units),
 sets AS (
   SELECT doc_id, unit, place, list_distinct(CASE WHEN len(w) > 1
-    THEN list_transform(generate_series(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1]) ELSE w END) AS own
+    THEN list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS own
   FROM words WHERE len(w) > 0
 ),
 scored AS (
