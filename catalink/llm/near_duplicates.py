@@ -216,7 +216,7 @@ def _open_links(kept: DataFrame, leaders: DataFrame, roots: DataFrame, sets: Dat
     spread = math.ceil(math.log(100 / percent) * 50) + 1
 
     def blocks(nodes: DataFrame, name: str) -> DataFrame:
-        counts = nodes.groupBy("leader", "class").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+        counts = nodes.groupBy("leader", "class").agg(F.ceil(F.sum(F.greatest("n", F.lit(100))) / BLOCK).alias("parts"))  # few nodes, if small
         dealt = nodes.join(counts, ["leader", "class"]).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")))
         packed = dealt.join(sets, "set_id").groupBy("leader", "class", "part")
         return packed.agg(F.collect_list(F.struct("set_id", "root", "values")).alias(name))
