@@ -1,15 +1,18 @@
-"""Licence scan: lines, paragraphs and whole texts compared with licence templates by the Dice coefficient of their word bigrams.
+"""Licence scan: lines, paragraphs, whole texts and runs of words compared with licence templates by the Dice coefficient of their word bigrams.
 
-DataFrame functions only and no shuffle: units whose number of words no template admits are dropped before their words are looked at.
+DataFrame functions only and no shuffle: units whose number of words no template admits are dropped before their words are looked at, and
+runs are looked for only in documents that share as many bigrams with a template as a run must.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SHORT = 400  # bigrams of templates that are looked for in one go
 WORD = r"[\p{L}\p{N}]+"
 
 # Wording of common licence notices and short licences.
@@ -51,54 +54,219 @@ def bounds(size: int, percent: int) -> tuple[int, int]:
     return -(-percent * size // (200 - percent)), (200 - percent) * size // percent
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used; null for a null value."""
+    return F.get(F.transform(F.array(value), lambda v: F.when(v.isNotNull(), body(v))), F.lit(0))
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"))
+
+
+def _pairs(words: Column) -> Column:
+    """The bigrams of a list of words, one for each place."""
+    return F.zip_with(
+        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)
+    )
+
+
 def bigrams(text: Column) -> Column:
     """The distinct bigrams of a normalised unit."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(words))
+    words = _words(text)
+    return F.array_distinct(F.when(F.size(words) > 1, _pairs(words)).otherwise(words))
+
+
+def _constant(words: list[str]) -> Column:
+    return F.split(F.lit("\n".join(words)), "\n")  # one literal, however many words
+
+
+def _best(own: Column, sets: dict[str, list[str]], percent: int) -> Column:
+    """struct<d, licence> of the template most like a set of bigrams, d being the negative Dice coefficient; null below the threshold."""
+    scored = [F.lit(None).cast("struct<d: double, licence: string>")] * 2
+    for name, words in sets.items():
+        low, high = bounds(len(words), percent)
+        shared = F.when(F.size(own).between(low, high), F.size(F.array_intersect(own, _constant(words))))
+        dice = 2.0 * shared / (F.size(own) + len(words))
+        scored.append(F.when(dice >= percent / 100, F.struct((-dice).alias("d"), F.lit(name).alias("licence"))))
+    return F.least(*scored)
+
+
+def _units(text: Column) -> Column:
+    lines, paragraphs = _lines(text), _paragraphs(text)
+    several = F.transform(paragraphs, lambda p, i: F.struct(F.lit("paragraph").alias("unit"), i.alias("place"), p.alias("t")))
+    return F.concat(
+        F.transform(lines, lambda p, i: F.struct(F.lit("line").alias("unit"), i.alias("place"), p.alias("t"))),
+        F.filter(several, lambda s: F.contains(s["t"], F.lit("\n"))),
+        F.when(F.size(paragraphs) > 1, F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("place"), text.alias("t"))))
+        .otherwise(F.filter(several, lambda s: F.lit(False))),
+    )
+
+
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n")
+
+
+def _paragraphs(text: Column) -> Column:
+    return F.split(text, r"\n[\x20\x09-\x0D]*\n")
+
+
+RUN = "struct<first: int, last: int, dice: double, licence: string>"
+
+
+def _runs_of(pairs: Column, template: Column, percent: int) -> Column:
+    """Runs in a list of bigrams that are like one template (licence, words, low, size, reach, lead), in order, none overlapping another."""
+    want, reach, low, size = template["words"], template["reach"], template["low"], template["size"].cast("double")
+    # (place, place of the same pair before, whether the template has it, whether it begins the template), in order of place.
+    ordered = F.array_sort(F.transform(pairs, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+
+    def linked(at: Column) -> Column:
+        def link(x: Column, i: Column) -> Column:
+            back = F.get(at, i - 1)
+            return F.struct(
+                x["p"].alias("p"),
+                F.when(back["w"] == x["w"], back["p"]).otherwise(-1).alias("before"),
+                F.array_contains(want, x["w"]).alias("hit"),
+                (x["w"] == template["lead"]).alias("lead"),
+            )
+
+        return F.array_sort(F.transform(at, link))
+
+    def starts(q: Column, hits: Column) -> Column:
+        def open_(x: Column, i: Column) -> Column:
+            # Enough hits in reach. A run is as good or better with one more pair of the template on its left.
+            enough = F.coalesce(F.get(hits, i + low - 1)["p"] < x["p"] + reach, F.lit(False))
+            return enough & (x["lead"] | ~F.coalesce(F.get(q, x["p"] - 1)["hit"], F.lit(False)))
+
+        return F.filter(hits, open_)
+
+    def longest(q: Column, start: Column) -> Column:
+        """The end with the greatest Dice coefficient, the first of several. Pairs that the run has already do not count again."""
+        begin = F.struct(F.lit(0).alias("own"), F.lit(0).alias("shared"), F.lit(0.0).alias("dice"), start["p"].alias("last"))
+
+        def step(acc: Column, x: Column) -> Column:
+            new = x["before"] < start["p"]
+            own = acc["own"] + F.when(new, 1).otherwise(0)
+            shared = acc["shared"] + F.when(new & x["hit"], 1).otherwise(0)
+            dice = 2.0 * shared / (own + size)
+            better = dice > acc["dice"]
+            return F.struct(
+                own.alias("own"), shared.alias("shared"), F.when(better, dice).otherwise(acc["dice"]).alias("dice"),
+                F.when(better, x["p"]).otherwise(acc["last"]).alias("last"),
+            )
+
+        return F.aggregate(
+            F.slice(q, start["p"] + 1, reach), begin, step,
+            lambda acc: F.struct(start["p"].alias("first"), (acc["last"] + 1).alias("last"), acc["dice"].alias("dice"), template["licence"].alias("licence")),
+        )
+
+    def apart(acc: Column, run: Column) -> Column:
+        before = F.get(acc, F.size(acc) - 1)
+        return (
+            F.when(F.size(acc).eqNullSafe(0) | (run["first"] > before["last"]), F.concat(acc, F.array(run)))
+            .when(run["dice"] > before["dice"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(run)))
+            .otherwise(acc)
+        )
+
+    def all_of(q: Column) -> Column:
+        ends = _let(F.filter(q, lambda x: x["hit"]), lambda hits: F.transform(starts(q, hits), lambda x: longest(q, x)))
+        return F.aggregate(F.filter(ends, lambda r: r["dice"] >= percent / 100), F.array().cast(f"array<{RUN}>"), apart)
+
+    return _let(_let(ordered, linked), all_of)
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    return F.least(a["last"], b["last"]) - F.greatest(a["first"], b["first"]) + 1
+
+
+def _stand(text: Column, runs: Column, sets: dict[str, list[str]], percent: int) -> Column:
+    """The runs of a text that neither a unit nor a better run stands for."""
+
+    def place(u: Column) -> Column:
+        before = F.when(u["unit"] == "line", _lines(text)).when(u["unit"] == "paragraph", _paragraphs(text)).otherwise(F.array(F.lit("")))
+        first = F.aggregate(F.slice(before, 1, u["place"]), F.lit(0), lambda n, t: n + F.size(_words(t)))
+        return _let(_let(bigrams(u["t"]), lambda own: _best(own, sets, percent)), lambda best: _let(first, lambda n: F.struct(
+            n.alias("first"), (n + F.size(_words(u["t"])) - 1).alias("last"), (-best["d"]).alias("dice"), best["licence"].alias("licence")
+        )))
+
+    def stays(r: Column, units: Column) -> Column:
+        def beats(s: Column, sure: Column) -> Column:
+            same = 2 * _overlap(r, s) > F.greatest(r["last"] - r["first"], s["last"] - s["first"]) + 1
+            return same & ((s["dice"] > r["dice"]) | ((s["dice"] == r["dice"]) & sure))
+
+        def holds(u: Column) -> Column:
+            return (u["first"] <= r["first"]) & (u["last"] >= r["last"]) & (u["licence"] == r["licence"])
+
+        return ~F.exists(units, lambda u: holds(u) | beats(u, F.lit(True))) & ~F.exists(runs, lambda s: beats(s, s["licence"] < r["licence"]))
+
+    return _let(F.array_compact(F.transform(_units(text), place)), lambda units: F.filter(runs, lambda r: stays(r, units)))
+
+
+def _runs(rows: DataFrame, sets: dict[str, list[str]], lengths: dict[str, int], leads: dict[str, str], percent: int) -> DataFrame:
+    """(key, unit, place, licence, dice) of the runs in rows (key, text) that no unit stands for."""
+    least = min(bounds(len(s), percent)[0] for s in sets.values())
+    short = sorted({w for s in sets.values() if len(s) <= SHORT for w in s})
+    text = F.col("text")
+
+    def likely(own: Column, common: Column) -> Column:
+        out = []
+        for name, words in sets.items():
+            some = common if len(words) <= SHORT else own
+            low = bounds(len(words), percent)[0]
+            reach = max(bounds(lengths[name], percent)[1], lengths[name])
+            template = F.struct(
+                F.lit(name).alias("licence"), _constant(words).alias("words"), F.lit(low).alias("low"), F.lit(len(words)).alias("size"), F.lit(reach).alias("reach"),
+                F.lit(leads[name]).alias("lead"),
+            )
+            out.append(F.when(F.size(some) >= low, F.when(F.size(F.array_intersect(some, _constant(words))) >= low, template)))
+        return F.array_compact(F.array(*out))
+
+    def of(pairs: Column) -> Column:
+        distinct = F.when(F.size(pairs) >= least, F.array_distinct(pairs))
+        templates = _let(distinct, lambda own: _let(F.array_intersect(own, _constant(short)) if short else F.slice(own, 1, 0), lambda common: likely(own, common)))
+        return _let(templates, lambda ts: F.when(F.size(ts) > 0, F.flatten(F.transform(ts, lambda t: _runs_of(pairs, t, percent)))))
+
+    runs = _let(_let(_let(_words(text), _pairs), of), lambda found: F.when(F.size(found) > 0, _stand(text, found, sets, percent)))
+    rows = rows.select("key", F.explode(runs).alias("r"))
+    return rows.select("key", F.lit("run").alias("unit"), F.col("r.first").alias("place"), "r.licence", "r.dice")
 
 
 def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """(key, unit, place, licence, dice) for each line, blank-line paragraph or whole text that is like a template.
+    """(key, unit, place, licence, dice) for each line, blank-line paragraph, whole text or run of words that is like a template.
 
     ``unit`` is ``line``, ``paragraph`` (of several lines) or ``text`` (of several paragraphs), ``place`` its number within the document
     from 0. The best template is named, of equally good ones the first by code point. Letters are lower-cased, words are runs of letters
     and digits. Null and empty texts have no units; repeated rows are found each; an empty table or no template gives an empty result.
     A unit of n words has at most n - 1 bigrams; units too short for every template are dropped by their number of words, and
     only templates whose size bounds admit a unit's number of bigrams are compared with it.
+
+    A ``run`` is a row of consecutive words across lines and paragraphs, ``place`` the number of its first word. It starts with a bigram of
+    the template that follows none of its bigrams or begins it, ends with one of them, and has at most as many bigrams, repeated ones counted, as the upper size bound of the template's own number.
+    For each start the end with the greatest coefficient is taken, from left to right a run replaces the one before that it overlaps if
+    it is better. Of runs of several templates that share more than half the words of the longer one the best stays. A run is left out
+    where a unit found holds all of it and has the same licence, or shares more than half of the words and is as good. Templates of one word
+    have no runs.
     """
     sets = {name: template_bigrams(t) for name, t in sorted(templates.items())}
     sets = {name: s for name, s in sets.items() if s}
     least = min((bounds(len(s), percent)[0] for s in sets.values()), default=1)
-    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lines = F.split("text", "\n")
-    paragraphs = F.split("text", r"\n[\x20\x09-\x0D]*\n")
-    several = F.transform(paragraphs, lambda p, i: F.struct(F.lit("paragraph").alias("unit"), i.alias("place"), p.alias("t")))
-    units = F.concat(
-        F.transform(lines, lambda p, i: F.struct(F.lit("line").alias("unit"), i.alias("place"), p.alias("t"))),
-        F.filter(several, lambda s: F.contains(s["t"], F.lit("\n"))),
-        F.when(F.size(paragraphs) > 1, F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("place"), F.col("text").alias("t"))))
-        .otherwise(F.filter(several, lambda s: F.lit(False))),
-    )
-    rows = rows.select("key", F.explode(units).alias("u")).select("key", "u.*")
+    documents = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # A set of b bigrams takes more than b words, but for the single word.
-    rows = rows.withColumn("n", F.regexp_count("t", F.lit(WORD))).filter(F.col("n") >= (least + 1 if least > 1 else 1))
-    rows = rows.withColumn("own", bigrams(F.col("t")))
-    size = F.size("own")
-    scored = F.lit(None).cast("struct<d: double, licence: string>")
-    for name, words in sets.items():
-        low, high = bounds(len(words), percent)
-        shared = F.size(F.array_intersect("own", F.array(*map(F.lit, words))))
-        dice = F.when(size.between(low, high), 2.0 * shared / (size + len(words)))
-        scored = F.least(scored, F.when(dice >= percent / 100, F.struct((-dice).alias("d"), F.lit(name).alias("licence"))))
-    found = rows.withColumn("best", scored).filter("best IS NOT NULL")
-    return found.select(
-        F.col("key").alias(key), "unit", F.col("place").cast("long").alias("place"), "best.licence", (-F.col("best.d")).alias("dice")
-    )
+    few = least + 1 if least > 1 else 1
+
+    def found_as(u: Column) -> Column:
+        best = _let(F.when(F.regexp_count(u["t"], F.lit(WORD)) >= few, bigrams(u["t"])), lambda own: _best(own, sets, percent))
+        return _let(best, lambda b: F.struct(u["unit"].alias("unit"), u["place"].alias("place"), b["licence"].alias("licence"), (-b["d"]).alias("dice")))
+
+    found = documents.select("key", F.explode(F.array_compact(F.transform(_units(F.col("text")), found_as))).alias("u")).select("key", "u.*")
+    words = {name: re.findall(r"[^\W_]+", templates[name].lower()) for name in sets}
+    lengths, leads = {name: len(w) - 1 for name, w in words.items()}, {name: " ".join(w[:2]) for name, w in words.items()}
+    if several := {name: s for name, s in sets.items() if lengths[name]}:
+        found = found.unionByName(_runs(documents, several, lengths, leads, percent))
+    return found.select(F.col("key").alias(key), "unit", F.col("place").cast("long").alias("place"), "licence", "dice")
 
 
 def oracle(templates: dict[str, str] = TEMPLATES, percent: int = 80) -> str:
-    """The same in DuckDB SQL, without pruning."""
+    """The lines, paragraphs and whole texts in DuckDB SQL, without pruning; it has no runs."""
     values = ", ".join(
         "('{}', [{}])".format(name.replace("'", "''"), ", ".join("'" + b.replace("'", "''") + "'" for b in template_bigrams(t)))
         for name, t in templates.items()

@@ -69,3 +69,58 @@ def test_documents_of_the_small_table_without_python(spark):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute([(r["doc_id"], r["text"]) for r in df.collect()], licences.TEMPLATES, 80)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def best_run(words, template, percent):
+    """The greatest coefficient of any run of words, every one tried."""
+    want, best = set(licences.template_bigrams(template)), 0
+    for i in range(len(words)):
+        own = set()
+        for j in range(i + 1, min(len(words), i + 4 * len(want))):
+            own.add(f"{words[j - 1]} {words[j]}")
+            best = max(best, 2 * len(own & want) / (len(own) + len(want)))
+    return best if best >= percent / 100 else None
+
+
+PARTS = re.sub(r"(subject to the following conditions:|portions of the Software\.) ", r"\1\n\n", MIT)
+PROSE = "\n".join(f"Line {i} of the text tells of the use of the software number {i * i}." for i in range(150))
+
+
+def test_split_licences_inside_long_documents(spark):
+    assert PARTS.count("\n\n") == 2
+    wrapped = "\n\n".join(re.sub(r"(.{60,75}) ", r"\1\n", p) for p in PARTS.split("\n\n"))
+    texts = [
+        f"{wrapped}\n\n{PROSE}", f"{PROSE}\n\n{wrapped}", f"{PROSE}\n\n{PARTS}\n\n{PROSE}\n\n{wrapped}\n{wrapped}\n", PROSE,
+        re.sub("(?m)^", " * ", wrapped) + "\n" + PROSE, "This project is released under the MIT License.", f"{PROSE} (c) 2020 A. B., all rights reserved, and {PROSE}",
+        "All rights reserved.\nIt is so that all rights reserved stay.", f"{PROSE}\n{MIT[:400]}",
+    ]
+    got = found(docs(spark, texts))
+    before = len(re.findall(r"[^\W_]+", PROSE))
+    length = len(re.findall(r"[^\W_]+", MIT))
+    second = 2 * before + length
+    assert got == sorted([
+        (0, "run", 0, "MIT", 1.0), (1, "run", before, "MIT", 1.0),
+        (2, "run", before, "MIT", 1.0), (2, "run", second, "MIT", 1.0), (2, "run", second + length, "MIT", 1.0),
+        (2, "paragraph", 7, "MIT", 13 / 14),  # the end of one copy and most of the next
+        (4, "run", 0, "MIT", 1.0), (5, "run", 3, "MIT notice", 1.0), (6, "run", before + 4, "All rights reserved", 1.0),
+        (7, "line", 0, "All rights reserved", 1.0), (7, "run", 7, "All rights reserved", 1.0),
+    ], key=repr)
+
+
+def test_runs_equal_brute_force_on_edited_texts(spark):
+    import random
+
+    draw = random.Random(3)
+    template = "a b c a b d e f g a c h i j k l b c"
+    texts = []
+    for _ in range(150):
+        words = template.split()
+        for _ in range(draw.randrange(6)):
+            i = draw.randrange(len(words))
+            words[i:i + draw.randrange(2)] = draw.choices("abcxyz", k=draw.randrange(3))
+        texts.append(" ".join(draw.choices("abcdxyz", k=draw.randrange(30)) + words + draw.choices("abcdxyz", k=draw.randrange(30))))
+    got = {}
+    for key, _, _, _, dice in found(docs(spark, texts), templates={"t": template}):
+        got[key] = max(dice, got.get(key, 0))
+    want = {i: b for i, t in enumerate(texts) if (b := best_run(t.split(), template, 80))}
+    assert got.keys() == want.keys() and len(want) > 20
