@@ -6,8 +6,10 @@ runs are looked for only in documents that share as many bigrams with a template
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 SHORT = 400  # bigrams of templates that are looked for in one go
 WORD = r"[\p{L}\p{N}]+"
 
-# Wording of common licence notices and short licences.
+# Short notices, two short licences, and the normalised texts and standard headers of common licences.
 TEMPLATES = {
     "MIT notice": "Released under the MIT License.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
@@ -40,7 +42,7 @@ TEMPLATES = {
         "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
         "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
-}
+} | json.loads(Path(__file__).with_name("licence_texts.json").read_text())
 
 
 def template_bigrams(text: str) -> list[str]:

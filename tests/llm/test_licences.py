@@ -124,3 +124,16 @@ def test_runs_equal_brute_force_on_edited_texts(spark):
         got[key] = max(dice, got.get(key, 0))
     want = {i: b for i, t in enumerate(texts) if (b := best_run(t.split(), template, 80))}
     assert got.keys() == want.keys() and len(want) > 20
+
+
+def test_texts_and_headers_of_common_licences(spark):
+    names = [
+        "Apache-2.0", "Apache-2.0 header", "GPL-2.0", "GPL-3.0", "GPL-3.0 header", "LGPL-2.1", "LGPL-3.0 header", "AGPL-3.0 header", "BSD-2-Clause",
+        "BSD-3-Clause", "MPL-2.0", "MPL-2.0 header", "Unlicense", "CC0-1.0", "CC-BY-4.0 header", "CC-BY-SA-4.0",
+    ]
+    texts = []
+    for name in names:
+        words = licences.TEMPLATES[name].split()
+        texts.append("import this\n\n" + "\n".join(" * " + " ".join(words[i:i + 9]) for i in range(0, len(words), 9)) + "\n\n" + PROSE)
+    got = found(docs(spark, texts))
+    assert {(k, n) for k, _, _, n, d in got if d == 1.0} >= set(enumerate(names))
