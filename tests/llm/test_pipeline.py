@@ -28,7 +28,7 @@ def test_stages_and_registration():
     ]
     registered = __spark_entry__.queries()
     assert registered["pipeline"] is corpus_pipeline.run
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in registered) == 1
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
