@@ -1,6 +1,7 @@
 """Licence scan: lines, paragraphs, whole texts and runs of words compared with licence templates by the Dice coefficient of their word bigrams.
 
-DataFrame functions only and no shuffle: units whose number of words no template admits are dropped before their words are looked at, and
+DataFrame functions only and no shuffle. An inverted list of template bigrams finds the documents in which any template is possible; only
+their units and runs are looked at. Units whose number of words no template admits are dropped before their bigrams are made, and
 runs are looked for only in documents that share as many bigrams with a template as a run must.
 """
 
@@ -203,11 +204,33 @@ def _stand(text: Column, runs: Column, sets: dict[str, list[str]], percent: int)
     return _let(F.array_compact(F.transform(_units(text), place)), lambda units: F.filter(runs, lambda r: stays(r, units)))
 
 
-def _runs(rows: DataFrame, sets: dict[str, list[str]], lengths: dict[str, int], leads: dict[str, str], percent: int) -> DataFrame:
-    """(key, unit, place, licence, dice) of the runs in rows (key, text) that no unit stands for."""
+def _inverted(sets: dict[str, list[str]], percent: int) -> list[str]:
+    """Bigrams of which every unit or run that is like a template has at least one.
+
+    It shares ``low`` bigrams of the template's ``size`` at least, so at least one of any ``size - low + 1`` of them: of the longest here.
+    """
+    out = set()
+    for words in sets.values():
+        low, _ = bounds(len(words), percent)
+        out.update(sorted(words, key=lambda w: (-len(w), w))[: len(words) - low + 1])
+    return sorted(out)
+
+
+def _possible(documents: DataFrame, sets: dict[str, list[str]], percent: int) -> DataFrame:
+    """The documents that hold any of the inverted list's bigrams, or the word of a template of one word."""
+    listed = _inverted(sets, percent)
+    held = documents.withColumn("words", _words(F.col("text"))).withColumn("pairs", _pairs(F.col("words")))
+    tests = []
+    for column, own in (("pairs", [w for w in listed if " " in w]), ("words", [w for w in listed if " " not in w])):
+        if own:  # letters, digits and blanks only
+            tests.append(f"exists({column}, x -> x IN ({', '.join(repr(w) for w in own)}))")
+    return held.filter(" OR ".join(tests) or "false").select(*documents.columns)
+
+
+def _runs(text: Column, sets: dict[str, list[str]], lengths: dict[str, int], leads: dict[str, str], percent: int) -> Column:
+    """The runs of a text that no unit stands for, as array<RUN>; null for none."""
     least = min(bounds(len(s), percent)[0] for s in sets.values())
     short = sorted({w for s in sets.values() if len(s) <= SHORT for w in s})
-    text = F.col("text")
 
     def likely(own: Column, common: Column) -> Column:
         out = []
@@ -227,9 +250,7 @@ def _runs(rows: DataFrame, sets: dict[str, list[str]], lengths: dict[str, int],
         templates = _let(distinct, lambda own: _let(F.array_intersect(own, _constant(short)) if short else F.slice(own, 1, 0), lambda common: likely(own, common)))
         return _let(templates, lambda ts: F.when(F.size(ts) > 0, F.flatten(F.transform(ts, lambda t: _runs_of(pairs, t, percent)))))
 
-    runs = _let(_let(_let(_words(text), _pairs), of), lambda found: F.when(F.size(found) > 0, _stand(text, found, sets, percent)))
-    rows = rows.select("key", F.explode(runs).alias("r"))
-    return rows.select("key", F.lit("run").alias("unit"), F.col("r.first").alias("place"), "r.licence", "r.dice")
+    return _let(_let(_let(_words(text), _pairs), of), lambda found: F.when(F.size(found) > 0, _stand(text, found, sets, percent)))
 
 
 def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -251,7 +272,7 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc_i
     sets = {name: template_bigrams(t) for name, t in sorted(templates.items())}
     sets = {name: s for name, s in sets.items() if s}
     least = min((bounds(len(s), percent)[0] for s in sets.values()), default=1)
-    documents = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    documents = _possible(df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")), sets, percent)
     # A set of b bigrams takes more than b words, but for the single word.
     few = least + 1 if least > 1 else 1
 
@@ -259,12 +280,15 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc_i
         best = _let(F.when(F.regexp_count(u["t"], F.lit(WORD)) >= few, bigrams(u["t"])), lambda own: _best(own, sets, percent))
         return _let(best, lambda b: F.struct(u["unit"].alias("unit"), u["place"].alias("place"), b["licence"].alias("licence"), (-b["d"]).alias("dice")))
 
-    found = documents.select("key", F.explode(F.array_compact(F.transform(_units(F.col("text")), found_as))).alias("u")).select("key", "u.*")
+    found = F.array_compact(F.transform(_units(F.col("text")), found_as))
     words = {name: re.findall(r"[^\W_]+", templates[name].lower()) for name in sets}
     lengths, leads = {name: len(w) - 1 for name, w in words.items()}, {name: " ".join(w[:2]) for name, w in words.items()}
     if several := {name: s for name, s in sets.items() if lengths[name]}:
-        found = found.unionByName(_runs(documents, several, lengths, leads, percent))
-    return found.select(F.col("key").alias(key), "unit", F.col("place").cast("long").alias("place"), "licence", "dice")
+        runs = F.coalesce(_runs(F.col("text"), several, lengths, leads, percent), F.array().cast(f"array<{RUN}>"))
+        as_unit = lambda r: F.struct(F.lit("run").alias("unit"), r["first"].alias("place"), r["licence"].alias("licence"), r["dice"].alias("dice"))
+        found = F.concat(found, F.transform(runs, as_unit))
+    out = documents.select("key", F.explode(found).alias("u")).select("key", "u.*")
+    return out.select(F.col("key").alias(key), "unit", F.col("place").cast("long").alias("place"), "licence", "dice")
 
 
 def oracle(templates: dict[str, str] = TEMPLATES, percent: int = 80) -> str:
