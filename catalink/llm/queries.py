@@ -44,14 +44,9 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
-    return found.select(
-        "doc_id",
-        F.col("repeats.n_bytes").alias("n_bytes"),
-        F.col("repeats.removed").alias("n_removed"),
-        F.size("repeats.spans").cast("long").alias("n_spans"),
-        F.sha2("repeats.kept", 256).alias("kept_sha256"),
-    )
+    parts = ("n_bytes", "removed", "n_spans", "kept_sha256")
+    found = repeats.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), parts=parts)
+    return found.select("doc_id", "repeats.n_bytes", F.col("repeats.removed").alias("n_removed"), "repeats.n_spans", "repeats.kept_sha256")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

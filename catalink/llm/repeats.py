@@ -1,15 +1,16 @@
-"""Removal of byte strings that occur more than once, judged by the suffixes of a cover of positions.
+"""Removal of byte strings that occur more than once, judged by a cover of positions.
 
 Two equal windows of bytes must share a covered position at the same place. The cover here is locked to content: each window of ``length``
-bytes is represented by its anchor, the least hash among its grams of about half that length. Anchors are named by their gram and sorted
-by name; anchors of unique names are discarded, as none of their windows can recur. The names are then extended to all bytes of the
-windows an anchor represents: neighbours in this order that agree have all these windows in common. Only where names agree and
-extensions differ, the remaining suffixes, one for each window, are merged into the order of their name and compared.
+bytes is represented by its anchor, the least hash among its grams of about half that length. Anchors are named by the hash of their gram
+and grouped by name; anchors of unique names are discarded, as none of their windows can recur. The names are then extended to all bytes of
+the windows an anchor represents: anchors that agree in that too have all these windows in common. Only where names agree and extensions
+differ, the windows of an anchor are hashed one by one and grouped. Nothing is sorted into suffix order; the README says why.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from catalink.llm.common import Scratch, text_bytes
 
 BLOCK = 1 << 18  # windows handled at a time
+SLICE = 256  # texts handled at a time
 PLACE = np.uint64((1 << 19) - 1)
 U = np.uint64
 
@@ -120,7 +122,7 @@ def _batch(ids: list[bytes], parts: list[tuple[np.ndarray, ...]], names: list[st
     return pa.RecordBatch.from_arrays(columns, names)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], texts: int = 256) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], texts: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, texts):
             yield batch.slice(at, texts)
@@ -199,14 +201,14 @@ def find_repeats(df: DataFrame, length: int) -> DataFrame:
     return out
 
 
-def merged(spans: list[dict], text: bytes, whole_characters: bool) -> list[tuple[int, int]]:
+def merged(spans: pa.StructArray, text: bytes, whole_characters: bool) -> list[tuple[int, int]]:
     """The maximal runs of the spans' union, ascending; with ``whole_characters`` only the code points that lie wholly inside."""
-    runs: list[list[int]] = []
-    for start, end in sorted((s["start"], s["end"]) for s in spans or ()):
-        if runs and start <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], end)
-        else:
-            runs.append([start, end])
+    starts, ends = np.asarray(spans.field("start")), np.asarray(spans.field("end"))
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    first = np.flatnonzero(np.concatenate([[True], starts[1:] > reach[:-1]])) if len(starts) else np.zeros(0, int)
+    last = np.concatenate([first[1:], [len(starts)]]) - 1 if len(starts) else first
+    runs = [[a, b] for a, b in zip(starts[first].tolist(), reach[last].tolist())]
     if whole_characters:
         for run in runs:
             while run[0] < run[1] and run[0] < len(text) and text[run[0]] & 0xC0 == 0x80:
@@ -216,32 +218,47 @@ def merged(spans: list[dict], text: bytes, whole_characters: bool) -> list[tuple
     return [(a, b) for a, b in runs if a < b]
 
 
+PARTS = {
+    "n_bytes": "bigint", "removed": "bigint", "n_spans": "bigint", "spans": "array<struct<start: bigint, end: bigint>>", "kept": "binary", "kept_sha256": "string",
+}
+
+
 def remove_repeats(
-    df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, to: str = "repeats", whole_characters: bool = False
+    df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, to: str = "repeats", whole_characters: bool = False,
+    parts: tuple[str, ...] = ("n_bytes", "removed", "spans", "kept"),
 ) -> DataFrame:
-    """``df`` with a struct column (n_bytes, removed long, spans array<struct<start, end>>, kept binary).
+    """``df`` with a struct column of the asked parts: n_bytes, removed and n_spans long, spans array<struct<start, end>>, kept binary,
+    kept_sha256 string (of the kept bytes, lowercase hex).
 
     Removed is each byte that is covered by a string of ``length`` bytes that also starts anywhere else, in another row or in the same,
     overlapping or not; strings are judged on the input and never cross rows. ``kept`` holds the other bytes. All copies of a repeated
     string go, so equal texts of at least that length lose all bytes. Null texts are empty; shorter texts keep everything; repeated rows,
     null keys, empty tables and extra columns do no harm.
 
-    Equality is that of 128 bits of hashes with independent bases over the whole string.
+    Strings are equal if two hashes are: the 64 bits of the anchor's gram, half as long, and 64 bits over the whole string. Both are
+    polynomials modulo 2**64 over random values of the bytes; no bytes are compared.
     """
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     spans = find_repeats(rows.withColumn("text_id", text_id(F.col("text"))), length)
 
-    @F.arrow_udf("struct<n_bytes: bigint, removed: bigint, spans: array<struct<start: bigint, end: bigint>>, kept: binary>")
+    kinds = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), PARTS["spans"]: pa.list_(kinds)}
+
+    @F.arrow_udf(f"struct<{', '.join(f'{p}: {PARTS[p]}' for p in parts)}>")
     def cut_out(texts: pa.Array, found: pa.Array) -> pa.Array:
-        out = []
-        for data, list_of in zip(text_bytes(texts), found.to_pylist()):
-            runs = merged(list_of, data, whole_characters)
-            borders = [0, *(x for run in runs for x in run), len(data)]
-            kept = b"".join(data[a:b] for a, b in zip(borders[::2], borders[1::2]))
-            out.append({"n_bytes": len(data), "removed": len(data) - len(kept), "spans": [{"start": a, "end": b} for a, b in runs], "kept": kept})
-        span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        kind = pa.struct([("n_bytes", pa.int64()), ("removed", pa.int64()), ("spans", pa.list_(span)), ("kept", pa.binary())])
-        return pa.array(out, kind)
+        out = {p: [] for p in parts}
+        for at in range(0, len(texts), SLICE):
+            for data, list_of in zip(text_bytes(texts.slice(at, SLICE)), found.slice(at, SLICE)):
+                runs = merged(list_of.values, data, whole_characters) if list_of.is_valid else []
+                borders = [0, *(x for run in runs for x in run), len(data)]
+                kept = b"".join(data[a:b] for a, b in zip(borders[::2], borders[1::2])) if runs else data
+                made = {
+                    "n_bytes": lambda: len(data), "removed": lambda: len(data) - len(kept), "n_spans": lambda: len(runs), "kept": lambda: kept,
+                    "spans": lambda: [{"start": a, "end": b} for a, b in runs], "kept_sha256": lambda: sha256(kept).hexdigest(),
+                }
+                for p in parts:
+                    out[p].append(made[p]())
+        return pa.StructArray.from_arrays([pa.array(out[p], kinds[PARTS[p]]) for p in parts], list(parts))
 
     own, there = "__own_text_id", "__text_id"
     tagged = df.withColumn(own, text_id(F.coalesce(F.col(text).cast("binary"), F.lit(b""))))
