@@ -88,22 +88,36 @@ class Filter:
     constant: float
 
 
-def fit(df: DataFrame, scratch: Scratch, url: str = "url", label: str = "label", train_rows: int = 20_000, trees: int = 20, depth: int = 4) -> Filter:
+def fit(
+    df: DataFrame, scratch: Scratch, url: str = "url", label: str = "label", train_rows: int = 20_000, trees: int = 20, depth: int = 4,
+    folds: int = 5,
+) -> Filter:
     """A filter learned from the rows with a label (1 block, 0 allow), about ``train_rows`` of them, chosen by a hash of URL and label.
 
     Suffix statistics (number of URLs, of labelled ones, smoothed share of blocked ones) are counted over all rows; they are a table
-    joined by suffix. With labels of one kind only, or none, every URL is judged alike: as labelled, or allowed.
+    joined by suffix. A row that is learned from has those of the rows outside its own fold, one of ``folds`` by a hash of its URL, so that
+    no label is a feature of its own row or of a copy. With labels of one kind only, or none, every URL is judged alike: as labelled, or allowed.
     """
     rows = lexical(df.select(F.col(url).alias("url"), F.col(label).cast("int").alias("label")), "url")
-    blocked = (F.coalesce(F.sum("label"), F.lit(0)) + 1.0) / (F.count("label") + 2.0)
-    suffixes = rows.groupBy("suffix").agg(
-        F.log1p(F.count("*")).alias("suffix_log_count"), F.log1p(F.count("label")).alias("suffix_labelled"), blocked.alias("suffix_blocked")
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(folds)))
+    counts = rows.groupBy("suffix", "fold").agg(
+        F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")
+    )
+    counts = scratch.write(counts, "suffix_folds")
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+
+    def statistics(n: Column, labelled: Column, blocked: Column) -> list[Column]:
+        return [F.log1p(n).alias("suffix_log_count"), F.log1p(labelled).alias("suffix_labelled"), ((blocked + 1.0) / (labelled + 2.0)).alias("suffix_blocked")]
+
+    totals = counts.groupBy("suffix").agg(*sums)
+    suffixes = scratch.write(totals.select("suffix", *statistics(*(F.col(c) for c in ("n", "labelled", "blocked")))), "suffixes")
+    outside = counts.alias("c").join(totals.alias("t"), "suffix").select(
+        "suffix", "fold", *statistics(*(F.col(f"t.{c}") - F.col(f"c.{c}") for c in ("n", "labelled", "blocked")))
     )
-    suffixes = scratch.write(suffixes, "suffixes")
     kinds = {r["label"]: r["n"] for r in rows.filter("label IN (0, 1)").groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         return Filter(None, suffixes, float(next(iter(kinds), 0)))
-    sample = bounded_sample(rows.filter("label IN (0, 1)"), train_rows, "url", "label").join(suffixes, "suffix")
+    sample = bounded_sample(rows.filter("label IN (0, 1)"), train_rows, "url", "label").join(outside, ["suffix", "fold"])
     sample = scratch.write(sample.select("label", *FEATURES), "labelled")
     train = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample)
     model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7).fit(train)

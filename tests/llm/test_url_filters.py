@@ -80,3 +80,12 @@ def test_pages_of_the_small_table(spark):
     for r in got:
         rule, verdict = rule_of(*parts(urls[r["page_id"]]), queries.URL_RULES)
         assert (r["host"], r["path"]) == parts(urls[r["page_id"]]) and r["rule"] == rule and (rule is None or r["verdict"] == verdict)
+
+
+def test_no_label_is_a_feature_of_its_own_row(spark):
+    # Suffixes of one labelled URL each, labels without any sign in the URL: nothing can be learned from them.
+    rows = spark.createDataFrame([(f"http://a{i:05d}.x{i:05d}.com/p", i * 7919 % 2 if i % 3 else (i // 3) % 2) for i in range(2000)], "url string, label int")
+    from catalink.llm.common import Scratch
+
+    model = url_filters.fit(rows, Scratch(spark))
+    assert model.trees.featureImportances.toArray()[url_filters.FEATURES.index("suffix_blocked")] == 0
