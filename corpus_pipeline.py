@@ -22,16 +22,22 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8: the one with the smallest doc_id.
+    """One row of each group linked by five-word shingles at a similarity of 0.8: the one with the smallest doc_id, then the least text hash.
 
-    Rows with one doc_id are one document; one without is identified by its text. Of repeated rows the one with the least text hash stays.
+    Rows with one doc_id and one text are one document; rows with one doc_id and several texts are several. Of repeated rows one stays.
+    Rows without doc_id come last and are told apart by their text. Null, empty and blank texts are like nothing but their own repetition.
     """
-    own = F.lit(1 << 62) + F.pmod(F.xxhash64(F.lit("document"), "text"), F.lit(1 << 61))
-    docs = docs.select(*COLUMNS).withColumn("__key", F.coalesce("doc_id", own))
-    kept = near_duplicates.near_duplicates(docs, "__key").filter("kept").select(F.col("__key").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col("__key") == F.col("__kept"))
-    first = F.row_number().over(Window.partitionBy("__kept").orderBy(F.xxhash64("text"), "source", "lang"))
-    return rows.withColumn("__first", first).filter("__first = 1").select(*COLUMNS)
+    light = docs.select("doc_id", F.xxhash64("text").alias("__text"))
+    mixed = light.groupBy("doc_id").agg((F.min("__text") < F.max("__text")).alias("__mixed")).filter("__mixed AND doc_id IS NOT NULL")
+    own = F.lit(1 << 62) + F.pmod(F.xxhash64(F.lit("document"), "doc_id", "text"), F.lit(1 << 61))
+    docs = docs.select(*COLUMNS).join(mixed, "doc_id", "left")  # few, if any
+    docs = docs.withColumn("__key", F.when(F.col("__mixed") | F.col("doc_id").isNull(), own).otherwise(F.col("doc_id"))).drop("__mixed")
+    groups = near_duplicates.near_duplicates(docs, "__key").select("__key", "component_id").distinct()
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"))
+    first = docs.select("__key", rank.alias("rank")).join(groups, "__key").groupBy("component_id").agg(F.min_by("__key", "rank").alias("__kept"))
+    rows = docs.join(first.select("__kept"), F.col("__key") == F.col("__kept"))
+    place = F.row_number().over(Window.partitionBy("__kept").orderBy("source", "lang"))
+    return rows.withColumn("__place", place).filter("__place = 1").select(*COLUMNS)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
