@@ -56,6 +56,15 @@ def test_near_dedup_of_repeated_and_unnamed_rows(spark):
     assert sorted(map(str, pairs(kept))) == sorted(map(str, [(3, text), (7, "another text of six words"), (8, None), (9, ""), (None, "unnamed text")]))
 
 
+def test_near_dedup_of_one_id_with_several_texts(spark):
+    for base in ("alpha beta gamma delta epsilon zeta", "lorem ipsum dolor sit amet consectetur", "one two three four five six", "x y z x y z w v"):
+        x, y = base + " only here", " ".join(reversed(base.split())) + " in three rows"
+        kept = pairs(by_name("MinHash near-dedup")(spark, docs(spark, [x, y, y, y], ids=[1, 1, 2, 3]), SMALL))
+        assert sorted(kept) == sorted([(1, x), (1, y)])
+        kept = pairs(by_name("MinHash near-dedup")(spark, docs(spark, [x, y, y, x, x], ids=[1, 1, None, 0, 0]), SMALL))
+        assert sorted(kept) == sorted([(0, x), (1, y)])
+
+
 def test_repeat_stage_equals_brute_force(spark):
     df = table(spark)
     out = by_name("suffix-array dedup")(spark, clashing(df), SMALL).orderBy("doc_id").collect()
