@@ -119,12 +119,12 @@ def bm25_kernel(questions: pa.Table, units: pa.Table) -> Callable:
 KERNELS = {"cosine": cosine_kernel, "bm25": bm25_kernel}
 
 
-def local_hits(kernel: str, questions: pa.Table, units: pa.Table, k: int) -> pa.Table:
+def local_hits(kernel: str | Callable, questions: pa.Table, units: pa.Table, k: int) -> pa.Table:
     """``k`` best units per question among the given units of the question's own key."""
     units = units.take(pc.sort_indices(units["unit_id"]))  # so that column order is the tie order
     out_q, out_u, out_s = [], [], []
     if len(questions) and len(units):
-        blocks = KERNELS[kernel](questions, units)
+        blocks = (KERNELS[kernel] if isinstance(kernel, str) else kernel)(questions, units)
         unit_rows = _by_key(units["key"])
         for key, qi in _by_key(questions["key"]).items():
             ui = unit_rows.get(key)

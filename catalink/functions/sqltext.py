@@ -1,7 +1,8 @@
-"""Expressions over the text of SQL statements. Patterns are ASCII and free of look-around.
+"""Expressions over the text of SQL statements.
 
-Statements are not parsed: names are read after FROM and JOIN once string literals and comments are blanked. Every
-FROM or JOIN target counts, wherever it stands; names of common table expressions do not.
+Statements are not parsed. Once string literals and comments are blanked, brackets are opened from the inside out, so that each level is a
+text without brackets, and the sources after FROM and JOIN are read level by level. Every source counts, wherever it stands; names that a
+WITH list defines do not. What cannot be read to its end is reported as such, never passed over.
 """
 
 from __future__ import annotations
@@ -26,15 +27,33 @@ FORBIDDEN = [
 ]
 
 MARK = "\u0001"
-IDENT = r"""[\w."`]+"""
+QUERY, BRACKETS = "\u0002", "\u0003"  # a bracketed query, and anything else that stood in brackets
+DEPTH = 40  # levels of brackets; deeper statements are unreadable
+NAME = r"""(?:\w++|"[^"]+"|`[^`]+`)"""
+IDENT = rf"{NAME}(?:\s*\.\s*{NAME})*+"
 QUOTED_OR_SKIPPED = r"""("[^"]*"|`[^`]*`)|'[^']*'|--[^\n]*|/\*(?s:.*?)\*/"""
-FROM_WORDS = r"(?i)\b(?:extract|substring|trim|overlay|position)\s*\([^()]*\)|\bdistinct\s+from\b"
-ALIAS = r"(?:\s+(?:as\s+)?\w+)?"
-SOURCE = rf"{IDENT}(?:\s*\()?"
-FROM_LIST = rf"(?i)\bfrom\s+({SOURCE}{ALIAS}(?:\s*,\s*{SOURCE}{ALIAS})*)"
-JOIN_SOURCE = rf"(?i)\bjoin\s+({SOURCE})"
-FIRST_SOURCE = rf"^\s*({SOURCE})"
-CTE = r"""(?i)(?:\bwith|,)\s*(?:recursive\s+)?([\w"`]+)\s*(?:\([^()]*\)\s*)?\bas\s*(?:(?:not\s+)?materialized\s*)?\("""
+DOUBTFUL_LITERAL = r"""\\['"`]"""  # dialects differ on whether the literal ends here
+FROM_WORDS = r"(?i)\b(?:extract|substring|trim|overlay|position)\s*\([^()]*\)"
+DISTINCT_FROM = r"(?i)\bdistinct\s+from\b"
+DOUBLED = r"\(\s*\(([^()]*)\)\s*\)"
+QUERY_START = r"(?i)\(\s*(?:select|with|values)\b[^()]*\)"
+LONE_SOURCE = rf"(?i)\b(from|join)\s*\(\s*+(?!(?:select|with|values)\b)([^()]*[\w`\"{QUERY}][^()]*)\)"
+# What ends the sources of a level.
+CLAUSE = (
+    r"where|group|having|order|limit|window|union|intersect|except|minus|qualify|fetch|offset|for|connect|start|cluster|distribute|sort|from"
+)
+SOURCES = rf"(?is)\bfrom\b(.*?)(?=\b(?:{CLAUSE})\b|;|$)"
+LATERAL_VIEW = rf"(?i)\blateral\s+view\s+(?:outer\s+)?{IDENT}\s*{BRACKETS}\s*{NAME}(?:\s+as\s+{NAME}(?:\s*,\s*{NAME})*)?"  # of no table
+SEPARATOR = r"(?i),|(?:\b(?:natural|inner|cross|left|right|full|outer|semi|anti|asof)\s+)*\bjoin\b"
+TAIL = rf"(?:\s+(?:as\s+)?(?!on\b|using\b|tablesample\b){NAME})?(?:\s*{BRACKETS})?"
+SAMPLE = rf"(?:\s+tablesample\s+(?:\w+\s*)?{BRACKETS}(?:\s*repeatable\s*{BRACKETS})?)?"
+CONDITION = rf"(?:\s+(?:on\b.*|using\s*{BRACKETS}))?"
+READABLE = rf"(?is)^\s*(?:lateral\s+|only\s+)?+(?:table\s+)?+(?:{IDENT}(?:\s*{BRACKETS})?|{QUERY}){SAMPLE}{TAIL}{SAMPLE}{CONDITION}\s*$"
+SOURCE_NAME = rf"(?is)^\s*(?:lateral\s+|only\s+)?+(?:table\s+)?+({IDENT})(?!\s*{BRACKETS})"
+TABLE_QUERY = rf"(?i)(?:^|;|\b(?:union|intersect|except|minus|all|distinct|as))\s*\btable\s+({IDENT})"
+_DEFINED = rf"{NAME}\s*{BRACKETS}?\s*as\s*(?:(?:not\s+)?materialized\s*)?[{QUERY}{BRACKETS}]"
+WITH_LIST = rf"(?is)(?:^|;)\s*(?:explain\s+)?with\s+(?:recursive\s+)?({_DEFINED}(?:\s*,\s*{_DEFINED})*)"
+DEFINED_NAME = rf"(?is)({NAME})\s*{BRACKETS}?\s*as\s*(?:(?:not\s+)?materialized\s*)?[{QUERY}{BRACKETS}]"
 CONTEXT_TABLE = r"Table:\s*([^\s,]+)"
 
 
@@ -69,21 +88,75 @@ def bare_name(identifier: Column) -> Column:
     return F.element_at(F.split(F.trim(F.translate(identifier, '"`', "")), r"\."), -1)
 
 
-def cte_names(clean: Column) -> Column:
-    return F.transform(F.regexp_extract_all(clean, F.lit(CTE), F.lit(1)), lambda n: F.lower(F.translate(n, '"`', "")))
+def levels(clean: Column) -> Column:
+    """struct<text, inner>: the statement with its brackets replaced by QUERY or BRACKETS, and what stood in them, from the inside out.
 
+    Brackets around a lone source or join are dropped. Brackets are left in ``text`` if they do not match or lie deeper than DEPTH.
+    """
 
-def referenced_tables(clean: Column) -> Column:
-    """Distinct table names in FROM lists, then in joins, without table functions and common table expressions."""
-    plain = F.regexp_replace(clean, FROM_WORDS, " ")
-    lists = F.regexp_extract_all(plain, F.lit(FROM_LIST), F.lit(1))
-    listed = F.flatten(F.transform(lists, lambda s: F.transform(F.split(s, ","), lambda p: F.regexp_extract(p, FIRST_SOURCE, 1))))
-    sources = F.concat(listed, F.regexp_extract_all(plain, F.lit(JOIN_SOURCE), F.lit(1)))
-    names = F.transform(F.filter(sources, lambda s: ~s.endswith("(") & (s != "")), bare_name)
-    ctes = cte_names(clean)
+    def unwrapped(text: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(text, FROM_WORDS, f" {BRACKETS} "), LONE_SOURCE, "$1 $2 ")
+        return F.regexp_replace(F.regexp_replace(plain, DOUBLED, "($1)"), LONE_SOURCE, "$1 $2 ")
+
+    def step(acc: Column, _: Column) -> Column:
+        # The array of one element makes the text be computed once.
+        opened = F.transform(
+            F.array(unwrapped(acc["text"])),
+            lambda t: F.struct(
+                F.regexp_replace(F.regexp_replace(t, QUERY_START, f" {QUERY} "), r"\([^()]*\)", f" {BRACKETS} ").alias("text"),
+                F.concat(acc["inner"], F.regexp_extract_all(t, F.lit(r"\(([^()]*)\)"), F.lit(1))).alias("inner"),
+            ),
+        )
+        return F.when(F.contains(acc["text"], F.lit("(")), opened[0]).otherwise(acc)
+
+    start = F.struct(F.regexp_replace(clean, DISTINCT_FROM, " ").alias("text"), F.array().cast("array<string>").alias("inner"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), start, step)
+
+
+def _scopes(read: Column) -> Column:
+    return F.concat(F.array(read["text"]), F.reverse(read["inner"]))
+
+
+def _listed(scope: Column) -> Column:
+    """The items of all FROM lists of a level; a part that begins a join is an item, too."""
+    lists = F.regexp_extract_all(scope, F.lit(SOURCES), F.lit(1))
+    return F.flatten(F.transform(lists, lambda s: F.split(F.regexp_replace(s, LATERAL_VIEW, " "), SEPARATOR)))
+
+
+def cte_names(read: Column) -> Column:
+    """Names that WITH lists define, outermost first. ``read`` comes from ``levels``."""
+    lists = F.flatten(F.transform(_scopes(read), lambda s: F.regexp_extract_all(s, F.lit(WITH_LIST), F.lit(1))))
+    names = F.flatten(F.transform(lists, lambda s: F.regexp_extract_all(s, F.lit(DEFINED_NAME), F.lit(1))))
+    return F.transform(names, lambda n: F.lower(F.translate(n, '"`', "")))
+
+
+def referenced_tables(read: Column) -> Column:
+    """Distinct names of the sources, outermost level first, without table functions and names of WITH lists."""
+
+    def named(scope: Column) -> Column:
+        sources = F.transform(_listed(scope), lambda i: F.regexp_extract(i, SOURCE_NAME, 1))
+        return F.concat(sources, F.regexp_extract_all(scope, F.lit(TABLE_QUERY), F.lit(1)))
+
+    names = F.transform(F.filter(F.flatten(F.transform(_scopes(read), named)), lambda n: n != ""), bare_name)
+    ctes = cte_names(read)
     return F.filter(F.array_distinct(names), lambda n: ~F.array_contains(ctes, F.lower(n)))
 
 
+def unreadable(read: Column, sql: Column) -> Column:
+    """What keeps the sources of a statement from being read to their end, as texts; empty if nothing does."""
+    items = F.flatten(F.transform(_scopes(read), _listed))
+    hidden = F.filter(items, lambda i: ~i.rlike(READABLE))
+    shown = F.transform(hidden, lambda i: F.trim(F.regexp_replace(F.translate(i, QUERY + BRACKETS, "()"), r"\s+", " ")))
+    doubts = F.filter(
+        F.array(
+            F.when(read["text"].rlike("[()]"), F.lit("brackets that do not match")),
+            F.when(sql.rlike(DOUBTFUL_LITERAL), F.lit("a backslash before a quote")),
+        ),
+        lambda d: d.isNotNull(),
+    )
+    return F.when(F.size(doubts) > 0, doubts).otherwise(shown)
+
+
 def context_tables(context: Column) -> Column:
     found = F.regexp_extract_all(context, F.lit(CONTEXT_TABLE), F.lit(1))
     return F.array_distinct(F.transform(found, lambda t: F.lower(bare_name(t))))

@@ -17,6 +17,7 @@ MULTIPLE_TEXT = "Multiple statements detected"
 NON_SELECT_TEXT = "Non-SELECT statement detected: "
 BYPASSED_TEXT = "Bypassed (Fast path: Structural + Safety guardrails active)"
 SKIPPED_TEXT = "Skipped — structural validation failed"
+UNREADABLE_TEXT = "Source cannot be read: "
 NO_REASON_TEXT = "No reasoning provided"
 
 # The parser dialect behind each dialect name.
@@ -53,25 +54,29 @@ def with_safety(log: DataFrame, sql: str = "sql") -> DataFrame:
 def with_structure(log: DataFrame, sql: str = "sql", context: str = "schema_context") -> DataFrame:
     """``structural``: one SELECT statement over tables of the given context scores 100, anything else 0.
 
-    Adds what it read: statement_kinds, referenced_tables, context_tables, ungrounded_tables.
+    Adds what it read: statement_kinds, referenced_tables, context_tables, ungrounded_tables. A source that cannot be read to its end is a
+    finding of its own, so a statement never passes for what was not seen in it.
     """
     out = (
         log.withColumn("__clean", sqltext.blanked(F.col(sql)))
         .withColumn("statement_kinds", F.transform(sqltext.statements(F.col("__clean")), sqltext.statement_kind))
-        .withColumn("referenced_tables", sqltext.referenced_tables(F.col("__clean")))
+        .withColumn("__read", sqltext.levels(F.col("__clean")))
+        .withColumn("referenced_tables", sqltext.referenced_tables(F.col("__read")))
         .withColumn("context_tables", sqltext.context_tables(F.coalesce(context, F.lit(""))))
         .withColumn("ungrounded_tables", sqltext.ungrounded(F.col("referenced_tables"), F.col("context_tables")))
-        .drop("__clean")
+        .withColumn("__unreadable", sqltext.unreadable(F.col("__read"), F.col(sql)))
+        .drop("__clean", "__read")
     )
     other = F.filter("statement_kinds", lambda k: k != "select")
     empty = F.when(F.size("statement_kinds") == 0, F.lit("Syntax error: empty statement"))
     details = F.concat(
         _strings(empty, F.when(F.size("statement_kinds") > 1, F.lit(MULTIPLE_TEXT))),
         F.transform(other, lambda k: F.concat(F.lit(NON_SELECT_TEXT), k)),
+        F.transform("__unreadable", lambda t: F.concat(F.lit(UNREADABLE_TEXT), t)),
         F.transform("ungrounded_tables", lambda t: F.concat(F.lit("Table '"), t, F.lit("' not in retrieved schema context"))),
     )
     passed = F.size(details) == 0
-    return out.withColumn("structural", _check(passed, F.when(passed, 100).otherwise(0), details))
+    return out.withColumn("structural", _check(passed, F.when(passed, 100).otherwise(0), details)).drop("__unreadable")
 
 
 def judged(response: Column) -> Column:

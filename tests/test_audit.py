@@ -68,6 +68,17 @@ def test_scores(spark, sql, deep, answer, score, passed):
         ("select * from orders, customer c, part as p where 1 = 1", ["orders", "customer", "part"]),
         ('select * from "shop"."orders" join `shop`.`customer` on true', ["orders", "customer"]),
         ("with x as (select * from orders), y (k) as (select 1 from x) select * from y join X on true", ["orders"]),
+        ("select * from (orders)", ["orders"]),
+        ("select * from ((orders o join (customer) on true))", ["orders", "customer"]),
+        ("table orders", ["orders"]),
+        ("select 1 union all table orders", ["orders"]),
+        ("select * from (select 1 as a) x, orders tablesample bernoulli (5) repeatable (3) o, lateral (select * from customer) c", ["orders", "customer"]),
+        ("select * from orders as `o`, \"customer\" \"c\" left outer join part using (k) where a in (table x)", ["orders", "customer", "part", "x"]),
+        ("select extract(year from cast(d as date)), trim(both 'x' from coalesce(a, (select max(b) from part))) from orders", ["orders", "part"]),
+        ("select a, rank() over w from orders window w as (order by a), x as (order by b)", ["orders"]),
+        ("select * from orders lateral view explode(array(1, 2)) t as q, customer", ["orders"]),
+        ("with a as materialized (table orders), b as (select * from a) select * from b natural join customer", ["customer", "orders"]),
+        ("select * from orders o where exists (select 1 from (select * from customer) i where i.k = o.k) order by a, b", ["orders", "customer"]),
         ("select * from orders where k in (select k from customer)", ["orders", "customer"]),
         ("select * from (select * from orders) s", ["orders"]),
         ("select extract(year from d) from orders where a is distinct from b", ["orders"]),
@@ -83,6 +94,22 @@ def test_referenced_tables(spark, sql, tables):
     assert run(spark, sql).referenced_tables == tables
 
 
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "select * from (secret)", "select * from (table secret)", "select * from (select 1 as a) x, secret", "select * from orders as `o`, secret",
+        "select * from orders tablesample (10 percent), secret", "select * from orders cross join (secret)",
+        "select a from secret window w as (order by a), secret as (order by b)", "select 'it\\'s' from orders, z where x = ' from q'",
+        "select * from orders, (secret)", "select * from orders straight_join secret", "select * from orders o cross apply secret s",
+        "select * from (orders", "select * from orders where a = (1))", "select * from orders, (a, secret)",
+        "select * from " + "(" * 60 + "select 1 from secret" + ")" * 60, "select * from orders as o (a, b) x, customer", "select * from ((secret))", "select 1 from",
+        "select * from orders lateral view explode(a) t as x join secret on true",
+    ],
+)
+def test_what_is_not_seen_does_not_pass(spark, sql):
+    assert not run(spark, sql).structural.passed
+
+
 def test_very_long_literals_and_comments(spark):
     sql = "select '" + "x" * 200_000 + "', /* " + "y" * 200_000 + " */ 1 from orders"
     assert run(spark, sql).referenced_tables == ["orders"]

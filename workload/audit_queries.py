@@ -12,7 +12,7 @@ from catalink.operators import audit
 from workload.inputs import spread_table
 from workload.sql_inputs import CTES, literal, with_ctes
 
-# The logged statements, by o_orderkey % 24; {k} stands for the order key.
+# The logged statements, by o_orderkey % 32; {k} stands for the order key.
 STATEMENTS = [
     "SELECT o_orderkey FROM orders WHERE o_orderkey = {k}",
     "SELECT c.c_name, count(*) FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_name",
@@ -38,8 +38,53 @@ STATEMENTS = [
     "SELECT extract(year FROM o_orderdate) FROM `shop`.`orders` o, part AS p WHERE o.note = 'from nowhere; -- it''s fine' GROUP BY 1",
     "SELECT a.x FROM Phantom_{k} a JOIN orders ON true JOIN (SELECT 1 FROM region UNION SELECT window FROM events) w ON true GROUP BY a.x",
     "SHOW TABLES",
+    "SELECT * FROM (secret)",
+    "SELECT * FROM (TABLE secret)",
+    "SELECT * FROM (SELECT 1 AS a) x, secret",
+    "SELECT o_orderkey FROM orders AS `o`, secret WHERE o_orderkey = {k}",
+    "SELECT * FROM orders TABLESAMPLE (10 PERCENT), secret",
+    "SELECT 1 FROM orders CROSS JOIN (secret)",
+    "SELECT a, rank() OVER w FROM secret WINDOW w AS (ORDER BY a), secret AS (ORDER BY b)",
+    "SELECT 'it\\'s' FROM orders, z WHERE x = ' from q'",
 ]
 
+# What is to be read from each of them: kinds of statements, names of WITH lists, tables, what cannot be read.
+READ = [
+    (["select"], [], ["orders"], []),
+    (["select"], [], ["customer", "orders"], []),
+    (["drop"], [], [], []),
+    (["delete"], [], ["orders"], []),
+    (["update"], [], [], []),
+    (["insert"], [], [], []),
+    (["alter"], [], [], []),
+    (["truncate"], [], [], []),
+    (["grant"], [], [], []),
+    (["revoke"], [], ["app"], []),
+    (["create"], [], ["orders"], []),
+    (["execute"], [], [], []),
+    (["call"], [], [], []),
+    (["lock"], [], [], []),
+    (["select"], [], ["orders"], []),
+    (["select"], [], ["orders"], []),
+    (["select", "select"], [], ["orders", "customer"], []),
+    (["select"], ["recent", "top_c"], ["customer", "orders"], []),
+    (["select"], [], ["nation", "customer"], []),
+    (["select"], [], ["customer", "orders"], []),
+    (["select"], [], ["orders"], []),
+    (["select"], [], ["orders", "part"], []),
+    (["select"], [], ["Phantom_{k}", "orders", "region", "events"], []),
+    (["show"], [], [], []),
+    (["select"], [], ["secret"], []),
+    (["select"], [], ["secret"], []),
+    (["select"], [], ["secret"], []),
+    (["select"], [], ["orders", "secret"], []),
+    (["select"], [], ["orders", "secret"], []),
+    (["select"], [], ["orders", "secret"], []),
+    (["select"], [], ["secret"], []),
+    (["select"], [], ["q"], ["a backslash before a quote"]),
+]
+KNOWN = [["customer", "lineitem", "nation", "orders"], ["customer", "events", "nation", "orders", "part", "region"]]
+
 # Stored judge answers, by o_orderkey % 5.
 ANSWERS = [
     '{"score": 90, "passed": true, "reasoning": "answers the question", "issues": []}',
@@ -100,7 +145,8 @@ def tables(spark, sf):
 
 
 def ctes(spark, sf):
-    return query_log(spark, sf).select("query_id", F.array_join(sqltext.cte_names(sqltext.blanked(F.col("sql"))), "|").alias("ctes"))
+    read = sqltext.levels(sqltext.blanked(F.col("sql")))
+    return query_log(spark, sf).select("query_id", read.alias("read")).select("query_id", F.array_join(sqltext.cte_names(F.col("read")), "|").alias("ctes"))
 
 
 def context_tables(spark, sf):
@@ -168,31 +214,17 @@ CTES["q_safe"] = f"""
                  contains(sql, '/*') OR regexp_matches(sql, '--\\s*\\S') AS has_comment FROM q_log)"""
 
 
-def name(expression: str) -> str:
-    return f"list_last(string_split(trim(translate({expression}, '\"`', '')), '.'))"
+def _lists(key: str, values: list[list[str]]) -> str:
+    cases = " ".join(f"WHEN {i} THEN CAST([{', '.join(literal(x) for x in v)}] AS VARCHAR[])" for i, v in enumerate(values))
+    return f"CASE {key} % {len(values)} {cases} END"
 
 
-CTES["q_clean"] = f"""
-    SELECT *, replace(regexp_replace(regexp_replace(sql, {literal(sqltext.QUOTED_OR_SKIPPED)}, '\\1' || chr(1), 'g'), '(["`])' || chr(1), '\\1', 'g'), chr(1), ' ') AS clean
-    FROM q_safe"""
 CTES["q_read"] = f"""
-    SELECT *, [s FOR s IN [trim(regexp_replace(x, '\\s+', ' ', 'g')) FOR x IN string_split(clean, ';')] IF s <> ''] AS stmts,
-           [lower(translate(n, '"`', '')) FOR n IN regexp_extract_all(clean, {literal(sqltext.CTE)}, 1)] AS ctes,
-           regexp_replace(clean, {literal(sqltext.FROM_WORDS)}, ' ', 'g') AS plain,
-           list_distinct([lower({name('t')}) FOR t IN regexp_extract_all(schema_context, {literal(sqltext.CONTEXT_TABLE)}, 1)]) AS known
-    FROM q_clean"""
-CTES["q_sources"] = f"""
-    SELECT *, [CASE WHEN w = 'with' THEN 'select' ELSE w END FOR w IN [lower(regexp_extract(s, '^[\\s(]*(\\w+)', 1)) FOR s IN stmts]] AS kinds,
-           list_concat(flatten([[regexp_extract(p, {literal(sqltext.FIRST_SOURCE)}, 1) FOR p IN string_split(l, ',')]
-                       FOR l IN regexp_extract_all(plain, {literal(sqltext.FROM_LIST)}, 1)]),
-                       regexp_extract_all(plain, {literal(sqltext.JOIN_SOURCE)}, 1)) AS sources
-    FROM q_read"""
-CTES["q_names"] = f"""
-    SELECT * EXCLUDE (sources), [{name('s')} FOR s IN sources IF s <> '' AND NOT suffix(s, '(')] AS names FROM q_sources"""
-CTES["q_tables"] = """
-    SELECT *, [n FOR n, i IN names IF list_position(names, n) = i AND NOT list_contains(ctes, lower(n))] AS tables FROM q_names"""
-CTES["q_struct"] = f"""
-    SELECT *, [t FOR t IN tables IF NOT list_contains(known, lower(t))] AS ghosts FROM q_tables"""
+    SELECT *, {_lists("query_id", [r[0] for r in READ])} AS kinds, {_lists("query_id", [r[1] for r in READ])} AS ctes,
+           [replace(t, '{{k}}', CAST(query_id AS VARCHAR)) FOR t IN {_lists("query_id", [r[2] for r in READ])}] AS tables,
+           {_lists("query_id", [r[3] for r in READ])} AS unread, {_lists("query_id", KNOWN)} AS known
+    FROM q_safe"""
+CTES["q_struct"] = "SELECT *, [t FOR t IN tables IF NOT list_contains(known, lower(t))] AS ghosts FROM q_read"
 CTES["q_judge"] = f"""
     SELECT *, coalesce(CAST(json_extract_string(a, '$.passed') AS BOOLEAN), FALSE) AS j_passed,
            coalesce(CAST(json_extract_string(a, '$.score') AS DOUBLE), 0) AS j_score,
@@ -201,7 +233,8 @@ CTES["q_judge"] = f"""
     FROM (SELECT *, CAST(coalesce(answer, '{{}}') AS JSON) AS a FROM q_struct)"""
 CTES["q_details"] = f"""
     SELECT *, list_concat(CASE WHEN len(kinds) > 1 THEN ['{audit.MULTIPLE_TEXT}'] ELSE [] END,
-           ['{audit.NON_SELECT_TEXT}' || k FOR k IN kinds IF k <> 'select'], ['Table ''' || t || ''' not in retrieved schema context' FOR t IN ghosts]) AS s_details
+           ['{audit.NON_SELECT_TEXT}' || k FOR k IN kinds IF k <> 'select'],
+           ['{audit.UNREADABLE_TEXT}' || u FOR u IN unread], ['Table ''' || t || ''' not in retrieved schema context' FOR t IN ghosts]) AS s_details
     FROM q_judge"""
 CTES["q_verdict"] = f"""
     SELECT *, len(s_details) = 0 AS s_passed, CASE WHEN len(s_details) = 0 THEN 100 ELSE 0 END AS s_score,
