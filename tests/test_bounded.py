@@ -79,3 +79,44 @@ def test_trailing_comment_and_cte(spark, tables):
     rows = bounded.run(spark, "WITH big AS (SELECT * FROM orders) SELECT count(*) AS n FROM big -- all", tables).rows.collect()
     assert rows[0].n == tables["orders"].count()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("t_")]
+
+
+@pytest.mark.parametrize(
+    "call",
+    [
+        "reflect('java.lang.System', 'getProperty', 'user.home')", "java_method('java.lang.System', 'getenv', 'HOME')", "try_reflect('java.lang.System', 'getenv', 'HOME')",
+        "`reflect`('java.lang.System', 'getProperty', 'user.home')", "input_file_name()", "own_function(1)", "some.catalog.f(1)", "nowhere(1)", "current_user()",
+        "transform(array(1), x -> reflect /* a */ ('java.lang.System', 'getenv', 'HOME'))", "uuid()", "ABS(raise_error('x'))",
+        "array(" + ", ".join(["1"] * 60) + ", Reflect('java.lang.System', 'getenv', 'HOME'))", "(SELECT max(java_method('a', 'b')) FROM orders)",
+    ],
+)
+def test_functions_that_leave_the_row_never_run(spark, tables, call):
+    spark.udf.register("own_function", lambda x: x, "int")
+    for sql in (f"SELECT {call} AS x", f"SELECT 1 FROM orders WHERE {call} IS NULL", f"WITH a AS (SELECT {call} AS x FROM orders) SELECT * FROM a"):
+        with pytest.raises(bounded.RejectedQuery, match="not allowed|not in retrieved"):
+            bounded.run(spark, sql, tables)
+
+
+def test_built_in_functions_are_allowed(spark, tables):
+    sql = """
+        SELECT upper(o_orderstatus) AS s, typeof(1) AS t, 'reflect(1)' AS r, sum(CAST(o_totalprice AS decimal(20, 2))) FILTER (WHERE o_orderkey IN (1, 2)) AS v,
+               rank() OVER (ORDER BY count(*)) AS p, transform(collect_list(o_orderkey), x -> coalesce(x, 0)) AS l, date_trunc('year', max(o_orderdate)) AS d
+        FROM orders WHERE exists (SELECT 1 FROM customer WHERE c_custkey = o_custkey) GROUP BY upper(o_orderstatus)"""
+    assert bounded.foreign_functions(spark, sql) == []
+    assert bounded.run(spark, sql, tables).row_count > 0
+
+
+def test_the_envelope_has_rows_and_time(spark, tables):
+    done = bounded.execute(spark, "SELECT o_orderkey FROM orders ORDER BY o_orderkey", tables, 3)
+    assert done.columns == ["o_orderkey"] and done.row_count == 3 and done.error is None and done.execution_ms > 0
+    failed = bounded.execute(spark, "SELECT CAST(o_orderstatus AS int) AS x FROM orders", tables)
+    assert failed.rows == [] and failed.error and "longer" not in failed.error
+
+
+def test_a_long_statement_is_interrupted(spark, tables):
+    # Many short tasks: a task that runs ends by itself, the others are not begun.
+    many = {"orders": tables["orders"].repartition(400), "customer": tables["customer"]}
+    slow = "SELECT count(*) AS n FROM orders a CROSS JOIN customer b CROSS JOIN customer c WHERE sha2(concat(a.o_orderkey, b.c_name, c.c_name), 512) = 'x'"
+    done = bounded.execute(spark, slow, many, time_limit=2)
+    assert done.rows == [] and done.error == "Statement ran longer than 2 s" and 2_000 <= done.execution_ms < 20_000
+    assert bounded.execute(spark, "SELECT 1 AS one", tables).row_count == 1
