@@ -51,6 +51,7 @@ def main() -> None:
         started = time.time()
         search_queries.fleet_units(spark, sf_dir)
         search_queries.asked_questions(spark, sf_dir)
+        search_queries.corpus_index(spark, sf_dir)
         seconds["stored_inputs"] = round(time.time() - started, 3)
     for key in keys:
         started = time.time()

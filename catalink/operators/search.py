@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -123,14 +123,14 @@ def _block_hits(
 def block_top_k(
     questions: DataFrame,
     units: DataFrame,
-    kernel: str,
+    kernel: str | Callable,
     k: int,
     broadcast_questions: int = BROADCAST_QUESTIONS,
     unit_block: int = UNIT_BLOCK,
     question_block: int = QUESTION_BLOCK,
 ) -> DataFrame:
     """Exact ``k`` best units of the same ``key`` per question: question_id, unit_id, score, rank."""
-    payload = "embedding" if kernel == "cosine" else "terms"
+    payload = "terms" if kernel == "bm25" else "embedding"
     sent = questions.limit(broadcast_questions + 1).agg(
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(payload)), F.lit(0)).alias("values")
     ).first()

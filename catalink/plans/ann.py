@@ -32,7 +32,7 @@ def train_cells(units: DataFrame, cells: int) -> np.ndarray:
     return normalised(np.array(model.clusterCenters()))
 
 
-def _with_cells(df: DataFrame, centroids: np.ndarray, visits: int | None = None, k: int = 0) -> DataFrame:
+def with_cells(df: DataFrame, centroids: np.ndarray, visits: int | None = None, k: int = 0) -> DataFrame:
     """``cells``: the nearest cell of each row's vector, or, given ``visits``, that many of the nearest, and more until they hold ``k``.
 
     For the latter the rows carry ``filled``, the (cell, n) pairs of their database; empty cells are not visited.
@@ -77,7 +77,7 @@ def needed_visits(asked: DataFrame, offered: DataFrame, placed: DataFrame, fille
     """
     tried = cut(asked.orderBy(F.xxhash64("question_id"), "question_id").limit(sample), "calibration")
     hits = vector_search(tried, offered, k).join(placed.select("unit_id", "cell"), "unit_id").select("question_id", "cell")
-    order = _with_cells(tried.join(filled, "database_name"), centroids, len(centroids)).select("question_id", "cells")
+    order = with_cells(tried.join(filled, "database_name"), centroids, len(centroids)).select("question_id", "cells")
     places = hits.join(order, "question_id").groupBy(F.array_position("cells", F.col("cell")).alias("place")).agg(F.count(F.lit(1)).alias("n"))
     counted = sorted((r["place"], r["n"]) for r in places.collect())
     total, held = sum(n for _, n in counted), 0
@@ -108,7 +108,7 @@ def approximate_search(
     def key(cell: str):
         return F.concat_ws("#", "database_name", F.col(cell).cast("string"))
 
-    placed = cut(_with_cells(offered, centroids).withColumn("cell", F.col("cells")[0]).drop("cells"), "cells")
+    placed = cut(with_cells(offered, centroids).withColumn("cell", F.col("cells")[0]).drop("cells"), "cells")
     # At most ``cells`` pairs per database.
     filled = (
         placed.groupBy("database_name", "cell")
@@ -120,7 +120,7 @@ def approximate_search(
     visits = needed_visits(asked, offered, placed, filled, centroids, k, recall, calibration)
     # One row per question and visited cell; its id names both, so that the block search ranks each cell on its own.
     probes = cut(
-        _with_cells(asked.join(filled, "database_name"), centroids, visits, k)
+        with_cells(asked.join(filled, "database_name"), centroids, visits, k)
         .select("question_id", "database_name", "embedding", F.explode("cells").alias("cell"))
         .select(F.struct("question_id", "cell").alias("probe"), key("cell").alias("database_name"), "embedding"),
         "probes",
