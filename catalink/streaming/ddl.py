@@ -1,17 +1,19 @@
 """Streams of schema changes: DDL notifications, stateful change detection, refresh requests.
 
-All sinks are ``foreachBatch`` with output keyed by batch id: a replayed batch overwrites its own files, so every batch
-counts exactly once however often it is tried.
+Sinks are Spark's file sink, or ``foreachBatch`` with output keyed by batch id: a replayed batch meets its own files, so
+every batch counts exactly once however often it is tried.
 """
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from catalink.operators import drift
@@ -49,50 +51,119 @@ def collect_notifications(stream: DataFrame, out: str, checkpoint: str, interval
     return writer.trigger(**trigger).start()
 
 
-def _last_state(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """The newest state written by an earlier batch; normally the one just before, else the folder is searched."""
-    if batch_id == 0:
-        return None
-    try:
-        return spark.read.parquet(f"{path}/batch={batch_id - 1}")
-    except AnalysisException:
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class LastValue(StatefulProcessor):
+    """The last known value of each source with the batch that brought it; gives back first looks that differ from it.
+
+    One row per source and batch comes in. Rows of a batch that was seen before are ignored, so a batch that is written
+    again counts once. With ``ttl_ms`` a source that is silent for longer is forgotten, and its next look is a first one.
+    """
+
+    def __init__(self, value: str, state: T.StructType, out: T.StructType, ttl_ms: int | None):
+        self.value, self.state, self.out, self.ttl_ms = value, state, out, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", self.state, self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = self.known.get()
+        previous, seen = known if known is not None else (None, -1)
+        for row in sorted(rows, key=lambda r: r["batch"]):
+            if row["batch"] <= seen:
+                continue
+            if previous is not None and previous != row[self.value]:
+                cells = row.asDict() | {"previous": previous}
+                yield Row(**{name: cells[name] for name in self.out.names})
+            previous, seen = row["last_value"], row["batch"]
+        self.known.update((previous, seen))
+
+    def close(self) -> None:
         pass
-    try:
-        states = spark.read.parquet(path).filter(F.col("batch") < batch_id)
-    except AnalysisException:
-        return None
-    newest = states.agg(F.max("batch")).first()[0]
-    return None if newest is None else states.filter(F.col("batch") == newest).drop("batch")
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether a job has committed its output to ``path``."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
 def change_step(root: str, key: str = "source_id", ts: str = "ts", value: str = "fingerprint", tie: str | None = None) -> Callable[[DataFrame, int], None]:
-    """One micro-batch of the change detector.
+    """One micro-batch of the change detector, as far as it needs no state.
 
-    State is one small table, the last value per key, written anew under each batch id; batch N reads what an earlier
-    batch wrote and never its own. Within a batch the comparison is the skew-safe one of ``drift.with_previous``, and only
-    the first observation of each key is compared with the state, in order of arrival.
+    Changes inside the batch are found by the skew-safe comparison of ``drift.with_previous``. What is left is one row
+    per source, its first known look and its last value, in ``root/heads``: a source that owns a third of all looks costs
+    the state as much as any other.
     """
     order = [ts] if tie is None else [ts, tie]
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = cut(drift.with_previous(batch, key, ts, value, tie), f"batch-{batch_id}")
-        state = _last_state(spark, f"{root}/state", batch_id)
-        latest = seen.filter(F.col(value).isNotNull()).groupBy(key).agg(F.max_by(value, F.struct(*order)).alias("last_value"))
-        if state is not None:
-            first = seen.filter(F.col("previous").isNull()).join(state, key, "left")
-            first = first.withColumn("previous", F.col("last_value")).drop("last_value")
-            compared = seen.filter(F.col("previous").isNotNull()).unionByName(first)
-            latest = latest.unionByName(state.join(latest.select(key), key, "left_anti").select(key, "last_value"))
-        else:
-            compared = seen
-        changed = compared.filter(F.col("previous").isNotNull() & (F.col("previous") != F.col(value)))
+        heads = f"{root}/heads/batch={batch_id}"
+        if _written(spark, heads):  # a replay; its files may have been read, and removed, already
+            return
+        seen = cut(drift.with_previous(batch, key, ts, value, tie), f"batch-{batch_id}").filter(F.col(value).isNotNull())
+        changed = seen.filter(F.col("previous") != F.col(value))
         changed.write.mode("overwrite").parquet(f"{root}/changes/batch={batch_id}")
-        latest.write.mode("overwrite").parquet(f"{root}/state/batch={batch_id}")
+        latest = seen.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias("last_value"))
+        first = seen.filter(F.col("previous").isNull()).drop("previous")
+        first.join(latest, key).write.mode("overwrite").parquet(heads)
 
     return step
 
 
+def _typed(schema: T.StructType, *more: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([*schema.fields, *(T.StructField(*field) for field in more)])
+
+
+def compare_heads(
+    spark: SparkSession, schema: T.StructType, root: str, key: str = "source_id", value: str = "fingerprint",
+    ttl_ms: int | None = None, interval: str | None = None,
+) -> StreamingQuery:
+    """Compare the first look of each source in a batch with the last value of earlier batches, kept in a RocksDB state store.
+
+    ``schema`` is that of the observations. A batch touches the state of the sources in it and of no other; heads that
+    were compared are deleted by the file source.
+    """
+    kind = schema[value].dataType
+    heads = _typed(schema, ("last_value", kind), ("batch", T.IntegerType()))
+    out = _typed(schema, ("previous", kind), ("batch", T.IntegerType()))
+    state = T.StructType([T.StructField("value", kind), T.StructField("batch", T.IntegerType())])
+    source = spark.readStream.schema(heads).option("cleanSource", "delete").option("ignoreMissingFiles", "true")
+    compared = (
+        source.parquet(f"{root}/heads")
+        .groupBy(key)
+        .transformWithState(LastValue(value, state, out, ttl_ms), out, "Append", "None" if ttl_ms is None else "ProcessingTime")
+    )
+    writer = compared.writeStream.format("parquet").option("path", f"{root}/across").option("checkpointLocation", f"{root}/checkpoint-state")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # a query keeps the settings it starts with
+    try:
+        return writer.trigger(**({"processingTime": interval} if interval else {"availableNow": True})).start()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+@dataclass
+class Detection:
+    """Two queries: one orders each batch, one holds the state. Without an interval the second starts when the first is done."""
+
+    ordering: StreamingQuery
+    comparing: Callable[[], StreamingQuery]
+    running: StreamingQuery | None = None
+
+    def awaitTermination(self) -> None:
+        self.ordering.awaitTermination()
+        self.running = self.running or self.comparing()
+        self.running.awaitTermination()
+
+    def stop(self) -> None:
+        self.ordering.stop()
+        if self.running:
+            self.running.stop()
+
+
 def detect_changes(
     observations: DataFrame,
     root: str,
@@ -101,13 +172,26 @@ def detect_changes(
     value: str = "fingerprint",
     tie: str | None = None,
     interval: str | None = None,
-) -> StreamingQuery:
-    """Remember the last fingerprint per source and write only changes, to ``root/changes``."""
-    return _start(observations, change_step(root, key, ts, value, tie), f"{root}/checkpoint", interval)
+    ttl_ms: int | None = None,
+) -> Detection:
+    """Remember the last fingerprint per source and write only changes; ``read_changes`` reads them."""
+    spark, schema = observations.sparkSession, observations.schema
+    ordering = _start(observations, change_step(root, key, ts, value, tie), f"{root}/checkpoint", interval)
+
+    def comparing() -> StreamingQuery:
+        return compare_heads(spark, schema, root, key, value, ttl_ms, interval)
+
+    return Detection(ordering, comparing, comparing() if interval else None)
 
 
 def read_changes(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/changes")
+    """All changes found so far: inside a batch, and between a batch and the ones before."""
+    inside = spark.read.parquet(f"{root}/changes")
+    try:
+        across = spark.read.schema(inside.schema).parquet(f"{root}/across")
+    except AnalysisException:
+        return inside
+    return inside.unionByName(across)
 
 
 Handler = Callable[[DataFrame, int], None]

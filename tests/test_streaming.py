@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalink.operators import drift
 from catalink.streaming import ddl
@@ -19,6 +20,16 @@ def split_events(spark, tmp_path_factory):
     return path, events
 
 
+LOOK = "event_id long, source_id string, s int, fingerprint string, ts timestamp"
+
+
+def carry_over(spark, root, **options):
+    """Run the stateful half over what the steps have left."""
+    query = ddl.compare_heads(spark, T.StructType.fromDDL(LOOK), str(root), **options)
+    query.awaitTermination()
+    return query
+
+
 def key(df):
     return sorted((r.event_id, r.source_id, r.fingerprint, r.previous) for r in df.collect())
 
@@ -27,11 +38,12 @@ def test_change_stream_equals_the_batch_twin(spark, split_events, tmp_path):
     path, events = split_events
     stream = observation_rows(event_stream(spark, path, maxFilesPerTrigger="1"))
     ddl.detect_changes(stream, str(tmp_path), tie="event_id").awaitTermination()
-    batches = spark.read.parquet(f"{tmp_path}/state").select("batch").distinct().count()
-    assert batches == 5
+    assert len(list(tmp_path.glob("heads/batch=*"))) == 5
     got = ddl.read_changes(spark, str(tmp_path)).select("event_id", "source_id", "fingerprint", "previous")
     want = drift.changes(observation_rows(events), tie="event_id").select("event_id", "source_id", "fingerprint", "previous")
     assert key(got) == key(want)
+    when = lambda df: sorted((r.event_id, r.ts) for r in df.select("event_id", "ts").collect())
+    assert when(ddl.read_changes(spark, str(tmp_path))) == when(drift.changes(observation_rows(events), tie="event_id"))
     # Nothing new: a restart from the same checkpoint adds nothing.
     ddl.detect_changes(stream, str(tmp_path), tie="event_id").awaitTermination()
     assert key(ddl.read_changes(spark, str(tmp_path)).select("event_id", "source_id", "fingerprint", "previous")) == key(want)
@@ -48,9 +60,41 @@ def test_a_replayed_batch_counts_once(spark, tmp_path):
     for _ in range(2):
         step(batch([(3, "a", 2, "y"), (4, "b", 2, "x"), (5, "c", 2, "x")]), 1)
     step(batch([(6, "c", 3, "z")]), 2)
+    carry_over(spark, tmp_path)
     assert key(ddl.read_changes(spark, str(tmp_path))) == [(3, "a", "y", "x"), (6, "c", "z", "x")]
 
 
+def test_the_state_is_touched_for_the_sources_of_a_batch_only(spark, tmp_path):
+    step = ddl.change_step(str(tmp_path), tie="event_id")
+    first = spark.range(600).selectExpr("id AS event_id", "concat('s', id % 200) AS source_id", "1 AS s", "'x' AS fingerprint", "timestamp_seconds(id) AS ts")
+    step(first, 0)
+    rows = [p.stateOperators[0] for p in carry_over(spark, tmp_path).recentProgress if p.numInputRows]
+    assert (rows[0].numRowsTotal, rows[0].numRowsUpdated) == (200, 200)
+    # A hot source owns nearly all looks of the second batch; the state sees one row of it.
+    hot = spark.range(3000).selectExpr("10000 + id AS event_id", "if(id < 2990, 's1', concat('s', id % 3)) AS source_id", "1 AS s", "if(id < 5, 'x', 'y') AS fingerprint", "timestamp_seconds(10000 + id) AS ts")
+    step(hot, 1)
+    query = carry_over(spark, tmp_path)
+    rows = [p for p in query.recentProgress if p.numInputRows]
+    assert rows[0].numInputRows == 3 and rows[0].stateOperators[0].numRowsUpdated == 3 and rows[0].stateOperators[0].numRowsTotal == 200
+    want = drift.changes(first.unionByName(hot), tie="event_id")
+    assert key(ddl.read_changes(spark, str(tmp_path))) == key(want)
+    assert want.count() == 3
+
+
+def test_heads_written_again_and_extra_columns(spark, tmp_path):
+    """A batch torn between its heads and its commit writes them again, after some were compared already."""
+    step = ddl.change_step(str(tmp_path), tie="event_id")
+    looks = "event_id long, source_id string, s int, fingerprint string"
+    rows = [spark.createDataFrame(r, looks).withColumn("ts", F.timestamp_seconds("s")) for r in ([(1, "a", 1, "x")], [(2, "a", 2, "y")])]
+    for number, batch in enumerate(rows):
+        step(batch, number)
+        carry_over(spark, tmp_path)
+    (tmp_path / "heads/batch=1/_SUCCESS").unlink()
+    step(rows[1], 1)
+    carry_over(spark, tmp_path)
+    assert key(ddl.read_changes(spark, str(tmp_path))) == [(2, "a", "y", "x")]
+
+
 def test_notifications_collapse_and_errors_do_not_stop_the_stream(spark, split_events, tmp_path):
     path, events = split_events
     calls, done = [], []
@@ -84,6 +128,9 @@ def test_a_failed_look_is_no_change_and_hides_none(spark, tmp_path):
     step = ddl.change_step(str(tmp_path), tie="event_id")
     for i in range(0, len(looks), 2):
         step(batch(looks[i : i + 2]), i // 2)
+        if i == 4:  # the state outlives its query
+            carry_over(spark, tmp_path)
+    carry_over(spark, tmp_path)
     assert key(ddl.read_changes(spark, str(tmp_path))) == want
 
 
