@@ -38,7 +38,7 @@ def parse_notifications(raw: DataFrame) -> DataFrame:
     return raw.withColumn("command", parsed["command"]).withColumn("notified_at", parsed["timestamp"]).drop("payload")
 
 
-def _start(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None) -> StreamingQuery:
+def start(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return writer.trigger(**trigger).start()
@@ -83,10 +83,23 @@ class LastValue(StatefulProcessor):
         pass
 
 
-def _written(spark: SparkSession, path: str) -> bool:
-    """Whether a job has committed its output to ``path``."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+def published(spark: SparkSession, folder: str, batch_id: int) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch={batch_id}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def publish(rows: DataFrame, folder: str, batch_id: int) -> None:
+    """Write a batch beside ``folder`` and rename it into it, so that a stream that reads the folder sees all of it or nothing.
+
+    The folder needs atomic renames, as a stream's checkpoint folder does.
+    """
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(f"{folder}-staged/batch={batch_id}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(folder))
+    if not files.rename(path(f"{folder}-staged/batch={batch_id}"), path(f"{folder}/batch={batch_id}")):
+        raise OSError(f"batch {batch_id} could not be published in {folder}")
 
 
 def change_step(root: str, key: str = "source_id", ts: str = "ts", value: str = "fingerprint", tie: str | None = None) -> Callable[[DataFrame, int], None]:
@@ -100,15 +113,14 @@ def change_step(root: str, key: str = "source_id", ts: str = "ts", value: str =
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        heads = f"{root}/heads/batch={batch_id}"
-        if _written(spark, heads):  # a replay; its files may have been read, and removed, already
+        if published(spark, f"{root}/heads", batch_id):  # a replay; its files may have been read, and removed, already
             return
         seen = cut(drift.with_previous(batch, key, ts, value, tie), f"batch-{batch_id}").filter(F.col(value).isNotNull())
         changed = seen.filter(F.col("previous") != F.col(value))
         changed.write.mode("overwrite").parquet(f"{root}/changes/batch={batch_id}")
         latest = seen.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias("last_value"))
         first = seen.filter(F.col("previous").isNull()).drop("previous")
-        first.join(latest, key).write.mode("overwrite").parquet(heads)
+        publish(first.join(latest, key), f"{root}/heads", batch_id)
 
     return step
 
@@ -136,30 +148,35 @@ def compare_heads(
         .groupBy(key)
         .transformWithState(LastValue(value, state, out, ttl_ms), out, "Append", "None" if ttl_ms is None else "ProcessingTime")
     )
-    writer = compared.writeStream.format("parquet").option("path", f"{root}/across").option("checkpointLocation", f"{root}/checkpoint-state")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # a query keeps the settings it starts with
+    return start_stateful(compared, f"{root}/across", f"{root}/checkpoint-state", interval)
+
+
+def start_stateful(stream: DataFrame, out: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Append the stream to a parquet table, with its state in RocksDB."""
+    conf = stream.sparkSession.conf
+    before = conf.get("spark.sql.streaming.stateStore.providerClass")
+    conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # a query keeps the settings it starts with
     try:
-        return writer.trigger(**({"processingTime": interval} if interval else {"availableNow": True})).start()
+        return collect_notifications(stream, out, checkpoint, interval)
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
 @dataclass
-class Detection:
-    """Two queries: one orders each batch, one holds the state. Without an interval the second starts when the first is done."""
+class TwoQueries:
+    """One query prepares each batch, the other holds the state. Without an interval the second starts when the first is done."""
 
-    ordering: StreamingQuery
-    comparing: Callable[[], StreamingQuery]
+    preparing: StreamingQuery
+    stateful: Callable[[], StreamingQuery]
     running: StreamingQuery | None = None
 
     def awaitTermination(self) -> None:
-        self.ordering.awaitTermination()
-        self.running = self.running or self.comparing()
+        self.preparing.awaitTermination()
+        self.running = self.running or self.stateful()
         self.running.awaitTermination()
 
     def stop(self) -> None:
-        self.ordering.stop()
+        self.preparing.stop()
         if self.running:
             self.running.stop()
 
@@ -173,15 +190,15 @@ def detect_changes(
     tie: str | None = None,
     interval: str | None = None,
     ttl_ms: int | None = None,
-) -> Detection:
+) -> TwoQueries:
     """Remember the last fingerprint per source and write only changes; ``read_changes`` reads them."""
     spark, schema = observations.sparkSession, observations.schema
-    ordering = _start(observations, change_step(root, key, ts, value, tie), f"{root}/checkpoint", interval)
+    preparing = start(observations, change_step(root, key, ts, value, tie), f"{root}/checkpoint", interval)
 
     def comparing() -> StreamingQuery:
         return compare_heads(spark, schema, root, key, value, ttl_ms, interval)
 
-    return Detection(ordering, comparing, comparing() if interval else None)
+    return TwoQueries(preparing, comparing, comparing() if interval else None)
 
 
 def read_changes(spark: SparkSession, root: str) -> DataFrame:
@@ -247,4 +264,4 @@ def refresh_on_notification(
 ) -> StreamingQuery:
     """Drive ``handler`` from a notification stream. Every notification counts, however late; a batch makes one request per source."""
     step = refresh_step(handler, raise_errors, f"{checkpoint}-pending")
-    return _start(notifications, step, checkpoint, interval)
+    return start(notifications, step, checkpoint, interval)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalink.operators import drift
-from catalink.streaming import ddl
+from catalink.streaming import ddl, windows
 from tests.conftest import SMALL
 from workload.streaming_queries import event_stream, notification_rows, observation_rows
 
@@ -82,14 +82,14 @@ def test_the_state_is_touched_for_the_sources_of_a_batch_only(spark, tmp_path):
 
 
 def test_heads_written_again_and_extra_columns(spark, tmp_path):
-    """A batch torn between its heads and its commit writes them again, after some were compared already."""
+    """Heads that come a second time, after they were compared already, change nothing."""
     step = ddl.change_step(str(tmp_path), tie="event_id")
     looks = "event_id long, source_id string, s int, fingerprint string"
     rows = [spark.createDataFrame(r, looks).withColumn("ts", F.timestamp_seconds("s")) for r in ([(1, "a", 1, "x")], [(2, "a", 2, "y")])]
     for number, batch in enumerate(rows):
         step(batch, number)
         carry_over(spark, tmp_path)
-    (tmp_path / "heads/batch=1/_SUCCESS").unlink()
+    (tmp_path / "heads/batch=1").rename(tmp_path / "compared")
     step(rows[1], 1)
     carry_over(spark, tmp_path)
     assert key(ddl.read_changes(spark, str(tmp_path))) == [(2, "a", "y", "x")]
@@ -146,3 +146,39 @@ def test_late_notifications_make_requests(spark, tmp_path):
 def test_payload_parsing(spark):
     raw = spark.createDataFrame([("a", '{"command": "ALTER TABLE", "timestamp": "t"}'), ("b", "garbage"), ("c", None)], "source_id string, payload string")
     assert {r.source_id: r.command for r in ddl.parse_notifications(raw).collect()} == {"a": "ALTER TABLE", "b": None, "c": None}
+
+
+def test_windows_close_behind_the_watermark_and_late_looks_stand_aside(spark, tmp_path):
+    """Every look is in one closed window, in one that is still open, or in the side table; over restarts and a replay."""
+    deliveries = [
+        [(1, "a", 3, "x"), (2, "a", 29, "y"), (3, "b", 31, "x"), (4, "a", 100, "x")],
+        [(5, "a", 29, "late"), (6, "a", 70, "in time"), (7, "a", 99, "first"), (8, "b", None, "no time"), (9, "a", 100, "y"), (10, "b", 300, None)],
+        [(11, "a", 239, "late"), (12, "a", 240, "z"), (13, "b", 300, "q"), (14, "b", 1, "late"), (15, "c", 400, "open")],
+        [],
+    ]
+    schema = "event_id long, source_id string, s long, fingerprint string"
+    step = windows.window_step(str(tmp_path), tie="event_id", delay=50)
+    looks = []
+    for number, rows in enumerate(deliveries):
+        batch = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("s"))
+        looks += rows
+        for _ in range(1 + number % 2):
+            step(batch, number)
+            windows.close_windows(spark, batch.schema, str(tmp_path), tie="event_id", delay=50).awaitTermination()
+    late = sorted(r.event_id for r in windows.read_late(spark, str(tmp_path)).collect())
+    assert late == [5, 8, 11, 14]
+    timely = spark.createDataFrame([r for r in looks if r[0] not in late], schema).withColumn("ts", F.timestamp_seconds("s"))
+    ended = drift.poll_windows(timely, tie="event_id").filter(F.col("window_end") <= F.timestamp_seconds(F.lit(400 - 50)))
+    rows = lambda df: sorted(map(str, df.select("source_id", "window_start", "window_end", "fingerprint", "observations").collect()))
+    assert rows(windows.read_windows(spark, str(tmp_path))) == rows(ended)
+    assert ended.agg(F.sum("observations")).first()[0] + len(late) + 1 == len(looks)
+
+
+def test_windows_of_a_hot_source_reach_the_state_as_one_row(spark, tmp_path):
+    step = windows.window_step(str(tmp_path), delay=50)
+    hot = spark.range(5000).selectExpr("if(id % 50 = 0, 's2', 's1') AS source_id", "timestamp_seconds(id % 60) AS ts", "string(id % 60) AS fingerprint")
+    step(hot, 0)
+    query = windows.close_windows(spark, hot.schema, str(tmp_path), delay=50)
+    query.awaitTermination()
+    assert sum(p.numInputRows for p in query.recentProgress) == 4
+    assert query.recentProgress[-1].stateOperators[0].numRowsTotal == 4

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalink.functions.times import epoch_seconds
 from catalink.session import scratch_path
-from catalink.streaming import ddl
+from catalink.streaming import ddl, windows
 from workload.inputs import table
 from workload.sql_inputs import CTES, with_ctes
 
@@ -62,13 +63,46 @@ def ddl_to_refresh(spark, sf):
     return spark.read.parquet(f"{root}/requests").select("source_id", "notifications", "command")
 
 
-QUERIES = {"ddl_stream": ddl_stream, "drift_stream": drift_stream, "ddl_to_refresh": ddl_to_refresh}
-
+DELIVERIES = 3
+
+
+def drift_window_stream(spark, sf):
+    """Poll windows of events that come in three deliveries, every tenth one delivery late; the streams start anew for each."""
+    root = scratch_path(spark, "window-stream")
+    events = table(spark, sf, "events")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    turn = F.floor(F.col("event_id") * DELIVERIES / (last + 1)) + F.when(F.col("event_id") % 10 == 3, 1).otherwise(0)
+    for i in range(DELIVERIES):
+        events.filter(F.least(turn, F.lit(DELIVERIES - 1)) == i).write.mode("append").parquet(f"{root}/events")
+        windows.poll_windows(observation_rows(event_stream(spark, f"{root}/events")), root, tie="event_id").awaitTermination()
+    closed, late = windows.read_windows(spark, root), windows.read_late(spark, root)
+    return closed.select(
+        F.lit("window").alias("kind"), "source_id", epoch_seconds(closed, "window_start").alias("second"), "fingerprint", "observations"
+    ).unionByName(late.select(
+        F.lit("late").alias("kind"), "source_id", F.floor(epoch_seconds(late, "ts")).alias("second"), "fingerprint", F.col("event_id").alias("observations")
+    ))
+
+
+QUERIES = {"drift_window_stream": drift_window_stream, "ddl_stream": ddl_stream, "drift_stream": drift_stream, "ddl_to_refresh": ddl_to_refresh}
+
+CTES["w_rows"] = f"""
+    SELECT event_id, 'db_' || user_id AS source_id, md5(event_type) AS fingerprint, ts, CAST(floor(epoch(ts) / 30) * 30 AS BIGINT) AS w,
+           least(floor(event_id * {DELIVERIES} / ((SELECT max(event_id) FROM events) + 1)) + CASE WHEN event_id % 10 = 3 THEN 1 ELSE 0 END, {DELIVERIES - 1}) AS turn
+    FROM events"""
+CTES["w_marks"] = f"""
+    SELECT t AS turn, (SELECT max(epoch(ts)) - {windows.DELAY_SECONDS} FROM w_rows r WHERE r.turn < t) AS mark
+    FROM range({DELIVERIES + 1}) AS x(t)"""
+CTES["w_split"] = """
+    SELECT r.*, coalesce(w + 30 <= mark, FALSE) AS late FROM w_rows r JOIN w_marks USING (turn)"""
 CTES["n_rows"] = """
     SELECT event_id, ts, 'db_' || user_id AS source_id, CASE event_type WHEN 'signup' THEN 'CREATE TABLE' WHEN 'error' THEN 'DROP TABLE' ELSE 'ALTER TABLE' END AS command,
            strftime(ts, '%Y-%m-%d %H:%M:%S') AS notified_at FROM events"""
 
 ORACLES = {
+    "drift_window_stream": with_ctes(f"""
+        SELECT 'window' AS kind, source_id, w AS second, arg_max(fingerprint, (ts, event_id)) AS fingerprint, count(*) AS observations
+        FROM w_split WHERE NOT late AND w + 30 <= (SELECT mark FROM w_marks WHERE turn = {DELIVERIES}) GROUP BY source_id, w
+        UNION ALL SELECT 'late', source_id, CAST(floor(epoch(ts)) AS BIGINT), fingerprint, event_id FROM w_split WHERE late"""),
     "ddl_stream": with_ctes("SELECT event_id, source_id, command, notified_at FROM n_rows"),
     "drift_stream": with_ctes("""
         SELECT event_id, source_id, fingerprint, previous FROM (
