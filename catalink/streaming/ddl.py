@@ -88,6 +88,13 @@ def published(spark: SparkSession, folder: str, batch_id: int) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def published_batches(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """A stream of the published batches, from before the first of them on; files that were read are deleted."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return spark.readStream.schema(schema).option("cleanSource", "delete").parquet(folder)
+
+
 def publish(rows: DataFrame, folder: str, batch_id: int) -> None:
     """Write a batch beside ``folder`` and rename it into it, so that a stream that reads the folder sees all of it or nothing.
 
@@ -142,9 +149,8 @@ def compare_heads(
     heads = _typed(schema, ("last_value", kind), ("batch", T.IntegerType()))
     out = _typed(schema, ("previous", kind), ("batch", T.IntegerType()))
     state = T.StructType([T.StructField("value", kind), T.StructField("batch", T.IntegerType())])
-    source = spark.readStream.schema(heads).option("cleanSource", "delete").option("ignoreMissingFiles", "true")
     compared = (
-        source.parquet(f"{root}/heads")
+        published_batches(spark, f"{root}/heads", heads)
         .groupBy(key)
         .transformWithState(LastValue(value, state, out, ttl_ms), out, "Append", "None" if ttl_ms is None else "ProcessingTime")
     )
@@ -202,7 +208,7 @@ def detect_changes(
 
 
 def read_changes(spark: SparkSession, root: str) -> DataFrame:
-    """All changes found so far: inside a batch, and between a batch and the ones before."""
+    """All changes found so far: inside a batch, and between a batch and the ones before. Needs a first batch, also an empty one."""
     inside = spark.read.parquet(f"{root}/changes")
     try:
         across = spark.read.schema(inside.schema).parquet(f"{root}/across")

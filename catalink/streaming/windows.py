@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from catalink.operators.drift import POLL_SECONDS
 from catalink.session import cut
-from catalink.streaming.ddl import TwoQueries, publish, published, start, start_stateful
+from catalink.streaming.ddl import TwoQueries, publish, published, published_batches, start, start_stateful
 
 DELAY_SECONDS = 600
 
@@ -67,10 +67,9 @@ def close_windows(
 ) -> StreamingQuery:
     """Put the parts of each window together and write it to ``root/windows`` once the watermark has passed its end."""
     latest = T.StructType([T.StructField("__at", T.LongType())] + ([] if tie is None else [T.StructField("tie", schema[tie].dataType)]))
-    fields = [("key", schema[key].dataType), ("at", T.TimestampType()), ("latest", latest), ("value", schema[value].dataType), ("n", T.LongType())]
-    source = spark.readStream.schema(T.StructType([T.StructField(*f) for f in fields])).option("cleanSource", "delete")
+    fields = [("key", schema[key].dataType), ("at", T.TimestampType()), ("latest", latest), ("value", schema[value].dataType), ("n", T.LongType()), ("batch", T.IntegerType())]
     closed = (
-        source.parquet(f"{root}/parts")
+        published_batches(spark, f"{root}/parts", T.StructType([T.StructField(*f) for f in fields]))
         .withWatermark("at", f"{delay} seconds")
         .groupBy("key", F.window("at", f"{seconds} seconds").alias("w"))
         .agg(F.max_by("value", "latest").alias(value), F.sum("n").alias("observations"))
@@ -94,6 +93,7 @@ def poll_windows(
 
 
 def read_windows(spark: SparkSession, root: str) -> DataFrame:
+    """Windows closed so far. Needs a first batch, also an empty one."""
     return spark.read.parquet(f"{root}/windows")
 
 

@@ -182,3 +182,32 @@ def test_windows_of_a_hot_source_reach_the_state_as_one_row(spark, tmp_path):
     query.awaitTermination()
     assert sum(p.numInputRows for p in query.recentProgress) == 4
     assert query.recentProgress[-1].stateOperators[0].numRowsTotal == 4
+
+
+def test_both_streams_run_side_by_side(spark, tmp_path):
+    """With an interval the stateful queries start before anything is published; empty batches are batches as well."""
+    schema = "event_id long, source_id string, s long, fingerprint string, ts timestamp"
+
+    def deliver(rows):
+        looks = spark.createDataFrame(rows, "event_id long, source_id string, s long, fingerprint string")
+        looks.withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    both = [
+        ddl.detect_changes(stream, f"{tmp_path}/c", tie="event_id", interval="200 milliseconds"),
+        windows.poll_windows(stream, f"{tmp_path}/w", tie="event_id", delay=50, interval="200 milliseconds"),
+    ]
+    try:
+        for rows in ([], [(1, "a", 1, "x"), (2, "a", 2, "y")], [(3, "a", 95, "z"), (4, "b", 99, "x")], [(5, "a", 3, "late")]):
+            deliver(rows)
+            for queries in both:
+                queries.preparing.processAllAvailable()
+                queries.running.processAllAvailable()
+    finally:
+        for queries in both:
+            queries.stop()
+    assert key(ddl.read_changes(spark, f"{tmp_path}/c")) == [(2, "a", "y", "x"), (3, "a", "z", "y"), (5, "a", "late", "z")]
+    closed = windows.read_windows(spark, f"{tmp_path}/w").collect()
+    assert [(r.source_id, r.fingerprint, r.observations) for r in closed] == [("a", "y", 2)]
+    assert [r.event_id for r in windows.read_late(spark, f"{tmp_path}/w").collect()] == [5]
