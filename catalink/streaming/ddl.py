@@ -24,7 +24,7 @@ log = logging.getLogger(__name__)
 PAYLOAD = "command string, timestamp string"
 
 
-def read_notifications(spark: SparkSession, fmt: str, schema: str | None = None, path: str | None = None, **options: str) -> DataFrame:
+def read_notifications(spark: SparkSession, fmt: str, schema: T.StructType | str | None = None, path: str | None = None, **options: str) -> DataFrame:
     """Any streaming source of rows with ``source_id``, ``ts`` and a JSON ``payload`` (file, kafka, ...)."""
     reader = spark.readStream.format(fmt).options(**options)
     if schema:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalink.functions.times import epoch_seconds
 from catalink.session import scratch_path
-from catalink.streaming import ddl, windows
+from catalink.streaming import ddl, spool, windows
 from workload.inputs import table
 from workload.sql_inputs import CTES, with_ctes
 
@@ -46,6 +46,18 @@ def ddl_stream(spark, sf):
     return spark.read.schema(parsed.schema).parquet(f"{root}/out")
 
 
+def ddl_spool(spark, sf):
+    """Notifications that three writers' batches bring to a spool, read by a stream that starts anew after each of them."""
+    root = scratch_path(spark, "ddl-spool")
+    events = notification_rows(table(spark, sf, "events"))
+    schema = events.schema
+    for i in range(DELIVERIES):
+        spool.append(events.filter(F.pmod("event_id", F.lit(DELIVERIES)) == i), f"{root}/spool", i)
+        parsed = ddl.parse_notifications(spool.read_spool(spark, f"{root}/spool", schema, delete="true"))
+        ddl.collect_notifications(parsed, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(parsed.schema).parquet(f"{root}/out").select("event_id", "source_id", "command", "notified_at")
+
+
 def drift_stream(spark, sf):
     root = scratch_path(spark, "drift-stream")
     ddl.detect_changes(observation_rows(_stream(spark, sf)), root, tie="event_id").awaitTermination()
@@ -83,7 +95,7 @@ def drift_window_stream(spark, sf):
     ))
 
 
-QUERIES = {"drift_window_stream": drift_window_stream, "ddl_stream": ddl_stream, "drift_stream": drift_stream, "ddl_to_refresh": ddl_to_refresh}
+QUERIES = {"drift_window_stream": drift_window_stream, "ddl_stream": ddl_stream, "ddl_spool": ddl_spool, "drift_stream": drift_stream, "ddl_to_refresh": ddl_to_refresh}
 
 CTES["w_rows"] = f"""
     SELECT event_id, 'db_' || user_id AS source_id, md5(event_type) AS fingerprint, ts, CAST(floor(epoch(ts) / 30) * 30 AS BIGINT) AS w,
@@ -104,6 +116,7 @@ ORACLES = {
         FROM w_split WHERE NOT late AND w + 30 <= (SELECT mark FROM w_marks WHERE turn = {DELIVERIES}) GROUP BY source_id, w
         UNION ALL SELECT 'late', source_id, CAST(floor(epoch(ts)) AS BIGINT), fingerprint, event_id FROM w_split WHERE late"""),
     "ddl_stream": with_ctes("SELECT event_id, source_id, command, notified_at FROM n_rows"),
+    "ddl_spool": with_ctes("SELECT event_id, source_id, command, notified_at FROM n_rows"),
     "drift_stream": with_ctes("""
         SELECT event_id, source_id, fingerprint, previous FROM (
             SELECT event_id, 'db_' || user_id AS source_id, md5(event_type) AS fingerprint,
