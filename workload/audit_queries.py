@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalink.functions import sqltext
-from catalink.operators import audit
+from catalink.operators import audit, rollups
+from catalink.session import cut, scratch_path
 from workload.inputs import spread_table
 from workload.sql_inputs import CTES, literal, with_ctes
 
@@ -107,9 +109,10 @@ def _pick(values: list, key: Column) -> Column:
 
 
 @lru_cache(maxsize=4)
-def query_log(spark: SparkSession, sf: str) -> DataFrame:
+def query_log(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     key = F.col("o_orderkey")
-    return spread_table(spark, sf, "orders", "o_orderkey", "o_custkey").select(
+    return spread_table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate").select(
+        *map(F.expr, more),
         key.alias("query_id"),
         F.replace(_pick(STATEMENTS, key), F.lit("{k}"), key.cast("string")).alias("sql"),
         _pick(DIALECTS, F.col("o_custkey")).alias("dialect"),
@@ -181,7 +184,46 @@ def rollup(spark, sf):
     return audit.rollup(audit.audit(query_log(spark, sf))).withColumn("mean_score", F.round("mean_score", 6))
 
 
+QUANTILES = (0.1, 0.5, 0.9)
+
+
+def span_rollup(spark, sf):
+    """Years put together from kept days, their exact sums, and whether the sketches keep their error bounds against exact values."""
+    log = query_log(spark, sf, "CAST(o_orderdate AS date) AS day")
+    audited = cut(audit.audit(log).select("day", "dialect", "complexity", "sql", "passed", "overall_score", "referenced_tables"), "audited")
+    path, year = scratch_path(spark, "audit-days"), F.year("day").alias("year")
+    rollups.write(rollups.daily(audited), path)
+    years = rollups.merge(rollups.span(spark, path), year, "dialect")
+    told = rollups.summary(years, "year", "dialect", "score_sum", quantiles=QUANTILES)
+
+    exact = audited.select(year, "dialect", "sql", F.explode_outer("referenced_tables").alias("t")).groupBy("year", "dialect").agg(
+        F.count_distinct("sql").alias("exact_statements"), F.count_distinct("t").alias("exact_tables")
+    ).withColumnsRenamed({"year": "e_year", "dialect": "e_dialect"})
+    scores = audited.groupBy(year.alias("s_year"), F.col("dialect").alias("s_dialect"), F.col("overall_score").alias("s")).agg(F.count("*").alias("n"))
+
+    def same(side: str) -> Column:
+        return (F.col("year") == F.col(f"{side}_year")) & F.col("dialect").eqNullSafe(F.col(f"{side}_dialect"))
+
+    def share(i: int, counted: Callable[[Column], Column]) -> Column:
+        return F.sum(F.when(counted(F.col("score_quantiles")[i]), F.col("n")).otherwise(0)) / F.sum("n")
+
+    ranked = told.join(scores, same("s")).groupBy(F.col("s_year").alias("r_year"), F.col("s_dialect").alias("r_dialect")).agg(*(
+        ((share(i, lambda v: F.col("s") < v) <= q + rollups.RANK_ERROR) & (share(i, lambda v: F.col("s") <= v) >= q - rollups.RANK_ERROR)).alias(f"q{i}")
+        for i, q in enumerate(QUANTILES)
+    ))
+
+    def near(told_count: str, exact_count: str) -> Column:
+        return F.abs(F.col(told_count) - F.col(exact_count)) <= F.col(exact_count) * rollups.DISTINCT_ERROR
+
+    return told.join(exact, same("e")).join(ranked, same("r")).select(
+        "year", "dialect", "queries", "passed", "score_sum", F.col("exact_statements").alias("statements"), F.col("exact_tables").alias("tables"),
+        near("statements", "exact_statements").alias("statements_close"), near("tables", "exact_tables").alias("tables_close"),
+        (F.col("q0") & F.col("q1") & F.col("q2")).alias("quantiles_close"),
+    )
+
+
 QUERIES = {
+    "audit_span_rollup": span_rollup,
     "audit_safety": safety,
     "audit_comments": comments,
     "audit_statements": statements,
@@ -259,6 +301,11 @@ CTES["q_issue"] = """
         FROM q_verdict)"""
 
 ORACLES = {
+    "audit_span_rollup": with_ctes("""
+        SELECT CAST(year(o_orderdate) AS INTEGER) AS year, dialect, count(*) AS queries, count(*) FILTER (passed) AS passed,
+               CAST(sum(overall_score) AS BIGINT) AS score_sum, count(DISTINCT sql) AS statements,
+               len(list_distinct(flatten(list(tables)))) AS tables, TRUE AS statements_close, TRUE AS tables_close, TRUE AS quantiles_close
+        FROM q_scored JOIN orders ON o_orderkey = query_id GROUP BY ALL"""),
     "audit_safety": with_ctes("SELECT query_id, safe AS passed, safe_score AS score, array_to_string(safe_details, '|') AS details FROM q_safe"),
     "audit_comments": with_ctes("SELECT query_id, has_comment FROM q_safe"),
     "audit_statements": with_ctes("SELECT query_id, CAST(len(kinds) AS INTEGER) AS n, array_to_string(kinds, '|') AS kinds FROM q_struct"),
