@@ -1,0 +1,38 @@
+"""Joins whose sides grow with the fleet are merged: no side goes to the driver, however small its files look."""
+
+import pytest
+
+from catalink.operators import catalog as cat
+from catalink.operators import drift, graph
+from catalink.sources import information_schema as info
+from catalink.sources import stores
+from tests.conftest import SMALL
+from workload.graph_queries import fleet_edges, fleet_nodes
+from workload.inputs import catalog, conformed
+
+SOURCES = "database_name string, database_type string, schema_fingerprint string"
+
+
+@pytest.fixture(scope="module")
+def joined(spark):
+    meta = catalog(spark, SMALL)
+    return {
+        **{m: getattr(conformed(spark, SMALL), m) for m in info.Catalog.MEMBERS},
+        "columns of tables": info.columns(meta),
+        "primary keys": info.primary_keys(meta),
+        "foreign keys": info.foreign_keys(meta),
+        "fan-out": info.foreign_keys_fanout(meta),
+        "indexes": cat.flagged_indexes(meta),
+        "nested": cat.nested(meta),
+        "adjacency": graph.adjacency(fleet_nodes(spark, SMALL), fleet_edges(spark, SMALL)),
+        "replaced": stores.replace_all(fleet_nodes(spark, SMALL), fleet_nodes(spark, SMALL, 2), fleet_nodes(spark, SMALL), ["source_id"]),
+        "decided": drift.decide(drift.schema_fingerprint(cat.nested(meta)), spark.createDataFrame([], SOURCES), cat.counts(info.base_tables(meta)).selectExpr("*", "true AS complete")),
+    }
+
+
+@pytest.mark.parametrize(
+    "name", [*info.Catalog.MEMBERS, "columns of tables", "primary keys", "foreign keys", "fan-out", "indexes", "nested", "adjacency", "replaced", "decided"]
+)
+def test_no_side_is_broadcast(joined, name):
+    plan = joined[name]._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan, plan
