@@ -144,6 +144,13 @@ def issues(audited: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def failed(audited: DataFrame) -> DataFrame:
+    """Audited rows that did not pass. A plain filter would be moved below the audit with a copy of all that ``passed`` is made of, many
+    times over; Spark moves no condition below a generator."""
+    kept = F.filter(F.array(F.struct("passed")), lambda r: ~r["passed"])
+    return audited.select(*(c for c in audited.columns if c != "passed"), F.inline(kept))
+
+
 def repair_reason(audited: DataFrame, *keys: str) -> DataFrame:
     """``category: message`` of all findings in issue order, as the repair prompt quotes them."""
     lines = F.transform(listed_issues(), lambda i: F.concat_ws(": ", i["category"], i["message"]))
