@@ -1,9 +1,10 @@
 """Chat formatting by prefix-target expansion: every assistant turn is an example of its own, all turns before it are its context, and only
 that reply is trained on.
 
-The contexts of a conversation's examples are prefixes of one text, the conversation's formatted stream. So the stream is written once, as
-one segment a turn with its place in the stream, and an example is a pair of spans over it. This keeps the output in proportion to the
-input, where written-out contexts grow with the square of a conversation's length; ``example_texts`` writes them out on request.
+The contexts of a conversation's examples are prefixes of one text, the conversation's formatted stream. ``format_turns`` writes the stream,
+as one segment a turn with its place in the stream, and ``example_texts`` expands it: each reply with its whole context and its loss span.
+The digests are read back from these examples. Only the segments are shuffled and stored, as written-out contexts grow with the square of a
+conversation's length; ``examples`` gives the spans alone.
 """
 
 from __future__ import annotations
@@ -118,48 +119,65 @@ def examples(formatted: DataFrame, conversation: str = "conv_id") -> DataFrame:
     return formatted.filter("loss_start IS NOT NULL").select(conversation, "example", "position", end.alias("n_chars"), "loss_start", "loss_end")
 
 
-def example_texts(formatted: DataFrame, conversation: str = "conv_id") -> DataFrame:
-    """``examples`` with their texts written out; as much output as the squares of the conversations' lengths."""
-    upto = Window.partitionBy(conversation).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+def example_texts(formatted: DataFrame, conversation: str = "conv_id", rest: bool = False) -> DataFrame:
+    """(conversation, example, position, n_chars, loss_start, loss_end, text): ``examples`` with their texts written out, the reply behind
+    all turns before it; as much output as the squares of the conversations' lengths.
+
+    With ``rest``, a conversation that does not end with a reply has one more row, its whole stream without a loss span.
+    """
+    order = Window.partitionBy(conversation).orderBy("position")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
     written = formatted.withColumn("text", F.array_join(F.collect_list("segment").over(upto), ""))
+    kept = F.col("loss_start").isNotNull()
+    if rest:
+        written = written.withColumn("last", F.lead("position").over(order).isNull())
+        kept = kept | F.col("last")
     keep = (conversation, "example", "position", F.length("text").cast("long").alias("n_chars"), "loss_start", "loss_end", "text")
-    return written.filter("loss_start IS NOT NULL").select(*keep)
-
-
-def read_back(formatted: DataFrame) -> DataFrame:
-    """``formatted`` with role and text read from each segment's marks, and ``loss_text``, what its loss span covers (null for none)."""
-    inside = F.expr(f"substring(segment, {len(TURN) + 1}, length(segment) - {len(TURN) + len(END) + 1})")
-    line = F.instr(inside, "\n")
-    span = F.substring("segment", F.col("loss_start") - F.col("start") + 1, F.col("loss_end") - F.col("loss_start"))
-    return formatted.select(
-        "*",
-        _unescaped_role(F.substring(inside, F.lit(1), line - 1)).alias("role"),
-        unescaped(F.substring(inside, line + 1, F.length(inside))).alias("text"),
-        F.when(F.col("loss_start").isNotNull(), unescaped(span)).alias("loss_text"),
-    )
+    return written.filter(kept).select(*keep)
+
+
+def turns_of(text: Column) -> Column:
+    """The turns of an example's text, read from its marks: an array of (role, text)."""
+    segments = F.filter(F.split(text, re.escape(TURN)), lambda s: s != "")  # escaped texts hold no mark
+
+    def turn(segment: Column) -> Column:
+        line = F.instr(segment, "\n")
+        body = F.substring(segment, line + 1, F.length(segment) - line - F.lit(len(END) + 1))
+        return F.struct(_unescaped_role(F.substring(segment, F.lit(1), line - 1)).alias("role"), unescaped(body).alias("text"))
+
+    return F.transform(segments, turn)
+
+
+def loss_text(text: Column) -> Column:
+    """What the loss span of an example's text covers, unescaped; null without a span."""
+    return unescaped(F.substring(text, F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
 
 
 def digests(formatted: DataFrame, conversation: str = "conv_id") -> DataFrame:
-    """What the output holds of each conversation, read back from it: numbers and digests of its turns and trained texts.
+    """What the written examples hold of each conversation, read back from them: numbers and digests of its turns and trained texts.
 
-    A digest covers a conversation as a whole, so its turns meet in one row here, and only here.
+    The trained texts are those under the spans of its examples, the turns are those of its longest text, which holds all contexts.
+    A digest covers a conversation as a whole, so its examples are written and meet in one task.
     """
-    back = read_back(formatted)
-    turns = F.array_sort(F.collect_list(F.struct("position", F.concat_ws("\n", "role", "text", F.lit("")).alias("turn"), "loss_text")))
-    ends = F.when(F.col("loss_start").isNotNull(), F.col("start") + F.length("segment"))
+    written = example_texts(formatted, conversation, rest=True)
+    trained, chars = F.col("loss_start").isNotNull(), F.col("n_chars")
+    back = written.select(conversation, "position", chars, trained.alias("trained"), loss_text(F.col("text")).alias("loss"), "text")
+    longest = F.lead("position").over(Window.partitionBy(conversation).orderBy("position")).isNull()
+    back = back.withColumn("stream", F.when(longest, F.col("text"))).drop("text")
     grouped = back.groupBy(conversation).agg(
-        turns.alias("turns"),
-        F.sum(F.length("segment")).alias("formatted_chars"),
-        F.count("loss_start").alias("n_examples"),
-        F.coalesce(F.sum(ends), F.lit(0)).alias("example_chars"),
+        F.max("stream").alias("stream"),
+        F.array_sort(F.collect_list(F.when(F.col("trained"), F.struct("position", "loss")))).alias("losses"),
+        F.max("n_chars").alias("formatted_chars"),
+        F.count_if("trained").alias("n_examples"),
+        F.coalesce(F.sum(F.when(F.col("trained"), chars)), F.lit(0)).alias("example_chars"),
     )
-    loss = F.array_join(F.transform("turns", lambda t: F.coalesce(t["loss_text"], F.lit(""))), "")
-    return grouped.select(
+    read = grouped.withColumn("turns", turns_of(F.col("stream"))).withColumn("loss", F.array_join(F.transform("losses", lambda x: x["loss"]), ""))
+    return read.select(
         conversation,
         F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(F.array_join(F.transform("turns", lambda t: t["turn"]), ""), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
         "n_examples",
         "example_chars",

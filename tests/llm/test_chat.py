@@ -85,6 +85,20 @@ def test_every_reply_is_an_example_with_all_turns_before_it(spark):
     assert seen == len(spans) == len(texts)
 
 
+def test_digests_are_read_from_written_examples(spark, monkeypatch):
+    rows = [(1, 0, "user", "a<s>"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d"), (1, 4, "user", "e"), (2, 0, "user", "f")]
+    formatted = chat.format_turns(table(spark, rows))
+    texts = {(r["conv_id"], r["position"]): r for r in chat.example_texts(formatted, rest=True).collect()}
+    assert set(texts) == {(1, 1), (1, 3), (1, 4), (2, 0)}
+    assert [p for p, r in texts.items() if r["loss_start"] is None] == [p for p in texts if p in {(1, 4), (2, 0)}]
+    assert texts[1, 3]["text"].startswith(texts[1, 1]["text"]) and texts[1, 4]["text"].startswith(texts[1, 3]["text"])
+    assert {tuple(r)[:1] + tuple(r)[-2:] for r in chat.digests(formatted).collect()} == {(1, 2, sum(len(texts[1, p]["text"]) for p in (1, 3))), (2, 0, 0)}
+    real = chat.example_texts  # a context that is not written is missed
+    bare = lambda *a, **k: real(*a, **k).withColumn("text", chat.F.expr("right(text, n_chars - 20)"))
+    monkeypatch.setattr(chat, "example_texts", bare)
+    assert {r["conv_id"]: tuple(r)[1:5] for r in chat.digests(formatted).collect()} != brute(rows)
+
+
 def test_a_conversation_over_many_ranges(spark, monkeypatch):
     rows = [(7, i, "assistant" if i % 3 else "user", f"turn {i}") for i in range(500)] + [(8 + i % 40, i, "assistant", f"t {i}") for i in range(200)]
     df = table(spark, rows)
