@@ -99,6 +99,24 @@ def test_random_graphs_with_hubs(spark, depth, limit):
         assert sorted(got[g], key=lambda x: x[-1]) == reference_search(graphs[g], asked[g], depth, limit)
 
 
+def test_a_finished_question_is_not_carried_through_deeper_levels(spark, monkeypatch):
+    pairs = [("a", f"n{i:02d}") for i in range(9)] + [("x", "y"), ("y", "z")]
+    adjacency_df = spark.createDataFrame([*pairs, *((b, a) for a, b in pairs)], "src string, dst string")
+    seeds = seeds_df(spark, [(1, "a", 1, 0.5), (2, "x", 1, 0.5)])
+    written, cut = {}, graph.cut
+
+    def counted(df, label):
+        out = cut(df, label)
+        written[label] = {r.question_id for r in out.select("question_id").distinct().collect()} if "question_id" in out.columns else None
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    found = sorted((r.question_id, r.node_id, r.distance, r.graph_rank) for r in graph.traverse(seeds, adjacency_df, 5, 5).collect())
+    assert found == [(1, "a", 0, 1), *((1, f"n{i:02d}", 1, i + 2) for i in range(4)), (2, "x", 0, 1), (2, "y", 1, 2), (2, "z", 2, 3)]
+    assert written["bfs-0"] == {1, 2} and written["bfs-1"] == {2}
+    assert "bfs-3" not in written  # no frontier is left
+
+
 def test_stats(film):
     row = graph.stats(graph.nodes(film), graph.edges_from_nested(film)).first()
     assert (row.nodes, row.edges) == (6, 4)
