@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalink.functions.ranking import top_k
+from catalink.functions.scoring import CELLS as SCORES
 from catalink.functions.scoring import list_matrix, normalised
 from catalink.operators.search import vector_search
 from catalink.session import cut
@@ -40,6 +41,7 @@ def with_cells(df: DataFrame, centroids: np.ndarray, visits: int | None = None,
     keep = [c for c in df.columns if c != "filled"]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("cells", T.ArrayType(T.IntegerType()))])
     sent = df.sparkSession.sparkContext.broadcast(centroids)
+    step = max(1, SCORES // len(centroids))  # rows at a time
 
     def visited(batch: pa.RecordBatch, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         filled = batch.column(batch.schema.get_field_index("filled"))
@@ -52,9 +54,7 @@ def with_cells(df: DataFrame, centroids: np.ndarray, visits: int | None = None,
         return np.nonzero((held > 0) & ((seen <= visits) | (found - held < k)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             matrix = normalised(list_matrix(pa.chunked_array([batch.column(batch.schema.get_field_index("embedding"))])))
             order = np.argsort(-(matrix @ sent.value.T), axis=1, kind="stable")
             if visits is None:

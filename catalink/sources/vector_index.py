@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalink.functions.ranking import ranked, top_k
-from catalink.functions.scoring import DIGITS, list_matrix, normalised
+from catalink.functions.scoring import CELLS, DIGITS, list_matrix, normalised
 from catalink.operators.search import block_top_k, vector_search
 from catalink.plans.ann import with_cells
 from catalink.session import cut
@@ -45,13 +45,20 @@ def part_bounds(dim: int, parts: int) -> list[tuple[int, int]]:
     return [(p * dim // parts, (p + 1) * dim // parts) for p in range(parts)]
 
 
+def by_rows(pick: Callable[[np.ndarray], np.ndarray], x: np.ndarray, width: int) -> np.ndarray:
+    """``pick`` of the rows of ``x``, on as many at a time as keep ``width`` numbers a row within CELLS."""
+    step = max(1, CELLS // width)
+    return np.concatenate([pick(x[at:at + step]) for at in range(0, max(1, len(x)), step)])
+
+
 def nearest(x: np.ndarray, entries: np.ndarray) -> np.ndarray:
-    return ((entries * entries).sum(1)[None, :] - 2 * (x @ entries.T)).argmin(1)
+    squares = (entries * entries).sum(1)[None, :]
+    return by_rows(lambda rows: (squares - 2 * (rows @ entries.T)).argmin(1), x, len(entries))
 
 
 def residuals(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The cell of each unit vector, by the largest cosine, and what is left of it."""
-    cells = np.argmax(x @ centroids.T, axis=1)
+    cells = by_rows(lambda rows: np.argmax(rows @ centroids.T, axis=1), x, len(centroids))
     return cells, x - centroids[cells]
 
 
@@ -95,16 +102,19 @@ class CodeKernel:
     parts: int
 
     def __call__(self, questions: pa.Table, units: pa.Table) -> Callable:
-        q = normalised(list_matrix(questions["embedding"]))
         cells = units["cell"].to_numpy()
         codes = np.frombuffer(b"".join(units["code"].to_pylist()), np.uint8).reshape(len(cells), self.parts)
         cuts = part_bounds(self.codebook.shape[1], self.parts)
 
         def blocks(qi: np.ndarray, ui: np.ndarray):
-            scores = np.repeat((q[qi] @ self.centroids[cells[ui[0]]])[:, None], len(ui), 1)  # units of one key are of one cell
-            for p, (a, b) in enumerate(cuts):
-                scores += (q[qi, a:b] @ self.codebook[:, a:b].T)[:, codes[ui, p]]
-            yield qi, np.round(scores, DIGITS)
+            step = max(1, CELLS // max(1, len(ui)))
+            for start in range(0, len(qi), step):
+                part = qi[start:start + step]
+                q = normalised(list_matrix(questions["embedding"].take(pa.array(part))))
+                scores = np.repeat((q @ self.centroids[cells[ui[0]]])[:, None], len(ui), 1)  # units of one key are of one cell
+                for p, (a, b) in enumerate(cuts):
+                    scores += (q[:, a:b] @ self.codebook[:, a:b].T)[:, codes[ui, p]]
+                yield part, np.round(scores, DIGITS)
 
         return blocks
 

@@ -2,12 +2,15 @@
 
 import glob
 import os
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from catalink.operators import search
+from catalink.sources import vector_index
 from catalink.sources.postings import PostingsIndex
 from catalink.sources.vector_index import VectorIndex
 from tests.conftest import SMALL
@@ -131,3 +134,21 @@ def test_empty_texts_and_no_questions(spark, tmp_path):
     asked = spark.createDataFrame([(1, "d", "two three"), (2, "d", None), (3, "e", "two"), (4, "d", " ")], "question_id int, database_name string, question string")
     assert by_rank(index.search(asked, 3)) == {1: ["c"]} == by_rank(search.keyword_search(asked, units, 3, F.col("text")))
     assert by_rank(index.search(asked.limit(0), 3)) == {}
+
+
+def test_scores_are_held_in_slices():
+    rng, parts = np.random.default_rng(3), 2
+    kernel = vector_index.CodeKernel(rng.normal(size=(3, 8)), rng.normal(size=(256, 8)), parts)
+    questions = pa.table({"embedding": pa.array(rng.normal(size=(1_000, 8)).tolist())})
+    units = pa.table({"cell": np.ones(5_000, np.int32), "code": pa.array([bytes(c) for c in rng.integers(0, 256, (5_000, parts), np.uint8)])})
+    found = list(kernel(questions, units)(np.arange(1_000), np.arange(5_000)))
+    assert np.concatenate([rows for rows, _ in found]).tolist() == list(range(1_000))
+    assert max(scores.size for _, scores in found) <= vector_index.CELLS
+    x, entries = rng.normal(size=(10_000, 8)), rng.normal(size=(2_048, 8))
+    tracemalloc.start()
+    near = vector_index.nearest(x, entries)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.5 * 8 * vector_index.CELLS
+    assert near[::997].tolist() == [int(((v - entries) ** 2).sum(1).argmin()) for v in x[::997]]
+    assert len(vector_index.nearest(x[:0], entries)) == 0
