@@ -1,9 +1,10 @@
 """Joins whose sides grow with the fleet are merged: no side goes to the driver, however small its files look."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from catalink.operators import catalog as cat
-from catalink.operators import drift, graph
+from catalink.operators import drift, graph, search
 from catalink.sources import information_schema as info
 from catalink.sources import stores
 from tests.conftest import SMALL
@@ -36,3 +37,16 @@ def joined(spark):
 def test_no_side_is_broadcast(joined, name):
     plan = joined[name]._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan, plan
+
+
+def test_places_of_many_databases_are_merged(spark, monkeypatch):
+    """Units and questions meet their database's place; only the places of few databases go to the driver."""
+    vector = F.array((F.col("id") % 7 + 1).cast("float"), F.lit(1.0).cast("float"))
+    row = [F.format_string("db_%d", F.col("id") % 20).alias("database_name"), vector.alias("embedding")]
+    units, questions = (spark.range(60).select(F.col("id").alias(name), *row) for name in ("unit_id", "question_id"))
+    few = search.vector_search(questions, units, 3, broadcast_questions=0)
+    monkeypatch.setattr(search, "PLACES_BROADCAST", 19, raising=False)
+    many = search.vector_search(questions, units, 3, broadcast_questions=0)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan, plan
+    assert sorted(many.collect()) == sorted(few.collect()) and many.count() == 180
