@@ -50,3 +50,14 @@ def test_places_of_many_databases_are_merged(spark, monkeypatch):
     plan = many._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan, plan
     assert sorted(many.collect()) == sorted(few.collect()) and many.count() == 180
+
+
+def test_terms_of_questions_do_not_go_to_the_driver(spark, monkeypatch):
+    asked = spark.createDataFrame([(i, f"db_{i % 3}", f"total price by w{i % 7}") for i in range(40)], "question_id long, database_name string, question string")
+    units = spark.createDataFrame([(f"db_{i % 3}", ["total", "by", f"w{i % 7}", f"x{i}"]) for i in range(30)], "key string, tokens array<string>")
+    few = search.question_terms(asked, units)
+    monkeypatch.setattr(search, "VOCABULARY_BROADCAST", 5)
+    many = search.question_terms(asked, units)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan, plan
+    assert sorted(many.collect()) == sorted(few.collect()) and many.count() == 40
