@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from catalink.operators import catalog as cat
 from catalink.operators import drift, graph, search
+from catalink.session import cut
 from catalink.sources import information_schema as info
 from catalink.sources import stores
 from tests.conftest import SMALL
@@ -53,7 +54,7 @@ def test_places_of_many_databases_are_merged(spark, monkeypatch):
 
 
 def test_terms_of_questions_do_not_go_to_the_driver(spark, monkeypatch):
-    asked = spark.createDataFrame([(i, f"db_{i % 3}", f"total price by w{i % 7}") for i in range(40)], "question_id long, database_name string, question string")
+    asked = cut(spark.createDataFrame([(i, f"db_{i % 3}", f"total price by w{i % 7}") for i in range(40)], "question_id long, database_name string, question string"), "asked")
     units = spark.createDataFrame([(f"db_{i % 3}", ["total", "by", f"w{i % 7}", f"x{i}"]) for i in range(30)], "key string, tokens array<string>")
     few = search.question_terms(asked, units)
     monkeypatch.setattr(search, "VOCABULARY_BROADCAST", 5)
