@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from catalink.functions.ranking import top_k
 from catalink.functions.scoring import B, DIGITS, K1
 from catalink.functions.text import tokens
-from catalink.operators.search import DEFAULT_LIMIT, _tables_only
-from catalink.session import cut
+from catalink.operators.search import DEFAULT_LIMIT, VOCABULARY_BROADCAST, _tables_only
+from catalink.session import cut, grown, sent
 from catalink.sources.stores import BucketTable
 
 BLOCK = 32  # units of a slot, on average
@@ -59,8 +59,11 @@ class PostingsIndex:
         databases = cut(databases.select("database_name").distinct(), "databases")
         sizes = held.groupBy("database_name", "class").agg(F.ceil(F.count("*") / BLOCK).alias("slots"))
         totals = held.groupBy("database_name").agg(F.count("*").alias("units"), (F.sum("length") / F.count("*")).alias("mean_length"))
+        totals = cut(totals, "totals")
+        # Joined as one table by database and class: the units of a large database never meet in one task.
+        places = cut(sizes.join(grown(totals), "database_name"), "places")
         slot = F.shiftleft("class", 32) + F.pmod(F.xxhash64("unit_id"), F.col("slots"))
-        placed = held.join(sizes, ["database_name", "class"]).join(totals, "database_name")
+        placed = held.join(sent(places), ["database_name", "class"])
         share = 1 - B + B * F.col("length") / F.when(F.col("mean_length") > 0, F.col("mean_length")).otherwise(1.0)
         terms = placed.select("database_name", "unit_id", slot.alias("slot"), share.alias("share"), F.explode("words").alias("term"))
         counted = terms.groupBy("database_name", "term", "slot", "unit_id", "share").agg(F.count("*").alias("times"))
@@ -82,26 +85,29 @@ class PostingsIndex:
         asked = questions.select("question_id", "database_name", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
         asked = cut(asked, "asked")
         headers = self.postings.read_for(asked).select("database_name", "term", "slot", "largest", "n")
-        headers = headers.join(asked.select("database_name", "term").distinct(), ["database_name", "term"], "left_semi")
+        vocabulary = cut(asked.select("database_name", "term").distinct(), "vocabulary")
+        headers = headers.join(sent(vocabulary, VOCABULARY_BROADCAST), ["database_name", "term"], "left_semi")
         headers = cut(headers, "headers")
         frequencies = headers.groupBy("database_name", "term").agg(F.sum("n").alias("df"))
         totals = self.totals.read_for(asked).select("database_name", "units")
         idf = F.log(1 + (F.col("units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weights = frequencies.join(totals, "database_name").select("database_name", "term", idf.alias("idf"))
-        return cut(asked.join(weights, ["database_name", "term"]), "weights"), headers
+        weights = frequencies.join(grown(totals), "database_name").select("database_name", "term", idf.alias("idf"))
+        return cut(asked.join(grown(weights), ["database_name", "term"]), "weights"), headers
 
     def _scores(self, weights: DataFrame, slots: DataFrame) -> DataFrame:
         """(question_id, unit_id, score) of the units in the (question_id, slot) rows."""
-        wanted = weights.join(slots.select("question_id", "slot"), "question_id")
+        wanted = slots.select("question_id", "slot").join(sent(weights, VOCABULARY_BROADCAST), "question_id")
         entries = self.postings.read_for(weights).select("database_name", "term", "slot", "entries")
-        met = wanted.join(entries, ["database_name", "term", "slot"]).select("question_id", "idf", F.explode("entries").alias("e"))
+        vocabulary = weights.select("database_name", "term").distinct()  # blocks of other terms are not shuffled
+        entries = entries.join(sent(vocabulary, VOCABULARY_BROADCAST), ["database_name", "term"], "left_semi")
+        met = wanted.join(grown(entries), ["database_name", "term", "slot"]).select("question_id", "idf", F.explode("entries").alias("e"))
         scored = met.groupBy("question_id", F.col("e.unit_id").alias("unit_id")).agg(F.sum(F.col("idf") * F.col("e.gain")).alias("score"))
         return scored.withColumn("score", F.round("score", DIGITS))
 
     def _stages(self, questions: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """Bounds of all slots that hold any term, the slots read first, their scores, and the slots that could still enter."""
         weights, headers = self._weights(questions)
-        bounds = weights.join(headers.select("database_name", "term", "slot", "largest"), ["database_name", "term"])
+        bounds = headers.select("database_name", "term", "slot", "largest").join(sent(weights, VOCABULARY_BROADCAST), ["database_name", "term"])
         bounds = cut(bounds.groupBy("question_id", "slot").agg(F.sum(F.col("idf") * F.col("largest")).alias("bound")), "bounds")
         first = cut(top_k(bounds, ["question_id"], [F.col("bound").desc(), F.col("slot")], max(FIRST, -(-2 * k // BLOCK))), "first")
         found = cut(self._scores(weights, first), "found")

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 import tracemalloc
 
 import numpy as np
@@ -9,9 +10,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from catalink import session
 from catalink.operators import search
 from catalink.sources import vector_index
 from catalink.sources.postings import PostingsIndex
+from catalink.sources.stores import BucketTable
 from catalink.sources.vector_index import VectorIndex
 from tests.conftest import SMALL
 from tests.test_search import WORDS, best, brute_bm25, by_rank, frames, world  # noqa: F401
@@ -99,6 +102,24 @@ def test_postings_equal_the_exact_search(spark, frames, world, tmp_path):  # noq
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-9 for x in want)
 
 
+def test_the_units_of_one_database_do_not_meet_in_one_task(spark, tmp_path, monkeypatch):
+    """Neither where its few totals are sent to the units nor where they are merged; without broadcasts left to Spark."""
+    units = spark.createDataFrame([(f"u{i}", "d", "one two " * (i % 9)) for i in range(50)], "unit_id string, database_name string, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (20_000, 0):
+            written = []
+            monkeypatch.setattr(session, "SENT_ROWS", rows)
+            monkeypatch.setattr(BucketTable, "replace", lambda self, fresh, replaced: written.append(fresh))
+            PostingsIndex(spark, f"{tmp_path}/postings").replace(units, text=F.col("text"))
+            plan = written[0]._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(database_name" in plan and not re.search(r"hashpartitioning\(database_name#\d+, \d+\)", plan), plan
+            assert ("Broadcast" in plan) == (rows > 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_blocks_are_skipped_and_nothing_is_lost(spark, tmp_path):
     texts, questions = corpus_texts(spark, "/root/testdata/sf0.01"), corpus_questions(spark, "/root/testdata/sf0.01")
     index = PostingsIndex(spark, f"{tmp_path}/postings", 2)
