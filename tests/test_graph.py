@@ -120,3 +120,13 @@ def test_a_finished_question_is_not_carried_through_deeper_levels(spark, monkeyp
 def test_stats(film):
     row = graph.stats(graph.nodes(film), graph.edges_from_nested(film)).first()
     assert (row.nodes, row.edges) == (6, 4)
+
+
+def test_an_undirected_pair_is_made_distinct_before_it_gets_two_directions(spark):
+    nodes = spark.createDataFrame([("s", n, "table") for n in "abc"], "source_id string, node_id string, type string")
+    pairs = [("a", "b"), ("b", "a"), ("a", "b"), ("c", "c"), ("c", "c"), ("b", "c"), ("a", "gone"), ("gone", "c")]
+    edges = spark.createDataFrame([("s", "references", *p) for p in pairs], "source_id string, type string, src string, dst string")
+    found = graph.adjacency(nodes, edges)
+    assert sorted(map(tuple, found.collect())) == [("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("c", "c")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Generate") < plan.index("Aggregate"), plan
