@@ -221,3 +221,24 @@ def test_context_prompt_and_rejects(spark):
         prompts.repair_prompt(F.col("dialect"), F.col("question"), F.col("schema_context"), F.lit("select 1"), F.lit("no table")).alias("r"),
         prompts.judge_prompt(F.col("dialect"), F.col("question"), F.col("schema_context"), F.lit("select 1")).alias("j")).first()
     assert "no table" in texts.r and '"passed"' in texts.j
+
+
+def test_a_list_of_units_is_put_together_once(spark):
+    """Questions with the same units at the same ranks share a list; the texts meet it once, the prompts are the same as from whole contexts."""
+    units = spark.createDataFrame([(f"u{i}", f"text {i}", "mysql" if i % 2 else "oracle") for i in range(6)] + [("u5", "twin", "oracle")], "unit_id string, content string, dialect string")
+    lists = {1: ["u1", "u2"], 2: ["u1", "u2"], 3: ["u2", "u1"], 4: ["u1", "u2"], 5: ["u5", "gone"], 6: ["gone"], None: ["u0"], 8: ["u1", "u1", "u2"]}
+    final = spark.createDataFrame([(q, u, i + 1) for q, us in lists.items() for i, u in enumerate(us)], "question_id long, unit_id string, final_rank int")
+    named, texts = prompts.context_lists(final, units)
+    assert named.count() == 8 and texts.count() == 5  # the list of question 6 holds no known unit
+    found = {r.question_id: (r.schema_context.split(prompts.SEPARATOR), r.dialect, r.units) for r in prompts.context(final, units).collect()}
+    one = (["text 1", "text 2"], "mysql", 2)
+    assert found == {
+        1: one, 2: one, 4: one, 3: (["text 2", "text 1"], "oracle", 2), 8: (["text 1", "text 1", "text 2"], "mysql", 3),
+        5: (["text 5", "twin"], found[5][1], 2), None: (["text 0"], "oracle", 1),
+    }
+    questions = spark.createDataFrame([(q, f"question {q}", "d") for q in (1, 2, 3, 6, 7, None)], "question_id long, question string, database_name string")
+    whole = prompts.prompt_table(questions, prompts.context(final, units))
+    apart = prompts.prompt_table(questions, named, texts)
+    for a, b in zip(whole, apart):
+        assert sorted(map(str, a.select(sorted(a.columns)).collect())) == sorted(map(str, b.select(sorted(b.columns)).collect()))
+    assert apart[0].count() == 3 and apart[1].count() == 3

@@ -231,3 +231,14 @@ def test_retrieval_answers_repeated_questions_alike(spark, film):
     assert answers[3] == {1: answers[1][1]} and len(answers[4]) == 2
     assert answers[1][1] == "rental" and answers[4][1] == "film"
     assert result.seeds.filter("question_id = 2").count() == 3
+
+
+def test_the_words_of_a_unit_are_read_once(spark):
+    """Document frequencies, units and lengths of a database come from one pass over the texts."""
+    read = spark.sparkContext.accumulator(0)
+    words = F.udf(lambda i: (read.add(1), ["total", f"w{i % 3}", "total"])[1], "array<string>").asNondeterministic()
+    units = spark.range(30).select(F.lit("d").alias("key"), words("id").alias("tokens"))
+    asked = spark.createDataFrame([(1, "d", "total w1"), (2, "e", "total"), (3, "d", "nowhere")], "question_id long, database_name string, question string")
+    got = {r.question_id: r for r in search.question_terms(asked, units).collect()}
+    assert read.value == 30 and set(got) == {1} and got[1].terms == ["total", "w1"] and got[1].avgdl == 3.0
+    assert [round(x, 9) for x in got[1].idf] == [round(math.log(1 + (30 - n + 0.5) / (n + 0.5)), 9) for n in (30, 10)]
